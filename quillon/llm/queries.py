@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, mixing
+from quillon.llm import bpe, chat, mixing, secrets
 from quillon.llm.common import table
 
 
@@ -20,6 +20,26 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", chat.read_back("formatted", "loss_spans").alias("r")).select("conv_id", "r.*")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as versions of paths, scanned through a new ledger."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found, _ = secrets.scan_versions(docs)
+    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
+    count = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select(
+        F.col("path").alias("doc_id"), *count, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("findings")).alias("spans"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
+    """All documents encoded and decoded by the public word-end vocabulary."""
+    import public_tokenizers
+
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(name))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
