@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words that a task remembers at most before it starts anew.
 MEMORY = 300_000
 #: Fixed value: the white space that the vocabulary's patterns know.
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary splits text into words.
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _END = "</w>"

@@ -25,7 +25,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     found, _ = secrets.scan_versions(docs)
     base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
-    count = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    count = [F.size(F.expr(f"filter(findings, f -> f.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.BASE]
     return found.select(
         F.col("path").alias("doc_id"), *count, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
         secrets.spans_text(F.col("findings")).alias("spans"),
