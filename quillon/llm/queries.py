@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, mixing, secrets
-from quillon.llm.common import table
+from quillon.llm import bpe, chat, fingerprints, langid, mixing, quality, secret_scan
+from quillon.llm.common import held_out, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as versions of paths, scanned through a new ledger."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    found, _ = secrets.scan_versions(docs)
-    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
-    count = [F.size(F.expr(f"filter(findings, f -> f.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    found, _ = secret_scan.scan_versions(docs)
+    base = F.filter("findings", lambda f: f["kind"].isin(*secret_scan.BASE))
+    count = [F.size(F.expr(f"filter(findings, f -> f.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
     return found.select(
-        F.col("path").alias("doc_id"), *count, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
-        secrets.spans_text(F.col("findings")).alias("spans"),
+        F.col("path").alias("doc_id"), *count, F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("findings")).alias("spans"),
     )
 
 
@@ -40,7 +40,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by machines fitted on those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3, 1)
+    model = langid.fit(docs.where(~held).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against those labelled good, and drawn by Gumbel top-k."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against their edited texts and the next documents."""
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
