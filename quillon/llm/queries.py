@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat, fingerprints, langid, mixing, quality, secret_scan
+from quillon.llm import bpe, caps, chat, fingerprints, langid, mixing, near, quality, secret_scan
 from quillon.llm.common import held_out, table
 
 
@@ -32,6 +32,16 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by shingles of four words and a similarity of 0.8."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of a label, by a cosine of 0.93."""
+    return caps.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
     """All documents encoded and decoded by the public word-end vocabulary."""
     import public_tokenizers
