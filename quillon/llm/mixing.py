@@ -50,7 +50,7 @@ def token_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     return per.select("sid", "source", "n_docs", "source_size", target.alias("target"))
 
 
-def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
     """(sid, lambda): the dual solution of each source; null where every document takes the limit.
 
     sizes has (sid, size). A Newton step that leaves the bracket of a source is replaced by its midpoint, so that every source
@@ -76,7 +76,8 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         )
         miss = F.col("value") - F.col("target")
         found = found.withColumn("low", F.when(miss < 0, F.col("lambda")).otherwise(F.col("low"))).withColumn("high", F.when(miss > 0, F.col("lambda")).otherwise(F.col("high")))
-        step = F.col("lambda") - miss / F.when(F.col("slope") > 0, F.col("slope"))
+        # on the logarithm of the constraint, which is much nearer to a line than the constraint is
+        step = F.col("lambda") - F.log(F.col("value") / F.col("target")) * F.col("value") / F.when((F.col("slope") > 0) & (F.col("value") > 0), F.col("slope"))
         inside = (step > F.col("low")) & (step < F.col("high"))
         off = F.abs(miss) / F.col("target")
         after = F.when(off <= tolerance, F.col("lambda")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
