@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, caps, chat, fingerprints, langid, mixing, near, quality, secret_scan
+from quillon.llm import bpe, brown, caps, chat, fingerprints, langid, mixing, near, quality, secret_scan
 from quillon.llm.common import held_out, table
 
 
@@ -32,6 +32,14 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_brown_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored by a model of those whose crc32(doc_id) mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 7, 2)
+    scored = brown.score(docs, *brown.fit(docs.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by shingles of four words and a similarity of 0.8."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
