@@ -1,12 +1,13 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-A rotation cuts a vector into BLOCKS blocks; each block has its own few random unit codes, and a filter direction is one code of each
+Each of CODES independent rotations cuts a vector into BLOCKS blocks; each block has its own few random unit codes, and a filter direction is one code of each
 block, joined. The vector's product with a direction is the sum of its products with the codes, so that all directions
 beyond a threshold are list-decoded from sorted half sums without going through all of them. Vectors that share a direction (and a label) are candidates;
 their cosine is then computed in double precision.
 
 The number of directions grows with the largest label so that a direction holds about one unrelated vector, and the threshold is set so that two
-vectors at the least cosine share MEETINGS directions on average.
+vectors at the least cosine share MEETINGS directions on average. How many a vector exceeds differs much within one product code, as its blocks may lie far from all
+their codes; over several independent codes that evens out, so that hardly any pair shares none.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, written
 
-BLOCKS = 4
-MEETINGS = 24.0
+BLOCKS, CODES = 2, 16
+MEETINGS = 30.0
 _SEED = 7
 
 
@@ -38,14 +39,18 @@ def _meeting_chance(z: float, cosine: float) -> float:
 
 
 @lru_cache(maxsize=8)
-def design(dim: int, largest: int, cosine: float) -> tuple[np.ndarray, list[np.ndarray], float]:
-    """(rotation, codes of each block, threshold) for vectors of a dimension, of which the largest label has so many."""
+def design(dim: int, largest: int, cosine: float) -> list[tuple[np.ndarray, list[np.ndarray], float]]:
+    """(rotation, codes of each block, threshold) of each product code, for vectors of a dimension of which the largest label has so many."""
     density = min(0.02, 1.0 / max(2, largest))
     z = NormalDist().inv_cdf(1 - density)
-    directions = MEETINGS / _meeting_chance(z, cosine) / density
+    directions = MEETINGS / CODES / _meeting_chance(z, cosine) / density
+    return [_product_code(dim, directions, density, k) for k in range(CODES)]
+
+
+def _product_code(dim: int, directions: float, density: float, number: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     blocks = min(BLOCKS, dim)
     each = max(2, math.ceil(directions ** (1 / blocks)))
-    draw = np.random.Generator(np.random.PCG64([_SEED, dim, each]))
+    draw = np.random.Generator(np.random.PCG64([_SEED, dim, each, number]))
     rotation, _ = np.linalg.qr(draw.standard_normal((dim, dim)))
     codes = []
     for part in np.array_split(np.arange(dim), blocks):
@@ -92,6 +97,12 @@ def list_decode(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return rows * len(b) + order[np.repeat(first, n) + within]
 
 
+def directions(x: np.ndarray, largest: int, cosine: float) -> np.ndarray:
+    """Numbers of all directions, over all product codes, that a unit vector exceeds."""
+    found = [list_decode(*_half_sums(rotation @ x, codes), threshold) * CODES + k for k, (rotation, codes, threshold) in enumerate(design(len(x), largest, cosine))]
+    return np.concatenate(found)
+
+
 def filters(vectors: DataFrame, largest: int, cosine: float) -> DataFrame:
     """(label, dim, direction, id, signs): the directions that each of vectors (id, label, embedding) exceeds, and the signs of its first 64 rotated products."""
 
@@ -100,10 +111,8 @@ def filters(vectors: DataFrame, largest: int, cosine: float) -> DataFrame:
             out = [[], [], [], [], []]
             for i, label, values in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding"), strict=True):
                 x = values.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                rotation, codes, threshold = design(len(x), largest, cosine)
                 x = x / np.abs(x).max()
-                x = rotation @ (x / np.linalg.norm(x))
-                found = list_decode(*_half_sums(x, codes), threshold)
+                found = directions(x / np.linalg.norm(x), largest, cosine)
                 planes = np.random.Generator(np.random.PCG64([_SEED, len(x)])).standard_normal((64, len(x))) if len(x) not in _PLANES else _PLANES[len(x)]
                 _PLANES[len(x)] = planes
                 signs = int(((planes @ x > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum().astype(np.uint64).view(np.int64))
