@@ -68,11 +68,16 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         x = F.col("size")
         tilt = F.exp(F.least(F.col("lambda") * x, F.log(lim)))
         mass = F.col("n") * x
+
+        def exact(term: Column) -> Column:
+            """A sum that does not depend on the order of its terms, so that reruns agree to the last bit."""
+            return F.sum(term.cast("decimal(38,6)")).cast("double")
+
         found = (
             hist.join(state, "sid")
             .withColumn("w", tilt)
             .groupBy("sid", "target", "low", "high", "lambda")
-            .agg(F.sum(mass * F.col("w")).alias("value"), F.sum(F.when(F.col("w") < lim, mass * x * F.col("w")).otherwise(0.0)).alias("slope"))
+            .agg(exact(mass * F.col("w")).alias("value"), exact(F.when(F.col("w") < lim, mass * x * F.col("w")).otherwise(0.0)).alias("slope"))
         )
         miss = F.col("value") - F.col("target")
         found = found.withColumn("low", F.when(miss < 0, F.col("lambda")).otherwise(F.col("low"))).withColumn("high", F.when(miss > 0, F.col("lambda")).otherwise(F.col("high")))
