@@ -26,6 +26,8 @@ from quillon.llm.common import connected_components, written
 
 BLOCKS, CODES = 2, 16
 MEETINGS = 30.0
+#: Below this dimension a block is the whole vector, and directions are no more than for a thousand vectors.
+NARROW = 16
 _SEED = 7
 
 
@@ -41,14 +43,14 @@ def _meeting_chance(z: float, cosine: float) -> float:
 @lru_cache(maxsize=8)
 def design(dim: int, largest: int, cosine: float) -> list[tuple[np.ndarray, list[np.ndarray], float]]:
     """(rotation, codes of each block, threshold) of each product code, for vectors of a dimension of which the largest label has so many."""
-    density = min(0.02, 1.0 / max(2, largest))
+    density = min(0.02, max(1.0 / max(2, largest), 0.0 if dim >= NARROW else 0.001))
     z = NormalDist().inv_cdf(1 - density)
     directions = MEETINGS / CODES / _meeting_chance(z, cosine) / density
     return [_product_code(dim, directions, density, k) for k in range(CODES)]
 
 
 def _product_code(dim: int, directions: float, density: float, number: int) -> tuple[np.ndarray, list[np.ndarray], float]:
-    blocks = min(BLOCKS, dim)
+    blocks = BLOCKS if dim >= NARROW else 1
     each = max(2, math.ceil(directions ** (1 / blocks)))
     draw = np.random.Generator(np.random.PCG64([_SEED, dim, each, number]))
     rotation, _ = np.linalg.qr(draw.standard_normal((dim, dim)))
