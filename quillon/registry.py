@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.queries import clean_features, score_rank, sources_vectors  # noqa: F401 - they register
+from quillon.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    """The query that the smoke check runs."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """The recommendation page over the large catalogue."""
+    return QUERIES["w2_recommend_page"](spark, sf_dir)
