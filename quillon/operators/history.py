@@ -42,10 +42,10 @@ def click_log_entries(requests: DataFrame, items: DataFrame, keep: tuple[str, ..
     A known token makes an entry even where the redirect is invalid (null): redirect is the target if it is a web link, else the item's link if that is one.
     Entries are the rows where known is true.
     """
-    parsed = requests.where(F.try_parse_url("path", F.lit("PATH")) == "/open")
+    parsed = requests.where(F.regexp_extract("path", "^([^?#]*)", 1) == "/open")
 
     def query(name: str) -> Column:
-        return F.coalesce(F.try_url_decode(F.try_parse_url("path", F.lit("QUERY"), F.lit(name))), F.lit(""))
+        return F.coalesce(F.try_url_decode(F.regexp_extract("path", rf"[?&]{name}=([^&#]*)", 1)), F.lit(""))
 
     asked = parsed.select("opened_at", query("token").alias("token"), query("target").alias("target"), *keep)
     known = items.select(item_token(items).alias("token"), "id", "title", "author", "link").dropDuplicates(["token"])

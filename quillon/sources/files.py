@@ -88,7 +88,8 @@ def read_word_set(spark: SparkSession, path: str, quotes: str = "single") -> Dat
 def read_semantic_map(spark: SparkSession, path: str) -> DataFrame:
     """(term, mapped, pos) of a flat JSON object in order of keys; of a repeated key the last value counts (A5)."""
     parsed = _whole(spark, path).select(F.from_json("value", "map<string,string>").alias("m"))
-    return parsed.select(F.posexplode("m").alias("pos", "term", "mapped")).select("term", "mapped", "pos")
+    pairs = parsed.select(F.posexplode("m").alias("pos", "term", "mapped"))
+    return pairs.groupBy("term").agg(F.max_by("mapped", "pos").alias("mapped"), F.min("pos").alias("pos"))
 
 
 def read_catalogue(spark: SparkSession, path: str, require_id: bool = False, jdbc: dict[str, str] | None = None) -> DataFrame:
