@@ -7,7 +7,7 @@ collections fails as a whole: at s = 0.8 with three rows and 14 keys a miss has
 Documents with equal sets are one class, found by a digest of the set. A pair can only meet if it shares a key of either collection, so
 keys that one class alone holds go before pairs of keys are formed. Candidates are confirmed on full sets, in two rounds that lose no link and never list
 all pairs of a large group: first each class against the class that leads most of its tables; then, of the pairs in a table, only those that the
-first round has left in different components and whose sizes and minhash bits allow the similarity.
+first round has left in different components and whose sizes, shared shingles by hash bucket and minhash bits allow the similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, words, written
@@ -27,6 +27,8 @@ TABLES, ROWS = 14, 3
 MEMORY = 400_000
 #: Minhash bits that may differ: the similarity asked for leaves 24 or fewer of 84 but for one pair in a million.
 BITS_OFF = 24
+#: Hash buckets of the counts that bound an intersection, a power of two; four counts of 16 bits are packed into a word.
+PROFILE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _DRAW = np.random.Generator(np.random.PCG64(20240607))
 _A = (_DRAW.integers(0, 1 << 63, 2 * TABLES * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -95,13 +97,8 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, set_key binary, bands array<int>, one long, two long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of doc_ids whose full sets are similar enough.
-
-    Only the texts of documents in pairs are taken along, once each into a table, then to their pairs.
-    """
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "near-texts")
+def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of doc_ids whose full sets, from texts (doc_id, text), are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -121,6 +118,45 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
+def _profiles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, p0, p1, ..): of each of reps, how many shingles that another of them also has fall into each of PROFILE hash buckets, packed.
+
+    The sum of the lesser counts of two documents is at least the size of their intersection. A doc_id that stands for several texts gets no bound.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            found = [shingle_set(t or b"", width, hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            totals = [np.bincount((f & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype(np.int32) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(totals, pa.list_(pa.int32())), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["rep", "totals", "shingles"])
+
+    held = texts.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi")
+    counted = written(held.mapInArrow(sets, "rep long, totals array<int>, shingles array<long>"), "near-profiles")
+    alone = counted.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    own = alone.groupBy("rep", F.col("x").bitwiseAND(F.lit(PROFILE - 1)).cast("int").alias("k")).agg(F.count("*").cast("int").alias("n"))
+    own = own.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("own"))
+    one = counted.groupBy("rep").agg(F.first("totals").alias("totals"), F.count("*").alias("n")).join(own, "rep", "left")
+    shared = F.transform("totals", lambda t, k: t - F.coalesce(F.col("own")[k], F.lit(0)))
+    profile = one.select("rep", F.when(F.col("n") == 1, shared).otherwise(F.array_repeat(F.lit(65535), PROFILE)).alias("c"))
+
+    def packed(k: int) -> Column:
+        parts = [F.shiftleft(F.least(F.col("c")[k + m], F.lit(65535)).cast("long"), 16 * m) for m in range(4)]
+        return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
+
+    return profile.select("rep", *[packed(4 * k).alias(f"p{k}") for k in range(PROFILE // 4)])
+
+
+def _most_common() -> Column:
+    """Sum of the lesser counts of the profiles of sides a and b."""
+    total = F.lit(0).cast("long")
+    for k in range(PROFILE // 4):
+        for m in range(4):
+            x, y = (F.shiftrightunsigned(f"p{k}_{side}", 16 * m).bitwiseAND(F.lit(65535).cast("long")) for side in ("a", "b"))
+            total = total + F.least(x, y)
+    return total
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -138,30 +174,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     held = keys.join(shared, ["k", "band"]).groupBy("rep").agg(
         F.collect_list(F.when(F.col("k") < TABLES, F.struct("k", "band"))).alias("us"), F.collect_list(F.when(F.col("k") >= TABLES, F.struct("k", "band"))).alias("vs")
     )
-    table_keys = F.flatten(F.transform("us", lambda u: F.transform("vs", lambda v: F.xxhash64(u["k"], u["band"], v["k"], v["band"]))))
-    places = written(held.select("rep", F.explode(table_keys).alias("key")), "near-tables")
+    def place(u: Column, v: Column) -> Column:
+        return F.struct(F.xxhash64(u["k"], u["band"], v["k"], v["band"]).alias("key"), u["k"].cast("short").alias("i"), v["k"].cast("short").alias("j"))
+
+    places = held.select("rep", F.explode(F.flatten(F.transform("us", lambda u: F.transform("vs", lambda v: place(u, v))))).alias("p"))
+    places = written(places.select("rep", "p.*"), "near-tables")
+
+    # texts of all that can be candidates, once
+    wanted = places.select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), "near-texts")
 
     # first round: each class against the leader of most of its tables
     leaders = places.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     led = places.join(leaders, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     first = written(led.groupBy("rep").agg(F.max(F.struct("n", "lead")).alias("m")).select(F.col("rep").alias("a"), F.col("m.lead").alias("b")), "near-pairs")
-    links = written(_confirm(first, docs, width, percent), "near-links")
+    links = written(_confirm(first, texts, width, percent), "near-links")
     components = connected_components(links)
 
     # second round: pairs of a table that are still apart
-    apart = places.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    apart = places.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two"), "rep"), "near-apart")
-    a, b = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", "one", "two")]) for side in ("a", "b"))
-    could = (
-        (F.col("component_a") < F.col("component_b"))
-        & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-        & (F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b"))) <= BITS_OFF)
-    )
-    second = a.join(b, "key").where(could).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    apart = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two", "bands"), "rep"), "near-apart")
+    apart = apart.join(written(_profiles(apart.select("rep").distinct(), texts, width), "near-profiles"), "rep")
+    a, b = (apart.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", *[f"p{k}" for k in range(PROFILE // 4)], "one", "two", "bands")]) for side in ("a", "b"))
+    # a pair shows up once, in the table of the first keys of either collection that it shares
+    alike = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    once = (F.array_position(F.slice(alike, 1, TABLES), True) == F.col("i") + 1) & (F.array_position(F.slice(alike, TABLES + 1, TABLES), True) == F.col("j") - TABLES + 1)
+    common = _most_common()
+    fits = (common * 100 >= (F.col("size_a") + F.col("size_b") - common) * percent) | (F.least("size_a", "size_b") > 65535)
+    bits = F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
+    sizes = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    could = (F.col("component_a") < F.col("component_b")) & sizes & (bits <= BITS_OFF) & fits
+    second = a.join(b, ["key", "i", "j"]).where(could & once).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "near-pairs")
     if not second.isEmpty():
-        more = written(_confirm(second, docs, width, percent), "near-links")
+        more = written(_confirm(second, texts, width, percent), "near-links")
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
 
