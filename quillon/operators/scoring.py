@@ -1,12 +1,13 @@
 """The explainable recommendation score.
 
-Every part is a sum of weighted features by item. The parts go into one long table (id, part) and one aggregate by id; features meet their weights in
-equi joins, small weight tables being broadcast by size. Sums are rounded to six decimals before truncation, so that their order does not matter.
+Every part is a sum of weighted features by item. All facets go through one long table (id, facet, feature) and one aggregate by id; features meet their
+worth in one equi join, a small table of worths being broadcast by its size. Sums are rounded to six decimals before truncation, so that their order does not matter.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,51 @@ class Frequencies:
     tags: DataFrame
     authors: DataFrame
     words: DataFrame
+    table: DataFrame | None = None  # the same in one, (facet, feature, freq)
+
+    def together(self) -> DataFrame:
+        if self.table is not None:
+            return self.table
+        named = [f.select(F.lit(facet).alias("facet"), "feature", "freq") for facet, f in zip(FACETS, (self.tags, self.authors, self.words), strict=True)]
+        return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+FACETS = ("tag", "author", "title_word")
+
+
+def _entries(values: Column, facet: str, amount) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature"), amount(x).alias("amount")))
+
+
+def item_features(items: DataFrame) -> DataFrame:
+    """(id, facet, feature, amount): every feature of every item in one pass; amount is its count over the root of the item's number of features, 1 for the author."""
+
+    def share(column: str):
+        norm = F.sqrt(F.greatest(F.size(column), F.lit(1)).cast("double"))
+        return lambda x: F.size(F.filter(column, lambda y: y == x)) / norm
+
+    own = T.strip(T.filled(F.col("author")))
+    author = F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))
+    every = F.concat(
+        _entries(F.array_distinct("parsed_tags"), "tag", share("parsed_tags")), _entries(author, "author", lambda x: F.lit(1.0)), _entries(F.array_distinct("title_words"), "title_word", share("title_words"))
+    )
+    return items.select("id", F.explode(every).alias("f")).select("id", "f.facet", "f.feature", "f.amount")
+
+
+def all_frequencies(items: DataFrame) -> Frequencies:
+    """Frequencies of all facets, counted in one pass."""
+
+    def named(values: Column, facet: str) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature")))
+
+    own = T.strip(T.filled(F.col("author")))
+    every = F.concat(named(F.col("parsed_tags"), "tag"), named(F.filter(F.array(own), lambda x: x != ""), "author"), named(F.col("title_words"), "title_word"))
+    table = items.select(F.explode(every).alias("f")).groupBy("f.facet", "f.feature").agg(F.count("*").alias("freq"))
+    return Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in FACETS], table)
+
+
+def _by_facet(values: tuple) -> Column:
+    return F.when(F.col("facet") == FACETS[0], values[0]).when(F.col("facet") == FACETS[1], values[1]).otherwise(values[2])
 
 
 @dataclass
@@ -138,11 +184,18 @@ def _finish(items: DataFrame, parts: DataFrame) -> DataFrame:
 def recommend(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None, history: DataFrame | None = None, scales=(1.0, 1.0, 1.0)) -> DataFrame:
     """items with an integer score, truncated toward zero (D6). History counts only if its multiplier is positive."""
     weights, g = weights or Weights(), g or Multipliers()
-    parts = tag_parts(items, freqs.tags, weights.tags, g.tag)
-    parts = parts.unionByName(author_parts(items, freqs.authors, weights.authors, g.author)).unionByName(title_parts(items, freqs.words, weights.words, g.title))
+    values = base_scores(freqs.together())
+    own = [w.select(F.lit(facet).alias("facet"), "feature", "weight") for facet, w in zip(FACETS, (weights.tags, weights.authors, weights.words), strict=True) if w is not None]
+    if own:
+        values = values.join(reduce(DataFrame.unionByName, own), ["facet", "feature"], "left")
+    else:
+        values = values.withColumn("weight", F.lit(None).cast("double"))
+    value = F.col("base") * F.coalesce("weight", _by_facet((TAG_WEIGHT, AUTHOR_WEIGHT, WORD_WEIGHT))) * _by_facet((g.tag * 0.5, g.author, g.title))
     if history is not None and g.history > 0:
-        parts = parts.unionByName(history_parts(items, history_bonus(history, freqs, scales), g.history))
-    return _finish(items, parts)
+        values = values.join(history_bonus(history, freqs, scales), ["facet", "feature"], "left")
+        value = value + F.coalesce("bonus", F.lit(0.0)) * g.history
+    worth = values.select("facet", "feature", value.alias("value"))
+    return _finish(items, item_features(items).join(worth, ["facet", "feature"]).select("id", (F.col("amount") * F.col("value")).alias("part")))
 
 
 def recommend_linear(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None) -> DataFrame:

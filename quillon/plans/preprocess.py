@@ -45,8 +45,7 @@ def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFr
     df = features.parse_tags(df, dictionaries.stop_tags, dictionaries.tag_map)
     df = features.title_words(features.tokenize_titles(df), dictionaries.stop_words, dictionaries.word_map).drop("tokens")
     df = clean.with_search_text(df)
-    freqs = scoring.Frequencies(features.array_frequency(df, "parsed_tags"), features.author_frequency(df), features.array_frequency(df, "title_words"))
-    return Prepared(df, freqs)
+    return Prepared(df, scoring.all_frequencies(df))
 
 
 def ingest(raw: DataFrame, current: DataFrame | None, bookmarks: DataFrame | None = None) -> DataFrame:
