@@ -135,9 +135,8 @@ def fit(labelled: DataFrame, sample: int = 500) -> Model:
             out: list[tuple[int, float, bytes]] = []
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if has_letter(text):
-                    x = features(text).astype(np.float32).tobytes()
-                    out += [(k, 1.0, x) for k, (_, a, _) in enumerate(contests) if a in (lang, family(lang)) and contests[k][0] == ("lang" if a == lang and contests[k][0] == "lang" else "family")]
-                    out += [(k, -1.0, x) for k, (_, _, b) in enumerate(contests) if b in (lang, family(lang)) and contests[k][0] == ("lang" if b == lang and contests[k][0] == "lang" else "family")]
+                    x, own = features(text).astype(np.float32).tobytes(), {"family": family(lang), "lang": lang}
+                    out += [(k, 1.0 if own[kind] == a else -1.0, x) for k, (kind, a, b) in enumerate(contests) if own[kind] in (a, b)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.binary())], names=["contest", "y", "x"])
 
