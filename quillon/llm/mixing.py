@@ -50,7 +50,7 @@ def token_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     return per.select("sid", "source", "n_docs", "source_size", target.alias("target"))
 
 
-def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
+def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-3, rounds: int = 60) -> DataFrame:
     """(sid, lambda): the dual solution of each source; null where every document takes the limit.
 
     sizes has (sid, size). A Newton step that leaves the bracket of a source is replaced by its midpoint, so that every source
@@ -63,7 +63,7 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
     ratio = F.col("target") / F.col("total")
     edge = F.log(lim) / F.col("least")
     low = F.least(F.log(ratio), F.lit(0.0)) / F.col("least")
-    state = written(state.select("sid", "target", low.alias("low"), edge.alias("high"), F.least(edge, F.greatest(low, F.log(ratio) / (F.col("total") / F.lit(1.0)))).alias("lambda")), "mix-state")
+    state = written(state.select("sid", "target", "total", low.alias("low"), edge.alias("high"), F.least(edge, F.greatest(low, F.log(ratio) / (F.col("total") / F.lit(1.0)))).alias("lambda")), "mix-state")
     for _ in range(rounds):
         x = F.col("size")
         tilt = F.exp(F.least(F.col("lambda") * x, F.log(lim)))
@@ -76,17 +76,20 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         found = (
             hist.join(state, "sid")
             .withColumn("w", tilt)
-            .groupBy("sid", "target", "low", "high", "lambda")
+            .groupBy("sid", "target", "total", "low", "high", "lambda")
             .agg(exact(mass * F.col("w")).alias("value"), exact(F.when(F.col("w") < lim, mass * x * F.col("w")).otherwise(0.0)).alias("slope"))
         )
         miss = F.col("value") - F.col("target")
         found = found.withColumn("low", F.when(miss < 0, F.col("lambda")).otherwise(F.col("low"))).withColumn("high", F.when(miss > 0, F.col("lambda")).otherwise(F.col("high")))
-        # on the logarithm of the constraint, which is much nearer to a line than the constraint is
-        step = F.col("lambda") - F.log(F.col("value") / F.col("target")) * F.col("value") / F.when((F.col("slope") > 0) & (F.col("value") > 0), F.col("slope"))
+        # Newton on the logarithm of the constraint, and on that of what is left to the limit, where most documents take it: whichever goes further up
+        slope = F.when((F.col("slope") > 0) & (F.col("value") > 0), F.col("slope"))
+        left, wanted = lim * F.col("total") - F.col("value"), lim * F.col("total") - F.col("target")
+        step = F.col("lambda") - F.log(F.col("value") / F.col("target")) * F.col("value") / slope
+        step = F.greatest(step, F.col("lambda") + F.log(left / F.when(wanted > 0, wanted)) * left / slope)
         inside = (step > F.col("low")) & (step < F.col("high"))
         off = F.abs(miss) / F.col("target")
         after = F.when(off <= tolerance, F.col("lambda")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(found.select("sid", "target", "low", "high", after.alias("lambda"), off.alias("off")), "mix-state")
+        state = written(found.select("sid", "target", "total", "low", "high", after.alias("lambda"), off.alias("off")), "mix-state")
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
