@@ -38,13 +38,19 @@ class Prepared:
     freqs: scoring.Frequencies
 
 
-def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False) -> Prepared:
-    """Folders, parsed tags, title words and search text of each item, and frequencies (K2). Row-wise but for the folder match and the counts."""
+def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False, keep: bool = True) -> Prepared:
+    """Folders, parsed tags, title words and search text of each item, and frequencies (K2).
+
+    Row-wise but for the folder match and the counts. With keep the features stay in memory or on the executors' disks, since frequencies, scores and
+    pages all read them; lost parts are worked out again.
+    """
     df = clean.title_fallback(catalogue) if title_fallback else catalogue
     df = matching.match_close(df, folders) if folders is not None else df.withColumn("local_path", F.lit(matching.NO_FOLDER))
     df = features.parse_tags(df, dictionaries.stop_tags, dictionaries.tag_map)
     df = features.title_words(features.tokenize_titles(df), dictionaries.stop_words, dictionaries.word_map).drop("tokens")
     df = clean.with_search_text(df)
+    if keep:
+        df = df.persist()
     return Prepared(df, scoring.all_frequencies(df))
 
 
