@@ -119,7 +119,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _profiles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(rep, p0, p1, ..): of each of reps, how many shingles that another of them also has fall into each of PROFILE hash buckets, packed.
+    """(rep, shared, p0, p1, ..): of each of reps, how many shingles another of them also has, in all and in each of PROFILE hash buckets, packed.
 
     The sum of the lesser counts of two documents is at least the size of their intersection. A doc_id that stands for several texts gets no bound.
     """
@@ -144,7 +144,7 @@ def _profiles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         parts = [F.shiftleft(F.least(F.col("c")[k + m], F.lit(65535)).cast("long"), 16 * m) for m in range(4)]
         return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
-    return profile.select("rep", *[packed(4 * k).alias(f"p{k}") for k in range(PROFILE // 4)])
+    return profile.select("rep", F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y).alias("shared"), *[packed(4 * k).alias(f"p{k}") for k in range(PROFILE // 4)])
 
 
 def _most_common() -> Column:
@@ -196,6 +196,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two", "bands"), "rep"), "near-apart")
     apart = apart.join(written(_profiles(apart.select("rep").distinct(), texts, width), "near-profiles"), "rep")
+    # one with too many shingles of its own is near none of the others
+    apart = apart.where((F.col("shared") * 100 >= F.col("size") * percent) | (F.col("size") > 65535))
     a, b = (apart.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", *[f"p{k}" for k in range(PROFILE // 4)], "one", "two", "bands")]) for side in ("a", "b"))
     # a pair shows up once, in the table of the first keys of either collection that it shares
     alike = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
