@@ -19,8 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 #: Words that a task remembers at most before it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Fixed value: the white space that the vocabulary's patterns know.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary splits text into words.
@@ -95,7 +97,7 @@ class Vocabulary:
         key = (a, b)
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 2 * MEMORY:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(a, b)
         return found
@@ -178,6 +180,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     any other; other columns are ignored; an empty table gives no rows. Texts are taken in slices of bounded size, so that very long ones
     do not meet in memory.
     """
+    small_batches(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 #: Language families by ISO code; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
@@ -121,6 +123,7 @@ def fit(labelled: DataFrame, sample: int = 500) -> Model:
     for equal input, and no language's rows meet in one task. It goes to the tasks that fit, never to the driver; weights come back, as many as
     there are machines times BUCKETS.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -170,6 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Every row keeps its place: repeated rows get the same answer, null ids pass through, an empty table gives no rows.
     """
     names = ["doc_id", "text"]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose text has a predicted language; all columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(text: pd.Series) -> pd.Series:

@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, words, written
+from quillon.llm.common import connected_components, small_batches, words, written
 
 TABLES, ROWS = 14, 3
 #: Distinct words whose hashes a task remembers at most.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Minhash bits that may differ: the similarity asked for leaves 24 or fewer of 84 but for one pair in a million.
 BITS_OFF = 24
 #: Hash buckets of the counts that bound an intersection, a power of two; four counts of 16 bits are packed into a word.
@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     has no shingles and no link. Rows of equal doc_id are one document for links; a row without doc_id has none, a null
     component and is kept. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sets = written(document_sets(docs, width), "near-sets")
     some = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.first("bands").alias("bands"), F.min("one").alias("one"), F.min("two").alias("two")), "near-classes")
