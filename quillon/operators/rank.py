@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.history import history_counts
+from quillon.sources import files
 
 
 def sort_order(by: str = "score", ascending: bool = False) -> list[Column]:
@@ -19,6 +20,26 @@ def sort_catalogue(df: DataFrame, by: str = "score", ascending: bool = False) ->
     return df.orderBy(*sort_order(by, ascending))
 
 
+def with_place(df: DataFrame, by: str = "score", ascending: bool = False) -> DataFrame:
+    """All rows with their place from 1 in the order of sort_catalogue.
+
+    The sorted rows are written once with partition and row number; a place is the row number plus the rows of the partitions before. Only one count
+    a partition comes to the driver.
+    """
+    spark = df.sparkSession
+    path = files.scratch(spark, "sorted")
+    sort_catalogue(df, by, ascending).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part = F.shiftright("_at", 33)
+    before, offsets = 0, []
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).agg(F.count("*")).collect()):
+        offsets.append((p, before))
+        before += n
+    known = spark.createDataFrame(offsets, "_part long, _before long")
+    placed = rows.withColumn("_part", part).join(known, "_part")
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def page(df: DataFrame, order: list[Column], page_index: int, size: int = 500) -> DataFrame:
     """Rows page_index * size and on of the order (G2). Spark keeps only the rows up to the page's end in each partition."""
     return df.orderBy(*order).offset(page_index * size).limit(size)

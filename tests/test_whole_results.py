@@ -2,6 +2,7 @@ import re
 import unicodedata
 
 from quillon import adapters, registry
+from quillon.operators import rank
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,19 @@ def test_f01_documents_keep_their_end(spark):
         r = items[key]
         whole = f"标题《{r['title']}》，作者 {r['author']}，团队 {r['team']}，语言 {r['language']}，元素标签：{r['tags']}。"
         assert document == whole[:800]
+
+
+def test_g01_places_every_row(spark):
+    rows = [(f"i{k}", k % 97, f"2024-01-{k % 28 + 1:02d}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "id string, score int, upload_date string").repartition(7)
+    got = {r["id"]: r["place"] for r in rank.with_place(df).collect()}
+    order = sorted(sorted(sorted(rows), key=lambda r: r[2], reverse=True), key=lambda r: r[1], reverse=True)
+    assert got == {r[0]: n for n, r in enumerate(order, 1)}
+    assert rank.with_place(df.limit(0)).count() == 0
+
+
+def test_g01_has_as_many_rows_as_the_catalogue(spark):
+    sf = SF.replace("0.001", "0.01")
+    n = adapters.small_catalogue(spark, sf).count()
+    places = sorted(r["place"] for r in registry.QUERIES["g01_sort_catalogue"](spark, sf).collect())
+    assert n > 300 and places == list(range(1, n + 1))
