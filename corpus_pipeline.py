@@ -23,12 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, model)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for every row (_row), written once so that the keys stand."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by five-word shingles at 0.8: the one of smallest doc_id; rows without doc_id stay."""
-    found = written(near.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct(), "pipeline-kept")
-    known = docs.where("doc_id IS NOT NULL")
-    one = known.join(found.where("doc_id IS NOT NULL").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate group, by five-word shingles at 0.8: the one of smallest doc_id, null last; each row decides for itself, whatever its doc_id."""
+    rows = keyed(docs)
+    groups = near.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_row")
+    best = rows.select("_row", order.alias("o")).join(groups.hint("shuffle_hash"), "_row").groupBy("component_id").agg(F.min("o").alias("o"))
+    found = written(best.select(F.col("o._row").alias("_row")), "pipeline-kept")
+    return rows.join(found.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +55,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it; rows of equal doc_id share the mean of their copies, rounded."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
-    taken = written(copies.where("copies > 0"), "pipeline-copies")
-    both = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias("copy")).select(*docs.columns)
+    """Every row as many times as the mix takes it, whatever its doc_id; the order of rounding is that of the rows' content, so that reruns agree."""
+    rows = keyed(docs)
+    copies = mixing.mix(rows.select(F.xxhash64(*docs.columns).alias("doc_id"), "source", "text", "_row"), row="_row")
+    taken = written(copies.where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies")), "pipeline-copies")
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,16 +109,17 @@ def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=np.array(out, np.int64))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = 3.0, row: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies) for every row of docs (doc_id, source, text).
 
     Null or empty texts have size 0, rate 1 and one copy. Null sources form one source, last in order. Repeated rows each get
     their own copies. An empty table gives an empty result. Other columns are ignored. Equal input gives equal output:
-    buckets and order depend on doc_id and size only.
+    buckets and order depend on doc_id and size only. row: a column (long) of docs that is handed through.
     """
-    sizes = written(docs.select("doc_id", "source", token_size(F.col("text")).alias("size")), "mix-sizes")
+    own = [row] if row else []
+    sizes = written(docs.select("doc_id", *own, "source", token_size(F.col("text")).alias("size")), "mix-sizes")
     targets = written(token_targets(sizes, weights, limit), "mix-targets")
-    placed = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", "size", "sid", "n_docs", "source_size", "target")
+    placed = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", *own, "size", "sid", "n_docs", "source_size", "target")
     rates = solve_rates(placed.select("sid", "size"), targets.select("sid", "target"), limit)
     lim = F.lit(float(limit))
     rate = (
@@ -128,10 +129,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
         .otherwise(F.exp(F.least(F.col("lambda") * F.col("size"), F.log(lim))))
     )
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BUCKET).cast("long"))
-    rated = placed.join(rates, "sid", "left").select("doc_id", "size", "source_size", "target", rate.alias("rate"), "sid", bucket.alias("bucket"))
-    schema = "doc_id long, size long, source_size long, target double, rate double, copies long"
+    rated = placed.join(rates, "sid", "left").select("doc_id", *own, "size", "source_size", "target", rate.alias("rate"), "sid", bucket.alias("bucket"))
+    schema = "doc_id long, size long, source_size long, target double, rate double, copies long" + "".join(f", {x} long" for x in own)
 
     def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _copies(pdf)[["doc_id", "size", "source_size", "target", "rate", "copies"]]
+        return _copies(pdf)[["doc_id", "size", "source_size", "target", "rate", "copies", *own]]
 
     return rated.groupBy("sid", "bucket").applyInPandas(rounded, schema)
