@@ -18,11 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import small_batches
+
 BEGIN, ROLE, ROLE_END, END = "<s>", "[INST]", "[/INST]", "</s>"
 #: A control string with any number of backslashes after its first character.
 _PLAIN = r"([<\[])(\\*)(/?(?:s>|INST\]))"
@@ -101,6 +105,34 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     )
 
 
+def render_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """(conv_id, n, piece, start, end) of each turn: render() without putting a conversation into one row.
+
+    start and end are the loss span in code points of the whole, null for other roles. The rows of a conversation lie in one partition in
+    order; only a sort gathers them there and the running offset is all that a task holds, so a conversation may be of any length.
+    """
+    small_batches(messages.sparkSession)
+    head = F.concat(F.lit(BEGIN + ROLE), escape(F.col("role")), F.lit(ROLE_END))
+    body = escape(F.col("text"))
+    sorted_ = messages.repartition("conv_id").sortWithinPartitions("conv_id", "begin", "role", "text")
+    pieces = sorted_.select("conv_id", F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).alias("head"), F.length(body).alias("size"), F.col("role").isin(*loss_roles).alias("under"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, n, at = object(), 0, 0
+        for batch in batches:
+            rows = []
+            for own, head, size, under in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "head", "size", "under")), strict=True):
+                if own != conv:
+                    conv, n, at = own, 0, 0
+                n += 1
+                rows.append((n, at + head if under else None, at + head + size if under else None))
+                at += head + size + len(END)
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), columns[0], batch.column("piece"), *columns[1:]], names=["conv_id", "n", "piece", "start", "end"])
+
+    return pieces.mapInArrow(number, f"conv_id {dict(messages.dtypes)['conv_id']}, n long, piece string, start long, end long")
+
+
 def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Fold a log and render it."""
     return render(fold(events), loss_roles)
@@ -120,6 +152,42 @@ def read_back(formatted: str, spans: str) -> Column:
     return F.pandas_udf(_read_back, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")(formatted, spans)
 
 
+def read_turns(turns: DataFrame) -> DataFrame:
+    """conv_id and what read_back gives, of turns as render_turns leaves them: pieces are read one by one into running counts and digests."""
+    kind = dict(turns.dtypes)["conv_id"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, conv, n, chars, loss_chars, whole, loss = False, None, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        for batch in batches:
+            done = []
+            for own, piece, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "start", "end")), strict=True):
+                if began and own != conv:
+                    done.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                if not began or own != conv:
+                    began, conv, n, chars, loss_chars, whole, loss = True, own, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                for role, said in parse(piece):
+                    n += 1
+                    whole.update(f"{role}\n{said}\n".encode())
+                if start is not None:
+                    said = unescape(piece[start - chars:end - chars])
+                    loss_chars += len(said)
+                    loss.update(said.encode())
+                chars += len(piece)
+            if done:
+                yield rows(done, batch.schema.field("conv_id").type)
+        if began:
+            yield rows([(conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars)], batch.schema.field("conv_id").type)
+
+    def rows(done: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        kinds = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["conv_id", *_READ])
+
+    return turns.select("conv_id", "piece", "start", "end").mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_READ = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
 def _read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for text, marked in zip(formatted, spans, strict=True):
@@ -127,4 +195,4 @@ def _read_back(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
         loss = "".join(unescape(text[s["start"]:s["end"]]) for s in marked)
         whole = "".join(f"{role}\n{said}\n" for role, said in turns)
         rows.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    return pd.DataFrame(rows, columns=_READ)
