@@ -1,9 +1,10 @@
 """Language-model scoring with Brown class-based n-grams.
 
 A text's probability is the product over its tokens of P(class | class before) * P(token | class). Exchange clustering assigns classes: a unit
-moves to the class that raises the likelihood of the class bigrams most, again and again. Units are the CORE most frequent words one by one, the
-end of text, and all other words by hashed ending, so that every word, seen or not, has a class and the bigram counts that the exchange works on have a fixed
-number of cells, while they, the word counts and the vocabulary cover all training text.
+moves to the class that raises the likelihood of the class bigrams most, again and again. Units of a first exchange are the CORE most frequent words one
+by one, the end of text, and all other words by hashed ending. From there every other training word that occurs LEAST times or more is a unit of its own: in
+ROUNDS sweeps over all training text its neighbours' classes are counted and it moves to the class of greatest gain, all words of a sweep at once. A
+sweep that does not raise the likelihood is taken back. Only words of fewer occurrences, and unseen ones, keep the class of their ending.
 
 Counting and scoring read texts where they lie. Only counts are shuffled, and of the texts to be scored only those words that are
 not among the TOP most frequent, to meet their counts.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -33,6 +35,8 @@ END = CORE
 UNITS = CORE + 1 + ENDINGS
 #: Sweeps over all units at most.
 SWEEPS = 12
+#: Occurrences from which a word outside the core has a class of its own; sweeps over these words at most; words of a block of counts.
+LEAST, ROUNDS, BLOCK = 2, 2, 256
 #: Further words that a task remembers at most.
 MEMORY = 400_000
 
@@ -192,6 +196,213 @@ def exchange(grid: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def coded(docs: DataFrame, rank: dict[bytes, int]) -> DataFrame:
+    """(numbers, rare) of each text: the numbers of its words as int32, and those words in order that are not among the top ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _Index(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                numbers, rare = [], []
+                for text in batch.column("text").slice(at, 500).cast(pa.binary()).to_pylist():
+                    own = words(text or b"")
+                    number = index.numbers(own)
+                    numbers.append(number.astype(np.int32).tobytes())
+                    rare.append([own[i] for i in np.flatnonzero(number >= TOP)])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.binary()), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["numbers", "rare"])
+
+    return docs.select("text").mapInArrow(code, "numbers binary, rare array<string>")
+
+
+def bounded(number: np.ndarray) -> np.ndarray:
+    """The numbers of a text between two ends."""
+    return np.concatenate([[TOP + END], number, [TOP + END]])
+
+
+def is_known(u: np.ndarray) -> np.ndarray:
+    """Whether a number stands for one word, or for the end."""
+    return (u < TOP) | (u == TOP + END)
+
+
+def edges_of(u: np.ndarray, rare: list) -> tuple[list, np.ndarray, list, np.ndarray]:
+    """(left word, left number, right word, right number) of the neighbours in a text of which either is not among the top words; a top word is null."""
+    known = is_known(u)
+    names = np.full(len(u), None, object)
+    names[~known] = rare
+    at = np.flatnonzero(~(known[:-1] & known[1:]))
+    return list(names[at]), u[at], list(names[at + 1]), u[at + 1]
+
+
+_EDGE = "lw string, ln int, rw string, rn int"
+
+
+def rare_edges(texts: DataFrame) -> DataFrame:
+    """The edges_of all coded texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, columns = batch.slice(at, 500), ([], [], [], [])
+                for b, rare in zip(part.column("numbers").to_pylist(), part.column("rare").to_pylist(), strict=True):
+                    for column, x in zip(columns, edges_of(bounded(np.frombuffer(b, np.int32)), rare), strict=True):
+                        column.extend(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32()) * 2, strict=True)], names=["lw", "ln", "rw", "rn"])
+
+    return texts.mapInArrow(cut, _EDGE)
+
+
+def with_classes(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges with what classes (word, ...) has of the left word (l_...) and the right one (r_...); top words meet nothing, spread over all tasks."""
+    for side, other in (("l", "r"), ("r", "l")):
+        own = classes.select(*[F.col(c).alias(f"{side}_{c}") for c in classes.columns])
+        edges = edges.withColumn("_k", F.coalesce(f"{side}w", F.concat(F.lit(" "), f"{other}w"))).join(own, F.col("_k") == F.col(f"{side}_word"), "left").drop("_k", f"{side}_word")
+    return edges
+
+
+class _Tally:
+    """Class bigrams of a task, and the neighbours' classes of its top words outside the core: class after, or CLASSES + class before."""
+
+    def __init__(self, size: int):
+        self.blocks = max(1, -(-size // BLOCK))
+        self.total, self.joint = np.zeros(self.blocks * BLOCK * 2 * CLASSES, np.int32), np.zeros(CLASSES * CLASSES, np.int64)
+
+    def add(self, left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray) -> None:
+        self.joint += np.bincount(of_left * CLASSES + of_right, minlength=CLASSES**2)
+        for word, code in ((left, of_right), (right, of_left + CLASSES)):
+            own = (word >= CORE) & (word < TOP)
+            at, n = np.unique(word[own] * (2 * CLASSES) + code[own], return_counts=True)
+            self.total[at] += n.astype(np.int32)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield self._row(-1, self.joint)
+        for k, own in enumerate(self.total.reshape(self.blocks, -1)):
+            if own.any():
+                yield self._row(k, own)
+
+    def _row(self, k: int, own: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(own)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].astype(np.int64).tobytes()], pa.binary())], names=["block", "at", "n"])
+
+
+_BLOCKS = "block int, at binary, n binary"
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """Class of greatest likelihood gain of each word, taken out of its class now. (word, code, n): counts of neighbours' classes, sorted by word from 0."""
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1.0))
+
+    gain = np.zeros((len(now), CLASSES))
+    for side, cells in ((0, joint.T), (1, joint)):
+        own = code // CLASSES == side
+        w, c, x = word[own], code[own] % CLASSES, n[own].astype(np.float64)
+        total = np.bincount(w, x, len(now))
+        size = np.tile(cells.sum(0).astype(np.float64), (len(now), 1))
+        size[np.arange(len(now)), now] -= total
+        gain -= f(size + total[:, None]) - f(size)
+        if len(w):
+            base = cells[c].astype(np.float64)
+            base[np.arange(len(w)), now[w]] -= x
+            base = np.maximum(base, 0.0)
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            gain[w[first]] += np.add.reduceat(f(base + x[:, None]) - f(base), first, axis=0)
+    at = np.argmax(gain[:, : CLASSES - 1], axis=1)
+    rows = np.arange(len(now))
+    return np.where(gain[rows, at] > gain[rows, now] + 1e-6, at, now)
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What the classes decide of the log likelihood of the training text."""
+    def f(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1.0))).sum())
+
+    return f(joint) - f(joint.sum(0)) - f(joint.sum(1))
+
+
+def sweep(texts: DataFrame, edges: DataFrame, of: np.ndarray, classes: DataFrame, size: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Under these classes: the class bigrams of all text, and the neighbours' classes of the top words by block and of the rarer words."""
+    shared = texts.sparkSession.sparkContext.broadcast(of)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, of = _Tally(size), shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                u = np.concatenate([bounded(np.frombuffer(b, np.int32)) for b in batch.column("numbers").slice(at, 500).to_pylist()]).astype(np.int64)
+                # the end of one text and the beginning of the next are no neighbours
+                pair = is_known(u[:-1]) & is_known(u[1:]) & _inner(batch.column("numbers").slice(at, 500).to_pylist())
+                left, right = u[:-1][pair], u[1:][pair]
+                tally.add(left, right, of[left], of[right])
+        yield from tally.rows()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(size)
+        for batch in batches:
+            tally.add(*(batch.column(c).to_numpy().astype(np.int64) for c in ("ln", "rn", "lc", "rc")))
+        yield from tally.rows()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for b in batches:
+            columns = [b.column(c) for c in ("lw", "ln", "rw", "rn")]
+            for number, own in (("ln", "l_class"), ("rn", "r_class")):
+                given = b.column(own).fill_null(-1).to_numpy()
+                columns.append(pa.array(np.where(given < 0, of[b.column(number).to_numpy()], given), pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=["lw", "ln", "rw", "rn", "lc", "rc"])
+
+    met = written(with_classes(edges, classes.select("word", "class")).mapInArrow(fill, _EDGE + ", lc int, rc int"), "brown-met")
+    blocks = written(texts.select("numbers").mapInArrow(known, _BLOCKS).unionByName(met.select("ln", "rn", "lc", "rc").mapInArrow(rare, _BLOCKS)), "brown-blocks")
+    joint = np.zeros(CLASSES * CLASSES, np.int64)
+    for _, at, n in blocks.where("block = -1").toLocalIterator():
+        joint[np.frombuffer(bytes(at), np.uint16)] += np.frombuffer(bytes(n), np.int64)
+    beside = met.where("lw IS NOT NULL").select(F.col("lw").alias("word"), F.col("rc").alias("code")).unionByName(met.where("rw IS NOT NULL").select(F.col("rw").alias("word"), (F.col("lc") + CLASSES).alias("code")))
+    return joint.reshape(CLASSES, CLASSES), blocks.where("block >= 0"), beside
+
+
+def _inner(numbers: list[bytes]) -> np.ndarray:
+    """False between two texts of a run of bounded ones, True elsewhere."""
+    ends = np.cumsum([len(b) // 4 + 2 for b in numbers])
+    inner = np.ones(int(ends[-1]) - 1 if len(ends) else 0, bool)
+    inner[ends[:-1] - 1] = False
+    return inner
+
+
+def moved(blocks: DataFrame, beside: DataFrame, of: np.ndarray, classes: DataFrame, joint: np.ndarray, size: int) -> tuple[np.ndarray, DataFrame]:
+    """The classes after a sweep: of by number, and classes (word, n, class) of the rarer words."""
+    shared = blocks.sparkSession.sparkContext.broadcast((of, joint))
+
+    def block(pdf):
+        of, joint = shared.value
+        total = np.zeros(BLOCK * 2 * CLASSES, np.int64)
+        for at, n in zip(pdf["at"], pdf["n"], strict=True):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        k, at = int(pdf["block"].iloc[0]), np.flatnonzero(total)
+        now = of[k * BLOCK : (k + 1) * BLOCK].astype(np.int64)
+        found = best_classes(at // (2 * CLASSES), at % (2 * CLASSES), total[at], now, joint)
+        return pd.DataFrame({"block": [k], "at": [found.astype(np.uint8).tobytes()]})
+
+    def word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = shared.value[1]
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                entries = part.column("beside").to_pylist()
+                w = np.repeat(np.arange(len(entries)), [len(x) for x in entries])
+                code, n = (np.array([y[k] for x in entries for y in x], np.int64) for k in ("code", "n"))
+                found = best_classes(w, code, n, part.column("class").to_numpy().astype(np.int64), joint)
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(found, pa.int32())], names=["word", "n", "class"])
+
+    of = of.copy()
+    for k, found in blocks.groupBy("block").applyInPandas(block, "block int, at binary").collect():
+        own = np.frombuffer(bytes(found), np.uint8)
+        low, high = max(CORE, k * BLOCK), min(size, (k + 1) * BLOCK)
+        if low < high:
+            of[low:high] = own[low - k * BLOCK : high - k * BLOCK]
+    gathered = beside.groupBy("word", "code").agg(F.count("*").alias("x")).groupBy("word").agg(F.collect_list(F.struct("code", F.col("x").alias("n"))).alias("beside"))
+    own = classes.where(F.col("n") >= LEAST).join(gathered, "word").select("word", "n", "class", "beside").mapInArrow(word, "word string, n long, class int")
+    return of, written(own.unionByName(classes.where(F.col("n") < LEAST)), "brown-classes")
+
+
 @dataclass
 class Model:
     """What scoring needs besides the counts of rarer words."""
@@ -207,7 +418,7 @@ class Model:
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of docs (text), and the counts of the words below the top ones (word, n); null texts count as empty."""
+    """The model of docs (text), and the counts and classes of the words below the top ones (word, n, class); null texts count as empty."""
     vocabulary = written(word_counts(docs), "brown-words")
     n_docs = docs.count()
     top = top_words(vocabulary)
@@ -217,32 +428,36 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     grid = unit_bigrams(docs, core)
     classes = exchange(grid)
     unit = np.concatenate([np.arange(min(CORE, len(top))), [ending(w) for w, _ in top[CORE:]], np.zeros(TOP - len(top))]).astype(np.int64)
-    # size of each unit: of the top words here, of the rest by one more aggregate
-    n_unit, v_unit = np.zeros(UNITS), np.zeros(UNITS)
-    np.add.at(n_unit, unit[: len(top)], [n for _, n in top])
-    np.add.at(v_unit, unit[: len(top)], 1)
     least = top[-1][1] if top else 0
     rare = vocabulary.where(F.col("n") < least) if top else vocabulary
+    of = np.concatenate([classes[unit], classes])
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
-        for batch in batches:
-            u = np.fromiter(map(ending, batch.column("word").cast(pa.binary()).to_pylist()), np.int64, batch.num_rows)
-            np.add.at(n, u, batch.column("n").to_numpy())
-            np.add.at(v, u, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS, dtype=np.int32)), pa.array(n), pa.array(v)], names=["unit", "n", "v"])
-
-    for u, n, v in rare.mapInArrow(units, "unit int, n long, v long").groupBy("unit").agg(F.sum("n"), F.sum("v")).collect():
-        n_unit[u] += n
-        v_unit[u] += v
-    n_unit[END], v_unit[END] = n_docs, 1 if n_docs else 0
-    n_class, v_class = (np.bincount(classes, x, CLASSES) for x in (n_unit, v_unit))
-    member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), classes] = 1.0
-    joint = member.T @ grid @ member
+    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [classes[ending(w)] for w in b.column("word").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(own, pa.int32())], names=["word", "n", "class"])
+
+    rare = written(rare.select("word", "n").mapInArrow(by_ending, "word string, n long, class int"), "brown-classes")
+    texts = written(coded(docs, rank), "brown-texts")
+    edges = written(rare_edges(texts), "brown-edges")
+    joint, blocks, beside = sweep(texts, edges, of, rare, len(top))
+    for _ in range(ROUNDS):
+        of_next, rare_next = moved(blocks, beside, of, rare, joint, len(top))
+        joint_next, blocks, beside = sweep(texts, edges, of_next, rare_next, len(top))
+        if likelihood(joint_next) <= likelihood(joint):
+            break
+        of, rare, joint = of_next, rare_next, joint_next
+    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
+    np.add.at(n_class, of[: len(top)], [n for _, n in top])
+    np.add.at(v_class, of[: len(top)], 1)
+    for c, n, v in rare.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
+        n_class[c] += n
+        v_class[c] += v
+    n_class[of[TOP + END]] += n_docs
+    v_class[of[TOP + END]] += 1 if n_docs else 0
+    joint = joint.astype(np.float64)
     share = (n_class + 1.0) / (n_class.sum() + CLASSES)
     steps = np.log10((joint + share) / (joint.sum(1, keepdims=True) + 1.0))
-    of = np.concatenate([classes[unit], classes])
     log_counts = np.concatenate([np.log10(np.array([n for _, n in top], np.float64) + 1.0), np.zeros(TOP - len(top) + UNITS)])
     model = Model(rank, log_counts, of.astype(np.int16), steps, np.log10(n_class + v_class + 1.0), n_docs, int(tokens) + n_docs, words_ + (1 if n_docs else 0))
     return model, rare
@@ -255,13 +470,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     scored alike, null ids pass through, other columns are ignored, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "rare", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "lw", "ln", "rw", "rn"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *(pa.list_(pa.string()), pa.list_(pa.int32())) * 2]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         index, row = _Index(m.top), TaskContext.get().partitionId() << 33
-        end = int(m.of[TOP + END])
         end_count = math.log10(m.n_docs + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -269,24 +483,32 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     own = words(text or b"")
                     number = index.numbers(own)
-                    c = np.concatenate([[end], m.of[number], [end]])
-                    further = number >= TOP
-                    other = Counter([own[i] for i in np.flatnonzero(further)])
-                    known = len(own) - int(further.sum()) + (1 if m.n_docs else 0)
-                    rows.append((row, doc_id, len(own) + 1, known, float(m.log_counts[number].sum()) + end_count, float(m.steps[c[:-1], c[1:]].sum() - m.weights[c[1:]].sum()), list(other), list(other.values())))
+                    u = bounded(number)
+                    met = is_known(u)
+                    pair = met[:-1] & met[1:]
+                    left, right = m.of[u[:-1][pair]], m.of[u[1:][pair]]
+                    known = int((number < TOP).sum()) + (1 if m.n_docs else 0)
+                    lw, ln, rw, rn = edges_of(u, [own[i].decode() for i in np.flatnonzero(number >= TOP)])
+                    rows.append((row, doc_id, len(own) + 1, known, float(m.log_counts[number].sum()) + end_count, float(m.steps[left, right].sum() - m.weights[right].sum()), lw, m.of[ln], rw, m.of[rn]))
                     row += 1
-                columns = [pa.array([r[k] for r in rows], kinds[k]) for k in (0, 1, 2, 3, 4, 5)]
-                columns.append(pa.array([r[6] for r in rows], pa.list_(pa.binary())).cast(kinds[6]))
-                columns.append(pa.array([r[7] for r in rows], kinds[7]))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            left, right = (np.where((own := b.column(f"{x}_class").fill_null(-1).to_numpy()) < 0, b.column(f"{x}n").to_numpy(), own) for x in "lr")
+            n = b.column("r_n").fill_null(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((n > 0).astype(np.int64)), pa.array(np.log10(n + 1.0)), pa.array(m.steps[left, right] - m.weights[right])], names=["row", "known_more", "counts_more", "model_more"])
 
-    walked = docs.select("doc_id", "text").mapInArrow(walk, "row long, doc_id long, n_tokens long, known long, counts double, model double, rare array<string>, times array<int>")
+    walked = docs.select("doc_id", "text").mapInArrow(walk, "row long, doc_id long, n_tokens long, known long, counts double, model double, lw array<string>, ln array<int>, rw array<string>, rn array<int>")
     walked = written(walked, "brown-rows")
-    met = walked.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    more = met.join(rare, "word").groupBy("row").agg(F.sum("times").alias("known_more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("counts_more"))
-    both = walked.drop("rare", "times").join(more, "row", "left")
+    edges = walked.select("row", F.explode(F.arrays_zip("lw", "ln", "rw", "rn")).alias("x")).select("row", "x.*")
+    more = with_classes(edges, rare).mapInArrow(add, "row long, known_more long, counts_more double, model_more double").groupBy("row")
+    more = more.agg(*[F.sum(c).alias(c) for c in ("known_more", "counts_more", "model_more")])
+    both = walked.drop("lw", "ln", "rw", "rn").join(more, "row", "left")
     counts = F.col("counts") + F.coalesce("counts_more", F.lit(0.0))
+    model_sum = F.col("model") + F.coalesce("model_more", F.lit(0.0))
     return both.select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (counts - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)).alias("base_score"), (counts + F.col("model")).alias("score"),
+        (counts - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)).alias("base_score"), (counts + model_sum).alias("score"),
     )
