@@ -18,7 +18,7 @@ from quillon.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a predicted language; those without a letter, or without text, go."""
+    """Documents whose text has a letter; those without one, or without text, go, by the `und` rule alone, whatever languages were learned."""
     model = langid.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     return langid.keep_identified(docs, model)
 

@@ -186,11 +186,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text has a predicted language; all columns stay."""
+    """The rows of docs whose text has a letter; all columns stay.
+
+    Rejection rests on the `und` rule alone: the machines name a language for every text with a letter. Where none could be learned these texts stay too.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: shared.value.predict(t)[0] != UNDETERMINED).astype(bool)
+        m = shared.value
+        return text.map(lambda t: m.predict(t)[0] != UNDETERMINED if m.langs else has_letter(t)).astype(bool)
 
     return docs.where(F.pandas_udf(known, "boolean")("text"))
