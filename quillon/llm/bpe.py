@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import slices
 
-#: Words that a task remembers at most before it starts anew.
-MEMORY = 200_000
+#: Words whose encodings a worker remembers, at most twice as many; pairs of tokens. Long words are not remembered, so this bounds memory too.
+MEMORY, LONG = 30_000, 64
 #: Fixed value: the white space that the vocabulary's patterns know.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary splits text into words.
@@ -69,9 +69,9 @@ class Vocabulary:
                     self.middle[name] = i
         self.longest = max(map(len, [*self.middle, *self.final]))
         self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.ids_of: dict[str, str] = {}
-        self.names_of: dict[str, str] = {}
+        self.pairs: dict[int, bool] = {}
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def _apart(self, a: int, b: int, own: int = -1) -> bool:
         """Whether no merge crosses the border between tokens a and b.
@@ -94,10 +94,10 @@ class Vocabulary:
                 return False
 
     def apart(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2 * MEMORY:
+            if len(self.pairs) > 4 * MEMORY:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(a, b)
         return found
@@ -134,13 +134,10 @@ class Vocabulary:
             yield word, ids[::-1]
             before = word
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the encodings of words as met in texts."""
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """(ids joined by blanks, decoded) of words as met in texts."""
         stand_in = {w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters): w for w in words}
-        for mapped, ids in self.traverse(sorted(stand_in)):
-            word = stand_in[mapped]
-            self.ids_of[word] = " ".join(map(str, ids))
-            self.names_of[word] = " ".join([self.names[i] for i in ids])
+        return {stand_in[mapped]: (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids])) for mapped, ids in self.traverse(sorted(stand_in))}
 
     def split(self, text: str) -> list[str]:
         """Words of a text and special tokens, which stand for themselves."""
@@ -148,23 +145,28 @@ class Vocabulary:
         for part in self.at_special.split(text) if self.at_special and "<|" in text else [text]:
             if part in self.special:
                 out.append(part)
-                self.ids_of.setdefault(part, str(self.special[part]))
-                self.names_of.setdefault(part, part)
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 part = "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
                 out += _SPLIT.findall(part)
         return out
 
+    def remembered(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """What each of words becomes. Those met lately are kept in two generations: words of the older one that are met again move to the younger one."""
+        found = {w: self.young.get(w) or self.old.get(w) or ((str(self.special[w]), w) if w in self.special else None) for w in words}
+        found |= self.learn([w for w, known in found.items() if known is None])
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        self.young.update((w, known) for w, known in found.items() if len(w) <= LONG)
+        return found
+
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by blanks, decoded text) of each text."""
-        if len(self.ids_of) > MEMORY:
-            self.ids_of.clear()
-            self.names_of.clear()
         split = [self.split(t) for t in texts]
-        self.learn({w for ws in split for w in ws if w not in self.ids_of})
+        found = self.remembered({w for ws in split for w in ws})
+        ids, names = ({w: known[k] for w, known in found.items()}.__getitem__ for k in (0, 1))
         for ws in split:
-            yield " ".join(map(self.ids_of.__getitem__, ws)), " ".join(map(self.names_of.__getitem__, ws))
+            yield " ".join(map(ids, ws)), " ".join(map(names, ws))
 
 
 @lru_cache(maxsize=2)
@@ -180,17 +182,14 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     any other; other columns are ignored; an empty table gives no rows. Texts are taken in slices of bounded size, so that very long ones
     do not meet in memory.
     """
-    small_batches(docs.sparkSession)
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, decoded = zip(*voc.encode([x or "" for x in part.column("text").to_pylist()]), strict=True)
-                counts = [x.count(" ") + 1 if x else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], schema=out)
+        for part in slices(batches):
+            ids, decoded = zip(*voc.encode([x or "" for x in part.column("text").to_pylist()]), strict=True)
+            counts = [x.count(" ") + 1 if x else 0 for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], schema=out)
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids string, decoded string")
 

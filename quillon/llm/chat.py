@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches
+from quillon.llm.common import slices
 
 BEGIN, ROLE, ROLE_END, END = "<s>", "[INST]", "[/INST]", "</s>"
 #: A control string with any number of backslashes after its first character.
@@ -111,7 +111,6 @@ def render_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     start and end are the loss span in code points of the whole, null for other roles. The rows of a conversation lie in one partition in
     order; only a sort gathers them there and the running offset is all that a task holds, so a conversation may be of any length.
     """
-    small_batches(messages.sparkSession)
     head = F.concat(F.lit(BEGIN + ROLE), escape(F.col("role")), F.lit(ROLE_END))
     body = escape(F.col("text"))
     sorted_ = messages.repartition("conv_id").sortWithinPartitions("conv_id", "begin", "role", "text")
@@ -119,7 +118,7 @@ def render_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, n, at = object(), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for own, head, size, under in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "head", "size", "under")), strict=True):
                 if own != conv:
@@ -158,7 +157,7 @@ def read_turns(turns: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         began, conv, n, chars, loss_chars, whole, loss = False, None, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             for own, piece, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "start", "end")), strict=True):
                 if began and own != conv:

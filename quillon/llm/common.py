@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of whole texts that a Python helper gets at a time, at most.
+#: Rows of whole texts that a Python helper takes out of an Arrow batch at a time, at most.
 BATCH = 500
 
 
@@ -20,16 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; a lost executor loses nothing of it."""
     shared_dir(df.sparkSession)
@@ -37,17 +46,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows. clean_up() deletes it."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands rows to Python helpers in batches of at most BATCH; those of whole texts would take hundreds of MB a task by default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, BATCH)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when the results that were made from them are written."""
+    _delete(spark, scratch_dir(spark))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches of a Python helper in parts of so many rows, so that whole texts are taken out of Arrow a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import slices
+
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 805_306_457)
 #: Code points of a span, and values in a sketch.
@@ -162,14 +164,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "lead", F.col("key").desc(), "text")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited long, same_next long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _OUT.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in _OUT.split(", ")]
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for bucket, lead, doc_id, text in zip(*(batch.column(c) for c in ("bucket", "lead", "doc_id", "text")), strict=True):
             bucket, lead = bucket.as_py(), lead.as_py()
@@ -184,7 +186,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edited = last.join(last.n - half, own, min(half, own.n))
                 edited_print = fingerprint(edited, sketch(edited))
                 digest = hashlib.sha256((last_text[: last.n - half] + text[:half]).encode()).hexdigest()
-                rows.append((last_id, last.n, digest, last_print, edited_print, likeness(last_print, edited_print), likeness(last_print, print_)))
+                rows.append((last_id, last.n, digest, last_print, edited_print, likeness(last_print, edited_print), likeness(last_print, print_), common_extension(last, 0, edited, 0), common_extension(last, 0, own, 0)))
             held = None if lead else (bucket, doc_id.as_py(), text, own, print_)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
 
@@ -193,6 +195,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text) against its edited text and the next row in descending order of doc_id (after the last: the first).
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next row's text, or all of it. Null texts count as
-    empty; null ids come last; rows of equal id follow in order of text; a single row is its own next; an empty table gives no rows.
+    empty; null ids come last; rows of equal id follow in order of text; a single row is its own next; an empty table gives no rows. same_edited and same_next
+    are the lengths of the longest common beginnings with the edited and the next text.
     """
     return neighbours(docs).select("bucket", "lead", "doc_id", "text").mapInArrow(_compare, _OUT)

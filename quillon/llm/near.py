@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, small_batches, words, written
+from quillon.llm.common import connected_components, slices, words, written
 
 TABLES, ROWS = 14, 3
 #: Distinct words whose hashes a task remembers at most.
@@ -83,7 +83,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 found = shingle_set(text or b"", width, hashes)
@@ -105,7 +105,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, last_set = _Hashes(), None, None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column("text_a").cast(pa.binary()).to_pylist(), batch.column("text_b").cast(pa.binary()).to_pylist(), strict=True):
                 if last is None or y != last:
@@ -126,7 +126,7 @@ def _profiles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t or b"", width, hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             totals = [np.bincount((f & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype(np.int32) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(totals, pa.list_(pa.int32())), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["rep", "totals", "shingles"])
@@ -164,7 +164,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     has no shingles and no link. Rows of equal doc_id are one document for links; a row without doc_id has none, a null
     component and is kept. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     sets = written(document_sets(docs, width), "near-sets")
     some = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.first("bands").alias("bands"), F.min("one").alias("one"), F.min("two").alias("two")), "near-classes")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import small_batches, written
+from quillon.llm.common import slices, written
 
 # The base rules. A match that is too short is dropped after matching, as it also uses up its text.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -78,7 +78,7 @@ def scan_blobs(blobs: DataFrame, rules: dict = RULES) -> DataFrame:
     out = pa.schema([("blob_id", pa.binary()), ("scanned", pa.list_(pa.string())), ("findings", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             todo = batch.column("todo").to_pylist()
             found = [find(text.as_py(), rules, set(todo[i])) for i, text in enumerate(batch.column("content"))]
             yield pa.RecordBatch.from_arrays([batch.column("blob_id").cast(pa.binary()), pa.array(todo, out.field(1).type), pa.array(found, out.field(2).type)], schema=out)
@@ -93,7 +93,6 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: d
     empty; null and repeated paths are kept as they are; an empty table gives no rows. The returned ledger holds the earlier
     rows and those of this run, and is already stored in the shared folder.
     """
-    small_batches(versions.sparkSession)
     ids = F.array(*[F.lit(x) for x in rule_ids(rules)])
     content = F.coalesce("content", F.lit(""))
     held = versions.select("path", F.xxhash64("path").alias("handle"), blob_id(content).alias("blob_id"), content.alias("content"))
