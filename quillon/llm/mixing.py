@@ -9,14 +9,12 @@ small ones, within hash buckets of a bounded number of documents, so that a hot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, written
+from quillon.llm.common import WORD, release, written
 
 #: Documents in a rounding bucket, about.
 BUCKET = 4096
@@ -89,24 +87,26 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         inside = (step > F.col("low")) & (step < F.col("high"))
         off = F.abs(miss) / F.col("target")
         after = F.when(off <= tolerance, F.col("lambda")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
-        state = written(found.select("sid", "target", "total", "low", "high", after.alias("lambda"), off.alias("off")), "mix-state")
+        before, state = state, written(found.select("sid", "target", "total", "low", "high", after.alias("lambda"), off.alias("off")), "mix-state")
+        release(before)
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    release(hist)
     return state.select("sid", "lambda")
 
 
-def _copies(pdf: pd.DataFrame) -> pd.DataFrame:
+def round_bucket(rows: pa.Table) -> pa.Table:
     """Round the rates of a bucket: from the largest document down, each takes the whole number next to its rate that best pays back the error so far."""
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+    rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending")])  # null ids last
     error, out = 0.0, []
-    for size, rate in zip(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy(np.float64), strict=True):
+    for size, rate in zip(rows["size"].to_numpy().astype(np.float64), rows["rate"].to_numpy(), strict=True):
         floor = float(np.floor(rate + 1e-9))
         up = min(floor + 1.0, float(np.ceil(rate - 1e-9)))
         take = up if size and (error + rate * size - floor * size) * 2 >= size * (up - floor) and up > floor else floor
         error += (rate - take) * size
         out.append(int(take))
-    return pdf.assign(copies=np.array(out, np.int64))
+    return rows.append_column("copies", pa.array(out, pa.int64()))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = 3.0, row: str | None = None) -> DataFrame:
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
     rated = placed.join(rates, "sid", "left").select("doc_id", *own, "size", "source_size", "target", rate.alias("rate"), "sid", bucket.alias("bucket"))
     schema = "doc_id long, size long, source_size long, target double, rate double, copies long" + "".join(f", {x} long" for x in own)
 
-    def rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _copies(pdf)[["doc_id", "size", "source_size", "target", "rate", "copies", *own]]
+    def rounded(rows: pa.Table) -> pa.Table:
+        return round_bucket(rows).select(["doc_id", "size", "source_size", "target", "rate", "copies", *own])
 
-    return rated.groupBy("sid", "bucket").applyInPandas(rounded, schema)
+    return rated.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("sid", "bucket").applyInArrow(rounded, schema)

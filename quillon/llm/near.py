@@ -157,12 +157,21 @@ def _most_common() -> Column:
     return total
 
 
+def same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): for each doc_id of some (doc_id, set_key) that has several texts, each of their classes (set_key, rep) and the least of them."""
+    digest = F.xxhash64("set_key")
+    several = some.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low < high").select("doc_id")
+    held = some.join(several, "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return held.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets (words lower-cased in A-Z). A null text, or one without words,
-    has no shingles and no link. Rows of equal doc_id are one document for links; a row without doc_id has none, a null
-    component and is kept. Other columns are ignored; an empty table gives no rows.
+    has no shingles and no link. Rows of equal doc_id are one document: whatever is linked with one of their texts is linked with all of them; a row
+    without doc_id has none, a null component and is kept. Other columns are ignored; an empty table gives no rows.
     """
     sets = written(document_sets(docs, width), "near-sets")
     some = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -188,7 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     leaders = places.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     led = places.join(leaders, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     first = written(led.groupBy("rep").agg(F.max(F.struct("n", "lead")).alias("m")).select(F.col("rep").alias("a"), F.col("m.lead").alias("b")), "near-pairs")
-    links = written(_confirm(first, texts, width, percent), "near-links")
+    links = _confirm(first, texts, width, percent).unionByName(same_id(some.select("doc_id", "set_key"), classes))
+    links = written(links, "near-links")
     components = connected_components(links)
 
     # second round: pairs of a table that are still apart

@@ -39,15 +39,46 @@ def test_links_match_all_pairs(spark):
 
 
 def test_recall_at_the_threshold():
-    """Pairs at exactly the least cosine share a direction."""
+    """Pairs at exactly the least cosine share a direction, for several dimensions and sizes of the largest label."""
     rng = np.random.default_rng(1)
-    met = 0
-    for _ in range(500):
-        x = rng.standard_normal(64)
-        x /= np.linalg.norm(x)
-        z = rng.standard_normal(64)
-        z -= (z @ x) * x
-        y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z)
-        a, b = (set(caps.directions(v, 5000, 0.93).tolist()) for v in (x, y))
-        met += bool(a & b)
-    assert met >= 499
+    for dim, pairs, largest in ((16, 300, 5000), (64, 500, 5000), (64, 300, 200), (64, 100, 100_000), (768, 60, 5000)):
+        x = rng.standard_normal((pairs, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.standard_normal((pairs, dim))
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        a, b = (set(zip(*(v.tolist() for v in caps.directions(side, largest, 0.93)), strict=True)) for side in (x, y))
+        assert len({row for row, _ in a & b}) >= 0.99 * pairs, (dim, largest)
+
+
+def test_decoding_lists_all_directions_beyond_the_threshold():
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((40, 9)), rng.standard_normal((40, 7))
+    for threshold in (-9.0, 0.0, 1.5, 3.0, 9.0):
+        got = set(zip(*(v.tolist() for v in caps.list_decode(a, b, threshold)), strict=True))
+        assert got == {(r, i * 7 + j) for r in range(40) for i in range(9) for j in range(7) if b[r, j] >= threshold - a[r, i]}
+
+
+def test_crowded_directions_count_each_link_once(spark, monkeypatch):
+    """Large groups of near vectors, with chunks so small that many tiles meet, some pairs crowded and some not."""
+    monkeypatch.setattr(caps, "CROWD", 6)
+    monkeypatch.setattr(caps, "TILE", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(12):
+        c = rng.standard_normal(32)
+        rows += [(1000 * g + k, (c + rng.standard_normal(32) * rng.choice([0.02, 0.25, 0.4])).astype(np.float32).tolist(), g % 2) for k in range(60 if g < 2 else 7)]
+    rows += [(5, rows[0][1], 0), (6, rows[0][1], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = caps.near_vectors(vectors, 0.93).collect()
+    want = brute(rows, 0.93)
+    assert sorted((r["vec_id"], r["component_id"]) for r in got) == sorted((i, c) for i, _, c in want)
+    assert sum(abs(x - y) for x, y in zip(sorted(r["n_links"] for r in got), sorted(n for _, n, _ in want), strict=True)) <= 0.01 * sum(n for _, n, _ in want)
+    assert max(r["n_links"] for r in got) > 30
+
+
+def test_rows_of_equal_id_share_a_component(spark):
+    a, b, c = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5], [1.0, -1.0, 4.0]
+    rows = [(3, a, 0), (7, a, 0), (7, b, 0), (7, c, 1), (9, c, 1), (12, b, 1)]
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(3, 1, 3), (7, 0, 3), (7, 1, 3), (7, 1, 3), (9, 1, 3), (12, 0, 12)]

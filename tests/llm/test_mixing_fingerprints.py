@@ -99,3 +99,9 @@ def test_likeness_estimates_the_share_of_spans(documents):
     x, y = set(a.spans(16)), set(b.spans(16))
     near = fingerprints.likeness(*[fingerprints.fingerprint(p, fingerprints.sketch(p)) for p in (a, b)])
     assert abs(near - len(x & y) / len(x | y)) < 0.2
+
+
+def test_large_ids_beside_null_ones_stay_whole(spark):
+    rows = [(9007199254740993 + 2 * k, "a b c", "s") for k in range(5)] + [(None, "a b c d", "s"), (None, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)

@@ -60,3 +60,9 @@ def test_connected_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+
+
+def test_rows_of_equal_id_are_one_document(spark):
+    rows = [(3, "a b c d e"), (7, "a b c d e"), (7, "x y z w v"), (8, "x y z w v"), (9, "p q r s t"), (None, "x y z w v")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in got) == sorted(map(str, [(3, 3, True), (7, 3, False), (7, 3, False), (8, 3, False), (9, 9, True), (None, None, True)]))
