@@ -5,9 +5,9 @@ collection, so TABLES * TABLES tables cost 2 * TABLES * ROWS minhashes and not T
 collections fails as a whole: at s = 0.8 with three rows and 14 keys a miss has a chance of 2 * (1 - 0.8^3)^14, below 1 in 10,000.
 
 Documents with equal sets are one class, found by a digest of the set. A pair can only meet if it shares a key of either collection, so
-keys that one class alone holds go before pairs of keys are formed. Candidates are confirmed on full sets, in two rounds that lose no link and never list
-all pairs of a large group: first each class against the class that leads most of its tables; then, of the pairs in a table, only those that the
-first round has left in different components and whose sizes, shared shingles by hash bucket and minhash bits allow the similarity.
+keys that one class alone holds go before pairs of keys are formed. Candidates are confirmed on full sets, in rounds that lose no link and do not list
+all pairs of a large group: first each class against the class that leads most of its tables; then, again and again, against a few leaders of other components; last,
+of the pairs in a table, only those that the rounds before have left in different components and whose sizes, shared shingles by hash bucket and minhash bits allow the similarity.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ TABLES, ROWS = 14, 3
 MEMORY = 200_000
 #: Minhash bits that may differ: the similarity asked for leaves 24 or fewer of 84 but for one pair in a million.
 BITS_OFF = 24
+#: Leaders that a class is held against in each round after the first, at most; rounds go on as long as they find links, and a last one tests all that is left.
+LEADS = 4
 #: Hash buckets of the counts that bound an intersection, a power of two; four counts of 16 bits are packed into a word.
 PROFILE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -157,6 +159,47 @@ def _most_common() -> Column:
     return total
 
 
+_HELD = ["rep", "component", "main", "size", *[f"p{k}" for k in range(PROFILE // 4)], "one", "two", "bands"]
+
+
+def _sides(apart: DataFrame, side: str) -> DataFrame:
+    return apart.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in _HELD])
+
+
+def _with_component(apart: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of tables that hold several components, each with its own and the one that has most rows of the table (main)."""
+    held = apart.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counts = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
+    return held.join(counts.where("components > 1").select("key", F.col("most.component").alias("main")), "key")
+
+
+def _could(percent: int) -> Column:
+    """Whether sizes, shared shingles and minhash bits of sides a and b allow the similarity."""
+    common = _most_common()
+    fits = (common * 100 >= (F.col("size_a") + F.col("size_b") - common) * percent) | (F.least("size_a", "size_b") > 65535)
+    bits = F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
+    return (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (bits <= BITS_OFF) & fits
+
+
+def _led_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with at most LEADS leaders of its tables that are in another component and could be near.
+
+    The leader of a component in a table is its class that meets most others over all tables; each class meets the leaders of the first and the last component of a table.
+    """
+    met = apart.groupBy("key").agg(F.count("*").alias("n"))
+    often = apart.join(met, "key").groupBy("rep").agg(F.sum("n").alias("often"))
+    held = apart.join(often, "rep")
+    best = held.groupBy("key", "component").agg(F.max(F.struct("often", *_HELD)).alias("best"), F.max("often").alias("often"))
+    order = F.struct("often", "component")
+    ends = best.groupBy("key").agg(F.max(F.struct(order.alias("o"), "best")).alias("top"), F.min(F.struct(order.alias("o"), "best")).alias("end"))
+    leads = ends.select("key", F.explode(F.array("top.best", "end.best")).alias("lead")).select("key", *[F.col("lead")[c].alias(f"{c}_b") for c in _HELD])
+    both = _sides(held, "a").join(leads, "key").where((F.col("component_a") != F.col("component_b")) & _could(percent))
+    count = both.groupBy(F.col("rep_a"), F.col("rep_b")).agg(F.count("*").alias("n"))
+    few = count.groupBy("rep_a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.col("rep_b").alias("lead"))), False), 1, LEADS).alias("leads"))
+    pairs = few.select("rep_a", F.explode("leads.lead").alias("lead"))
+    return pairs.select(F.greatest("rep_a", "lead").alias("a"), F.least("rep_a", "lead").alias("b")).distinct()
+
+
 def same_id(some: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): for each doc_id of some (doc_id, set_key) that has several texts, each of their classes (set_key, rep) and the least of them."""
     digest = F.xxhash64("set_key")
@@ -207,20 +250,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     apart = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two", "bands"), "rep"), "near-apart")
     apart = apart.join(written(_profiles(apart.select("rep").distinct(), texts, width), "near-profiles"), "rep")
     # one with too many shingles of its own is near none of the others
-    apart = apart.where((F.col("shared") * 100 >= F.col("size") * percent) | (F.col("size") > 65535))
-    a, b = (apart.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", *[f"p{k}" for k in range(PROFILE // 4)], "one", "two", "bands")]) for side in ("a", "b"))
-    # a pair shows up once, in the table of the first keys of either collection that it shares
+    apart = apart.where((F.col("shared") * 100 >= F.col("size") * percent) | (F.col("size") > 65535)).drop("component")
+    apart = written(apart, "near-apart")
+    tested = first
+    while True:
+        # further rounds against leaders, as long as they link anything: a large group comes together without its pairs being listed
+        led = written(_led_pairs(_with_component(apart, components), percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        more = written(_confirm(led, texts, width, percent), "near-links")
+        tested = tested.unionByName(led)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        components = connected_components(links)
+    # last round: the pairs of a table that are still apart; a pair shows up once, in the table of the first keys of either collection that it shares
+    # the main component of a table meets the others only, never itself
+    left = _with_component(apart, components)
+    a, b = _sides(left, "a"), _sides(left.where("component <> main"), "b")
+    order = (F.col("component_a") == F.col("main_a")) | (F.col("component_a") < F.col("component_b"))
     alike = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     once = (F.array_position(F.slice(alike, 1, TABLES), True) == F.col("i") + 1) & (F.array_position(F.slice(alike, TABLES + 1, TABLES), True) == F.col("j") - TABLES + 1)
-    common = _most_common()
-    fits = (common * 100 >= (F.col("size_a") + F.col("size_b") - common) * percent) | (F.least("size_a", "size_b") > 65535)
-    bits = F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
-    sizes = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    could = (F.col("component_a") < F.col("component_b")) & sizes & (bits <= BITS_OFF) & fits
-    second = a.join(b, ["key", "i", "j"]).where(could & once).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "near-pairs")
-    if not second.isEmpty():
-        more = written(_confirm(second, texts, width, percent), "near-links")
+    last = a.join(b, ["key", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & order & _could(percent) & once).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    last = written(last.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    if not last.isEmpty():
+        more = written(_confirm(last, texts, width, percent), "near-links")
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
 
