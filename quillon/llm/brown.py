@@ -2,12 +2,13 @@
 
 A text's probability is the product over its tokens of P(class | class before) * P(token | class). Exchange clustering assigns classes: a unit
 moves to the class that raises the likelihood of the class bigrams most, again and again. Units of a first exchange are the CORE most frequent words one
-by one, the end of text, and all other words by hashed ending. From there every other training word that occurs LEAST times or more is a unit of its own: in
-ROUNDS sweeps over all training text its neighbours' classes are counted and it moves to the class of greatest gain, all words of a sweep at once. A
-sweep that does not raise the likelihood is taken back. Only words of fewer occurrences, and unseen ones, keep the class of their ending.
+by one, the end of text, and all other words by hashed ending. From there the exchange goes on over all training text for each of the TOP most frequent words: in up to
+ROUNDS sweeps their neighbours' classes are counted and each moves to the class of greatest gain, all words of a sweep at once; a sweep that does not raise the
+likelihood is taken back. Every rarer training word then gets the class of greatest likelihood under these by its own neighbours. Only words that training
+never met have the class of their ending.
 
-Counting and scoring read texts where they lie. Only counts are shuffled, and of the texts to be scored only those words that are
-not among the TOP most frequent, to meet their counts.
+Texts are read where they lie. Only counts are shuffled, and of the texts those words that are not among the TOP most frequent, to meet their counts and
+classes, which grow with the corpus.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import words, written
+from quillon.llm.common import release, slices, words, written
 
 #: Frequent words that are sent to every task with their counts: a fixed bound.
 TOP = 262_144
@@ -35,8 +36,11 @@ END = CORE
 UNITS = CORE + 1 + ENDINGS
 #: Sweeps over all units at most.
 SWEEPS = 12
-#: Occurrences from which a word outside the core has a class of its own; sweeps over these words at most; words of a block of counts.
-LEAST, ROUNDS, BLOCK = 2, 2, 256
+#: Sweeps over the top words at most; words of a block of counts; tasks whose counts are added up first.
+ROUNDS, BLOCK, NEAR_TASKS = 2, 256, 64
+CELLS = BLOCK * 2 * CLASSES
+#: Neighbours that a task holds before it counts them.
+WAIT = 2_000_000
 #: Further words that a task remembers at most.
 MEMORY = 400_000
 
@@ -196,25 +200,6 @@ def exchange(grid: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def coded(docs: DataFrame, rank: dict[bytes, int]) -> DataFrame:
-    """(numbers, rare) of each text: the numbers of its words as int32, and those words in order that are not among the top ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                numbers, rare = [], []
-                for text in batch.column("text").slice(at, 500).cast(pa.binary()).to_pylist():
-                    own = words(text or b"")
-                    number = index.numbers(own)
-                    numbers.append(number.astype(np.int32).tobytes())
-                    rare.append([own[i] for i in np.flatnonzero(number >= TOP)])
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.binary()), pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["numbers", "rare"])
-
-    return docs.select("text").mapInArrow(code, "numbers binary, rare array<string>")
-
-
 def bounded(number: np.ndarray) -> np.ndarray:
     """The numbers of a text between two ends."""
     return np.concatenate([[TOP + END], number, [TOP + END]])
@@ -225,67 +210,117 @@ def is_known(u: np.ndarray) -> np.ndarray:
     return (u < TOP) | (u == TOP + END)
 
 
-def edges_of(u: np.ndarray, rare: list) -> tuple[list, np.ndarray, list, np.ndarray]:
-    """(left word, left number, right word, right number) of the neighbours in a text of which either is not among the top words; a top word is null."""
-    known = is_known(u)
-    names = np.full(len(u), None, object)
-    names[~known] = rare
-    at = np.flatnonzero(~(known[:-1] & known[1:]))
-    return list(names[at]), u[at], list(names[at + 1]), u[at + 1]
+class _Tally:
+    """Class bigrams of a task, and the neighbours' classes of its top words outside the core: word * 2 * CLASSES + class after, or + CLASSES + class before."""
 
+    def __init__(self):
+        self.joint, self.codes, self.n, self.wait, self.waiting = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-_EDGE = "lw string, ln int, rw string, rn int"
+    def add(self, u: np.ndarray, c: np.ndarray, known: np.ndarray) -> None:
+        """A text's numbers between two ends, their classes, and whether they are known."""
+        pair = known[:-1] & known[1:]
+        self.joint += np.bincount(c[:-1][pair].astype(np.int64) * CLASSES + c[1:][pair], minlength=CLASSES**2)
+        for word, code in ((u[:-1], c[1:]), (u[1:], c[:-1] + CLASSES)):
+            own = (word >= CORE) & (word < TOP)
+            self.wait.append(word[own] * (2 * CLASSES) + code[own])
+            self.waiting += len(self.wait[-1])
+        if self.waiting > WAIT:
+            self.count()
 
+    def count(self) -> None:
+        codes, n = np.unique(np.concatenate([self.codes[:0], *self.wait]), return_counts=True)
+        both, place = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+        self.n = np.bincount(place, np.concatenate([self.n, n]), len(both)).astype(np.int64)
+        self.codes, self.wait, self.waiting = both, [], 0
 
-def rare_edges(texts: DataFrame) -> DataFrame:
-    """The edges_of all coded texts."""
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, cell, count); block -1 holds the class bigrams."""
+        self.count()
+        at = np.flatnonzero(self.joint)
+        yield -1, at, self.joint[at]
+        block = self.codes // CELLS
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for low, high in zip(first, [*first[1:], len(block)][: len(first)], strict=True):
+            yield int(block[low]), self.codes[low:high] % CELLS, self.n[low:high]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, columns = batch.slice(at, 500), ([], [], [], [])
-                for b, rare in zip(part.column("numbers").to_pylist(), part.column("rare").to_pylist(), strict=True):
-                    for column, x in zip(columns, edges_of(bounded(np.frombuffer(b, np.int32)), rare), strict=True):
-                        column.extend(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32()) * 2, strict=True)], names=["lw", "ln", "rw", "rn"])
 
-    return texts.mapInArrow(cut, _EDGE)
+_SUMS = "block int, part int, at binary, n binary"
+_MET = f"{_SUMS}, word string, own int, before int, after int, other string, other_own int"
 
 
-def with_classes(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """edges with what classes (word, ...) has of the left word (l_...) and the right one (r_...); top words meet nothing, spread over all tasks."""
-    for side, other in (("l", "r"), ("r", "l")):
-        own = classes.select(*[F.col(c).alias(f"{side}_{c}") for c in classes.columns])
-        edges = edges.withColumn("_k", F.coalesce(f"{side}w", F.concat(F.lit(" "), f"{other}w"))).join(own, F.col("_k") == F.col(f"{side}_word"), "left").drop("_k", f"{side}_word")
-    return edges
+def neighbours(docs: DataFrame, shared, of: np.ndarray, rare: bool) -> DataFrame:
+    """One reading of all texts under classes `of` by word number: rows of counts by block (a _Tally for each task) and, if asked for, of rarer words.
 
+    Of these each occurrence is a row (word, class of its ending, class before, class after; CLASSES more where the neighbour is itself rare), and so is each pair of rare neighbours
+    (word, other). shared: the broadcast ranks of the top words.
+    """
+    names = [c.split()[0] for c in _MET.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    classes = docs.sparkSession.sparkContext.broadcast(of.astype(np.int16))
 
-class _Tally:
-    """Class bigrams of a task, and the neighbours' classes of its top words outside the core: class after, or CLASSES + class before."""
+    def batch_of(columns: dict, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
-    def __init__(self, size: int):
-        self.blocks = max(1, -(-size // BLOCK))
-        self.total, self.joint = np.zeros(self.blocks * BLOCK * 2 * CLASSES, np.int32), np.zeros(CLASSES * CLASSES, np.int64)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, tally, of, part = _Index(shared.value), _Tally(), classes.value, TaskContext.get().partitionId() // NEAR_TASKS
+        for batch in slices(batches):
+            met, pairs = [[], [], [], []], [[], [], [], []]
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                own = words(text or b"")
+                u = bounded(index.numbers(own))
+                c, known = of[u], is_known(u)
+                tally.add(u, c, known)
+                if rare:
+                    at = np.flatnonzero(~known)
+                    coded = c + np.where(known, 0, CLASSES).astype(np.int16)
+                    for column, x in zip(met, ([own[i - 1] for i in at], c[at], coded[at - 1], coded[at + 1]), strict=True):
+                        column.append(x)
+                    two = np.flatnonzero(~(known[:-1] | known[1:]))
+                    for column, x in zip(pairs, ([own[i - 1] for i in two], c[two], [own[i] for i in two], c[two + 1]), strict=True):
+                        column.append(x)
+            for columns, fields in ((met, ("word", "own", "before", "after")), (pairs, ("word", "own", "other", "other_own"))):
+                if any(map(len, columns[0])):
+                    found = {f: pa.array([w for ws in c for w in ws], pa.binary()) if f in ("word", "other") else pa.array(np.concatenate(c)) for f, c in zip(fields, columns, strict=True)}
+                    yield batch_of(found, len(found["word"]))
+        for block, at, n in tally.rows():
+            yield batch_of({"block": pa.array([block]), "part": pa.array([part]), "at": pa.array([at.astype(np.uint16).tobytes()]), "n": pa.array([n.tobytes()])}, 1)
+
+    return docs.select("text").mapInArrow(meet, _MET)
+
+
+def added(sums: DataFrame, *by: str) -> DataFrame:
+    """The counts of sums added up by block, or by block and part: rows stream by in order, and one block is held at a time."""
 
-    def add(self, left: np.ndarray, right: np.ndarray, of_left: np.ndarray, of_right: np.ndarray) -> None:
-        self.joint += np.bincount(of_left * CLASSES + of_right, minlength=CLASSES**2)
-        for word, code in ((left, of_right), (right, of_left + CLASSES)):
-            own = (word >= CORE) & (word < TOP)
-            at, n = np.unique(word[own] * (2 * CLASSES) + code[own], return_counts=True)
-            self.total[at] += n.astype(np.int32)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(CELLS, np.int64)
+
+        def row() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([total[at].tobytes()])], names=["block", "part", "at", "n"])
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        yield self._row(-1, self.joint)
-        for k, own in enumerate(self.total.reshape(self.blocks, -1)):
-            if own.any():
-                yield self._row(k, own)
+        for batch in batches:
+            for block, part, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "at", "n")), strict=True):
+                own = (block, part if len(by) > 1 else 0)
+                if own != key:
+                    if key is not None:
+                        yield row()
+                    key = own
+                    total[:] = 0
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        if key is not None:
+            yield row()
 
-    def _row(self, k: int, own: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(own)
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].astype(np.int64).tobytes()], pa.binary())], names=["block", "at", "n"])
+    return sums.select("block", "part", "at", "n").repartition(*by).sortWithinPartitions(*by).mapInArrow(add, _SUMS)
 
 
-_BLOCKS = "block int, at binary, n binary"
+def tally(docs: DataFrame, shared, of: np.ndarray, rare: bool = False) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Under these classes: the class bigrams of known neighbours, the summed counts of the top words by block, and the rows of rarer words."""
+    met = written(neighbours(docs, shared, of, rare), "brown-met")
+    sums = written(added(added(met.where("block IS NOT NULL"), "block", "part"), "block"), "brown-sums")
+    joint = np.zeros(CLASSES * CLASSES, np.int64)
+    for r in sums.where("block = -1").collect():  # one row
+        joint[np.frombuffer(bytes(r["at"]), np.uint16)] = np.frombuffer(bytes(r["n"]), np.int64)
+    return joint.reshape(CLASSES, CLASSES), sums.where("block >= 0"), met
 
 
 def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -320,87 +355,77 @@ def likelihood(joint: np.ndarray) -> float:
     return f(joint) - f(joint.sum(0)) - f(joint.sum(1))
 
 
-def sweep(texts: DataFrame, edges: DataFrame, of: np.ndarray, classes: DataFrame, size: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """Under these classes: the class bigrams of all text, and the neighbours' classes of the top words by block and of the rarer words."""
-    shared = texts.sparkSession.sparkContext.broadcast(of)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, of = _Tally(size), shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                u = np.concatenate([bounded(np.frombuffer(b, np.int32)) for b in batch.column("numbers").slice(at, 500).to_pylist()]).astype(np.int64)
-                # the end of one text and the beginning of the next are no neighbours
-                pair = is_known(u[:-1]) & is_known(u[1:]) & _inner(batch.column("numbers").slice(at, 500).to_pylist())
-                left, right = u[:-1][pair], u[1:][pair]
-                tally.add(left, right, of[left], of[right])
-        yield from tally.rows()
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(size)
-        for batch in batches:
-            tally.add(*(batch.column(c).to_numpy().astype(np.int64) for c in ("ln", "rn", "lc", "rc")))
-        yield from tally.rows()
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        for b in batches:
-            columns = [b.column(c) for c in ("lw", "ln", "rw", "rn")]
-            for number, own in (("ln", "l_class"), ("rn", "r_class")):
-                given = b.column(own).fill_null(-1).to_numpy()
-                columns.append(pa.array(np.where(given < 0, of[b.column(number).to_numpy()], given), pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, names=["lw", "ln", "rw", "rn", "lc", "rc"])
-
-    met = written(with_classes(edges, classes.select("word", "class")).mapInArrow(fill, _EDGE + ", lc int, rc int"), "brown-met")
-    blocks = written(texts.select("numbers").mapInArrow(known, _BLOCKS).unionByName(met.select("ln", "rn", "lc", "rc").mapInArrow(rare, _BLOCKS)), "brown-blocks")
-    joint = np.zeros(CLASSES * CLASSES, np.int64)
-    for _, at, n in blocks.where("block = -1").toLocalIterator():
-        joint[np.frombuffer(bytes(at), np.uint16)] += np.frombuffer(bytes(n), np.int64)
-    beside = met.where("lw IS NOT NULL").select(F.col("lw").alias("word"), F.col("rc").alias("code")).unionByName(met.where("rw IS NOT NULL").select(F.col("rw").alias("word"), (F.col("lc") + CLASSES).alias("code")))
-    return joint.reshape(CLASSES, CLASSES), blocks.where("block >= 0"), beside
-
+def exchanged(sums: DataFrame, of: np.ndarray, joint: np.ndarray, size: int) -> np.ndarray:
+    """The classes after a sweep over the `size` top words; those of the core stay."""
+    shared = sums.sparkSession.sparkContext.broadcast((of, joint))
 
-def _inner(numbers: list[bytes]) -> np.ndarray:
-    """False between two texts of a run of bounded ones, True elsewhere."""
-    ends = np.cumsum([len(b) // 4 + 2 for b in numbers])
-    inner = np.ones(int(ends[-1]) - 1 if len(ends) else 0, bool)
-    inner[ends[:-1] - 1] = False
-    return inner
-
-
-def moved(blocks: DataFrame, beside: DataFrame, of: np.ndarray, classes: DataFrame, joint: np.ndarray, size: int) -> tuple[np.ndarray, DataFrame]:
-    """The classes after a sweep: of by number, and classes (word, n, class) of the rarer words."""
-    shared = blocks.sparkSession.sparkContext.broadcast((of, joint))
-
-    def block(pdf):
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, joint = shared.value
-        total = np.zeros(BLOCK * 2 * CLASSES, np.int64)
-        for at, n in zip(pdf["at"], pdf["n"], strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        k, at = int(pdf["block"].iloc[0]), np.flatnonzero(total)
-        now = of[k * BLOCK : (k + 1) * BLOCK].astype(np.int64)
-        found = best_classes(at // (2 * CLASSES), at % (2 * CLASSES), total[at], now, joint)
-        return pd.DataFrame({"block": [k], "at": [found.astype(np.uint8).tobytes()]})
-
-    def word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joint = shared.value[1]
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                entries = part.column("beside").to_pylist()
-                w = np.repeat(np.arange(len(entries)), [len(x) for x in entries])
-                code, n = (np.array([y[k] for x in entries for y in x], np.int64) for k in ("code", "n"))
-                found = best_classes(w, code, n, part.column("class").to_numpy().astype(np.int64), joint)
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(found, pa.int32())], names=["word", "n", "class"])
+        for batch in batches:
+            for k, at, n in zip(*(batch.column(c).to_pylist() for c in ("block", "at", "n")), strict=True):
+                at = np.frombuffer(at, np.uint16).astype(np.int64)
+                found = best_classes(at // (2 * CLASSES), at % (2 * CLASSES), np.frombuffer(n, np.int64), of[k * BLOCK : (k + 1) * BLOCK].astype(np.int64), joint)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found.astype(np.uint8).tobytes()])], names=["block", "found"])
 
     of = of.copy()
-    for k, found in blocks.groupBy("block").applyInPandas(block, "block int, at binary").collect():
-        own = np.frombuffer(bytes(found), np.uint8)
+    for k, found in sums.mapInArrow(move, "block int, found binary").collect():  # TOP / BLOCK rows at most
         low, high = max(CORE, k * BLOCK), min(size, (k + 1) * BLOCK)
         if low < high:
-            of[low:high] = own[low - k * BLOCK : high - k * BLOCK]
-    gathered = beside.groupBy("word", "code").agg(F.count("*").alias("x")).groupBy("word").agg(F.collect_list(F.struct("code", F.col("x").alias("n"))).alias("beside"))
-    own = classes.where(F.col("n") >= LEAST).join(gathered, "word").select("word", "n", "class", "beside").mapInArrow(word, "word string, n long, class int")
-    return of, written(own.unionByName(classes.where(F.col("n") < LEAST)), "brown-classes")
+            of[low:high] = np.frombuffer(bytes(found), np.uint8)[low - k * BLOCK : high - k * BLOCK]
+    return of
+
+
+def likeliest(after: np.ndarray, before: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class that makes its neighbours likeliest, for words with these counts of classes after and before them: the gain of best_classes to the first order, as befits words of small counts."""
+    cells = joint[: CLASSES - 1].astype(np.float64)
+    out, into = np.log(cells.sum(1) + CLASSES), np.log(joint[:, : CLASSES - 1].sum(0) + float(CLASSES))
+    value = after @ np.log(cells + 1.0).T + before @ np.log(joint[:, : CLASSES - 1] + 1.0)
+    return np.argmax(value - after.sum(1)[:, None] * out - before.sum(1)[:, None] * into, axis=1)
+
+
+def rare_classes(met: DataFrame, joint: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of the rarer words by their own neighbours, and the class bigrams of all text: joint and those with a rarer word."""
+    shared = met.sparkSession.sparkContext.broadcast(joint)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint, more = shared.value, np.zeros((CLASSES, CLASSES), np.int64)
+        held, counts = None, np.zeros((1, 4 * CLASSES))  # the word that the rows so far ended with, and its neighbours: after, after and rare, before, before and rare
+
+        def done(names: list, own: np.ndarray) -> pa.RecordBatch:
+            after, before = own[:, : 2 * CLASSES], own[:, 2 * CLASSES :]
+            found = likeliest(after[:, :CLASSES] + after[:, CLASSES:], before[:, :CLASSES] + before[:, CLASSES:], joint)
+            np.add.at(more, found, after[:, :CLASSES].astype(np.int64))
+            np.add.at(more.T, found, before[:, :CLASSES].astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(after.sum(1).astype(np.int64)), pa.array(found, pa.int32()), pa.nulls(len(found), pa.binary())], names=["word", "n", "class", "joint"])
+
+        for batch in slices(batches, 4096):
+            run = pc.run_end_encode(batch.column("word"))
+            names, ends = run.values.to_pylist(), run.run_ends.to_numpy()
+            own = np.repeat(np.arange(len(names)), np.diff(ends, prepend=0))
+            total = np.zeros((len(names), 4 * CLASSES))
+            for at, column in ((0, "after"), (2 * CLASSES, "before")):
+                np.add.at(total, (own, batch.column(column).to_numpy() + at), 1.0)
+            if held is not None and held == names[0]:
+                total[0] += counts[0]
+            elif held is not None:
+                yield done([held], counts)
+            if len(names) > 1:
+                yield done(names[:-1], total[:-1])
+            held, counts = names[-1], total[-1:]
+        if held is not None:
+            yield done([held], counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([more.tobytes()])], names=["word", "n", "class", "joint"])
+
+    single = met.where("word IS NOT NULL AND other IS NULL").select("word", "before", "after").repartition("word").sortWithinPartitions("word")
+    found = written(single.mapInArrow(assign, "word string, n long, class int, joint binary"), "brown-classes")
+    rare, whole = found.where("word IS NOT NULL").select("word", "n", "class"), joint.copy()
+    for r in found.where("word IS NULL").select("joint").toLocalIterator():
+        whole += np.frombuffer(bytes(r["joint"]), np.int64).reshape(CLASSES, CLASSES)
+    left, right = rare.select("word", F.col("class").alias("l")), rare.select(F.col("word").alias("other"), F.col("class").alias("r"))
+    pairs = met.where("other IS NOT NULL").select("word", "other").join(left, "word").join(right, "other")
+    for l, r, n in pairs.groupBy("l", "r").agg(F.count("*")).collect():  # CLASSES * CLASSES rows at most
+        whole[l, r] += n
+    return rare, whole
 
 
 @dataclass
@@ -415,6 +440,7 @@ class Model:
     n_docs: int
     tokens: int
     types: int
+    history: list[float]  # log likelihood of the class bigrams of known neighbours before the sweeps and after each
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -424,29 +450,25 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     top = top_words(vocabulary)
     rank = {w: k for k, (w, _) in enumerate(top)}
     words_, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    core = dict(list(rank.items())[:CORE])
-    grid = unit_bigrams(docs, core)
-    classes = exchange(grid)
+    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    classes = exchange(unit_bigrams(docs, dict(list(rank.items())[:CORE])))
     unit = np.concatenate([np.arange(min(CORE, len(top))), [ending(w) for w, _ in top[CORE:]], np.zeros(TOP - len(top))]).astype(np.int64)
-    least = top[-1][1] if top else 0
-    rare = vocabulary.where(F.col("n") < least) if top else vocabulary
-    of = np.concatenate([classes[unit], classes])
-
-    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [classes[ending(w)] for w in b.column("word").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(own, pa.int32())], names=["word", "n", "class"])
-
-    rare = written(rare.select("word", "n").mapInArrow(by_ending, "word string, n long, class int"), "brown-classes")
-    texts = written(coded(docs, rank), "brown-texts")
-    edges = written(rare_edges(texts), "brown-edges")
-    joint, blocks, beside = sweep(texts, edges, of, rare, len(top))
-    for _ in range(ROUNDS):
-        of_next, rare_next = moved(blocks, beside, of, rare, joint, len(top))
-        joint_next, blocks, beside = sweep(texts, edges, of_next, rare_next, len(top))
-        if likelihood(joint_next) <= likelihood(joint):
+    of, some_rare = np.concatenate([classes[unit], classes]), words_ > len(top)
+    rounds = ROUNDS if len(top) > CORE else 0
+    joint, sums, met = tally(docs, shared, of, some_rare and not rounds)
+    history = [likelihood(joint)]
+    for k in range(rounds):
+        after = exchanged(sums, of, joint, len(top))
+        joint_after, sums_after, met_after = tally(docs, shared, after, some_rare and k == rounds - 1)
+        history.append(likelihood(joint_after))
+        if history[-1] <= history[-2]:
+            release(met_after)
+            if some_rare:
+                joint, sums, met = tally(docs, shared, of, True)
             break
-        of, rare, joint = of_next, rare_next, joint_next
+        release(met)
+        of, joint, sums, met = after, joint_after, sums_after, met_after
+    rare, joint = rare_classes(met, joint)
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
     np.add.at(n_class, of[: len(top)], [n for _, n in top])
     np.add.at(v_class, of[: len(top)], 1)
@@ -459,56 +481,73 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     share = (n_class + 1.0) / (n_class.sum() + CLASSES)
     steps = np.log10((joint + share) / (joint.sum(1, keepdims=True) + 1.0))
     log_counts = np.concatenate([np.log10(np.array([n for _, n in top], np.float64) + 1.0), np.zeros(TOP - len(top) + UNITS)])
-    model = Model(rank, log_counts, of.astype(np.int16), steps, np.log10(n_class + v_class + 1.0), n_docs, int(tokens) + n_docs, words_ + (1 if n_docs else 0))
+    model = Model(rank, log_counts, of.astype(np.int16), steps, np.log10(n_class + v_class + 1.0), n_docs, int(tokens) + n_docs, words_ + (1 if n_docs else 0), history)
     return model, rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, base_perplexity, perplexity) for every row of docs (doc_id, text).
 
     base_score is the add-one unigram log10 probability, score that of the class model. A null text counts as empty: one token, the end. Repeated rows are
     scored alike, null ids pass through, other columns are ignored, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "lw", "ln", "rw", "rn"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *(pa.list_(pa.string()), pa.list_(pa.int32())) * 2]
+    names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "word", "own", "before", "after", "left", "left_own", "right", "right_own"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3, *(pa.list_(pa.binary()), pa.list_(pa.int32())) * 2]
+    texts = ("word", "left", "right")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         index, row = _Index(m.top), TaskContext.get().partitionId() << 33
         end_count = math.log10(m.n_docs + 1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, rows = batch.slice(at, 500), []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    own = words(text or b"")
-                    number = index.numbers(own)
-                    u = bounded(number)
-                    met = is_known(u)
-                    pair = met[:-1] & met[1:]
-                    left, right = m.of[u[:-1][pair]], m.of[u[1:][pair]]
-                    known = int((number < TOP).sum()) + (1 if m.n_docs else 0)
-                    lw, ln, rw, rn = edges_of(u, [own[i].decode() for i in np.flatnonzero(number >= TOP)])
-                    rows.append((row, doc_id, len(own) + 1, known, float(m.log_counts[number].sum()) + end_count, float(m.steps[left, right].sum() - m.weights[right].sum()), lw, m.of[ln], rw, m.of[rn]))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+        for part in slices(batches):
+            rows = []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                own = words(text or b"")
+                number = index.numbers(own)
+                u = bounded(number)
+                c, met = m.of[u], is_known(u)
+                pair = met[:-1] & met[1:]
+                left, right = c[:-1][pair], c[1:][pair]
+                known = int((number < TOP).sum()) + (1 if m.n_docs else 0)
+                at, two = np.flatnonzero(~met), np.flatnonzero(~(met[:-1] | met[1:]))
+                beside = np.where(met, c, -1)
+                rare = ([own[i - 1] for i in at], c[at], beside[at - 1], beside[at + 1], [own[i - 1] for i in two], c[two], [own[i] for i in two], c[two + 1])
+                rows.append((row, doc_id, len(own) + 1, known, float(m.log_counts[number].sum()) + end_count, float(m.steps[left, right].sum() - m.weights[right].sum()), *rare))
+                row += 1
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.list_(pa.string())) if n in texts else c for n, c in zip(names, columns, strict=True)], names=names)
+
+    more = "row long, known_more long, counts_more double, model_more double"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            left, right = (np.where((own := b.column(f"{x}_class").fill_null(-1).to_numpy()) < 0, b.column(f"{x}n").to_numpy(), own) for x in "lr")
-            n = b.column("r_n").fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((n > 0).astype(np.int64)), pa.array(np.log10(n + 1.0)), pa.array(m.steps[left, right] - m.weights[right])], names=["row", "known_more", "counts_more", "model_more"])
-
-    walked = docs.select("doc_id", "text").mapInArrow(walk, "row long, doc_id long, n_tokens long, known long, counts double, model double, lw array<string>, ln array<int>, rw array<string>, rn array<int>")
-    walked = written(walked, "brown-rows")
-    edges = walked.select("row", F.explode(F.arrays_zip("lw", "ln", "rw", "rn")).alias("x")).select("row", "x.*")
-    more = with_classes(edges, rare).mapInArrow(add, "row long, known_more long, counts_more double, model_more double").groupBy("row")
-    more = more.agg(*[F.sum(c).alias(c) for c in ("known_more", "counts_more", "model_more")])
-    both = walked.drop("lw", "ln", "rw", "rn").join(more, "row", "left")
+            n = b.column("n").fill_null(0).to_numpy()
+            c, before, after = (b.column(x).to_numpy() for x in ("class", "before", "after"))
+            value = np.where(before >= 0, m.steps[before, c] - m.weights[c], 0.0) + np.where(after >= 0, m.steps[c, after] - m.weights[after], 0.0)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((n > 0).astype(np.int64)), pa.array(np.log10(n + 1.0)), pa.array(value)], names=["row", "known_more", "counts_more", "model_more"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            left, right = (b.column(x).to_numpy() for x in ("l", "r"))
+            none = np.zeros(len(left))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(none.astype(np.int64)), pa.array(none), pa.array(m.steps[left, right] - m.weights[right])], names=["row", "known_more", "counts_more", "model_more"])
+
+    arrays = ", ".join(f"{n} array<{'string' if n in texts else 'int'}>" for n in names[6:])
+    walked = written(docs.select("doc_id", "text").mapInArrow(walk, f"row long, doc_id long, n_tokens long, known long, counts double, model double, {arrays}"), "brown-rows")
+    single = walked.select("row", F.explode(F.arrays_zip("word", "own", "before", "after")).alias("x")).select("row", "x.*").join(rare, "word", "left")
+    single = single.select("row", F.coalesce("class", "own").alias("class"), "before", "after", "n").mapInArrow(add, more)
+    pairs = walked.select("row", F.explode(F.arrays_zip("left", "left_own", "right", "right_own")).alias("x")).select("row", "x.*")
+    for side in ("left", "right"):
+        pairs = pairs.join(rare.select(F.col("word").alias(side), F.col("class").alias(side[0])), side, "left").withColumn(side[0], F.coalesce(side[0], f"{side}_own"))
+    pairs = pairs.select("row", "l", "r").mapInArrow(step, more)
+    extra = single.unionByName(pairs).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known_more", "counts_more", "model_more")])
+    both = walked.drop(*names[6:]).join(extra, "row", "left")
     counts = F.col("counts") + F.coalesce("counts_more", F.lit(0.0))
-    model_sum = F.col("model") + F.coalesce("model_more", F.lit(0.0))
-    return both.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (counts - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)).alias("base_score"), (counts + model_sum).alias("score"),
-    )
+    base = counts - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)
+    score = counts + F.col("model") + F.coalesce("model_more", F.lit(0.0))
+    known = F.col("known") + F.coalesce("known_more", F.lit(0))
+    scored = both.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    return scored.withColumn("base_perplexity", F.pow(F.lit(10.0), -F.col("base_score") / F.col("n_tokens"))).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
