@@ -14,19 +14,18 @@ classes, which grow with the corpus.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import release, slices, words, written
+from quillon.llm.common import release, slices, written
 
 #: Frequent words that are sent to every task with their counts: a fixed bound.
 TOP = 262_144
@@ -40,50 +39,78 @@ SWEEPS = 12
 ROUNDS, BLOCK, NEAR_TASKS = 2, 256, 64
 CELLS = BLOCK * 2 * CLASSES
 #: Neighbours that a task holds before it counts them.
-WAIT = 2_000_000
-#: Further words that a task remembers at most.
-MEMORY = 400_000
+WAIT = 8_000_000
+#: Texts that are cut into words at a time.
+TEXTS = 2000
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """Units of words that are not in the core, by their last three bytes."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    offsets, data = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data, np.uint8)
+    code = np.zeros(len(words), np.uint32)
+    for k in range(3):
+        code = code * np.uint32(257) + np.where(np.diff(offsets) > k, data[np.maximum(offsets[1:] - 1 - k, 0)] + np.uint32(1), np.uint32(0))
+    return CORE + 1 + ((code * np.uint32(2654435761)) >> np.uint32(8)).astype(np.int32) % ENDINGS
 
 
 def ending(word: bytes) -> int:
-    """Unit of a word that is not in the core."""
-    return CORE + 1 + xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+    """Unit of one word."""
+    return int(endings(pa.array([word], pa.binary()))[0])
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one text after the other, with A-Z lowered, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # gives blanks at either end of a text, so that no list is empty
+    flat, first = lists.flatten(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), np.add.reduceat(some.to_numpy(zero_copy_only=False).astype(np.int64), first)
+
+
+def in_order(rank: dict[bytes, int]) -> pa.Array:
+    """Words by rank."""
+    return pa.array(sorted(rank, key=rank.get), pa.binary()).cast(pa.string())
 
 
-class _Index(dict):
-    """Number of a word: its rank among the top words, or TOP plus its unit."""
+class _Texts:
+    """Some texts as one run of word numbers, each text between two ends."""
 
-    def __init__(self, top: dict[bytes, int]):
-        super().__init__(top)
-        self.top = top
+    def __init__(self, texts: pa.Array, top: pa.Array):
+        """top: words by number; other words have TOP plus the unit of their ending."""
+        self.words, self.n = split_words(texts)
+        self.first = np.cumsum(self.n + 2) - self.n - 2  # where each text begins
+        self.place = np.arange(len(self.words)) + 2 * np.repeat(np.arange(len(self.n)), self.n) + 1  # where each word stands
+        number = pc.index_in(self.words, value_set=top)
+        other = number.is_null().to_numpy(zero_copy_only=False)
+        number = np.array(number.fill_null(0))
+        number[other] = TOP + endings(self.words.filter(pa.array(other)))
+        self.u = np.full(len(self.words) + 2 * len(self.n), TOP + END, np.int32)
+        self.u[self.place] = number
+        self.known = (self.u < TOP) | (self.u == TOP + END)
+        self.inner = np.ones(len(self.u) - 1, bool)  # the end of one text and the beginning of the next are no neighbours
+        self.inner[self.first[1:] - 1] = False
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.top) + MEMORY:
-            self.clear()
-            self.update(self.top)
-        found = self[word] = TOP + ending(word)
-        return found
+    def rare(self) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array, pa.Array]:
+        """Where rarer words stand, and which; where two of them are neighbours, and which."""
+        at, two = np.flatnonzero(~self.known), np.flatnonzero(~(self.known[:-1] | self.known[1:]))
+        names = [self.words.take(pa.array(np.searchsorted(self.place, x))) for x in (at, two, two + 1)]
+        return at, names[0], two, names[1], names[2]
 
-    def numbers(self, own: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, own), np.int64, len(own))
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values, one a place, by text."""
+        return np.add.reduceat(values, self.first)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of docs (text)."""
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                counts.update(words(text or b""))
-                if len(counts) > MEMORY:
-                    yield emit(counts)
-                    counts.clear()
-        if counts:
-            yield emit(counts)
+            if batch.num_rows:
+                found = split_words(batch.column("text"))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -108,16 +135,12 @@ def unit_bigrams(docs: DataFrame, core: dict[bytes, int]) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(core)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = _Index(shared.value), np.zeros(UNITS * UNITS, np.int64)
-        for batch in batches:
-            codes = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                number = index.numbers(words(text or b""))
-                u = np.concatenate([[END], np.where(number < TOP, number, number - TOP), [END]])
-                codes.append(u[:-1] * UNITS + u[1:])
-            if codes:
-                at, n = np.unique(np.concatenate(codes), return_counts=True)
-                total[at] += n
+        index, total = in_order(shared.value), np.zeros(UNITS * UNITS, np.int64)
+        for batch in slices(batches, TEXTS):
+            t = _Texts(batch.column("text"), index)
+            u = np.where(t.u < TOP, t.u, t.u - TOP)
+            at, n = np.unique((u[:-1] * np.int32(UNITS) + u[1:])[t.inner], return_counts=True)
+            total[at] += n
         grid = total.reshape(UNITS, UNITS)
         left = np.flatnonzero(grid.any(1))
         right = [np.flatnonzero(grid[u]) for u in left]
@@ -200,38 +223,30 @@ def exchange(grid: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-def bounded(number: np.ndarray) -> np.ndarray:
-    """The numbers of a text between two ends."""
-    return np.concatenate([[TOP + END], number, [TOP + END]])
-
-
-def is_known(u: np.ndarray) -> np.ndarray:
-    """Whether a number stands for one word, or for the end."""
-    return (u < TOP) | (u == TOP + END)
-
-
 class _Tally:
     """Class bigrams of a task, and the neighbours' classes of its top words outside the core: word * 2 * CLASSES + class after, or + CLASSES + class before."""
 
     def __init__(self):
-        self.joint, self.codes, self.n, self.wait, self.waiting = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def add(self, u: np.ndarray, c: np.ndarray, known: np.ndarray) -> None:
-        """A text's numbers between two ends, their classes, and whether they are known."""
-        pair = known[:-1] & known[1:]
-        self.joint += np.bincount(c[:-1][pair].astype(np.int64) * CLASSES + c[1:][pair], minlength=CLASSES**2)
-        for word, code in ((u[:-1], c[1:]), (u[1:], c[:-1] + CLASSES)):
-            own = (word >= CORE) & (word < TOP)
-            self.wait.append(word[own] * (2 * CLASSES) + code[own])
+        self.joint, self.codes, self.n, self.wait, self.waiting = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), [], 0
+
+    def add(self, t: _Texts, c: np.ndarray) -> None:
+        """Texts and the classes of their words."""
+        pair = t.known[:-1] & t.known[1:] & t.inner
+        self.joint += np.bincount(c[:-1][pair].astype(np.int32) * CLASSES + c[1:][pair], minlength=CLASSES**2)
+        top = (t.u >= CORE) & (t.u < TOP)
+        for word, code, own in ((t.u[:-1], c[1:], top[:-1]), (t.u[1:], c[:-1] + np.int16(CLASSES), top[1:])):
+            own = own & t.inner
+            self.wait.append(word[own] * np.int32(2 * CLASSES) + code[own])
             self.waiting += len(self.wait[-1])
         if self.waiting > WAIT:
             self.count()
 
     def count(self) -> None:
         codes, n = np.unique(np.concatenate([self.codes[:0], *self.wait]), return_counts=True)
-        both, place = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
-        self.n = np.bincount(place, np.concatenate([self.n, n]), len(both)).astype(np.int64)
-        self.codes, self.wait, self.waiting = both, [], 0
+        if len(self.codes):
+            codes, place = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([self.n, n]), len(codes)).astype(np.int64)
+        self.codes, self.n, self.wait, self.waiting = codes, n, [], 0
 
     def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(block, cell, count); block -1 holds the class bigrams."""
@@ -262,26 +277,16 @@ def neighbours(docs: DataFrame, shared, of: np.ndarray, rare: bool) -> DataFrame
         return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tally, of, part = _Index(shared.value), _Tally(), classes.value, TaskContext.get().partitionId() // NEAR_TASKS
-        for batch in slices(batches):
-            met, pairs = [[], [], [], []], [[], [], [], []]
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                own = words(text or b"")
-                u = bounded(index.numbers(own))
-                c, known = of[u], is_known(u)
-                tally.add(u, c, known)
-                if rare:
-                    at = np.flatnonzero(~known)
-                    coded = c + np.where(known, 0, CLASSES).astype(np.int16)
-                    for column, x in zip(met, ([own[i - 1] for i in at], c[at], coded[at - 1], coded[at + 1]), strict=True):
-                        column.append(x)
-                    two = np.flatnonzero(~(known[:-1] | known[1:]))
-                    for column, x in zip(pairs, ([own[i - 1] for i in two], c[two], [own[i] for i in two], c[two + 1]), strict=True):
-                        column.append(x)
-            for columns, fields in ((met, ("word", "own", "before", "after")), (pairs, ("word", "own", "other", "other_own"))):
-                if any(map(len, columns[0])):
-                    found = {f: pa.array([w for ws in c for w in ws], pa.binary()) if f in ("word", "other") else pa.array(np.concatenate(c)) for f, c in zip(fields, columns, strict=True)}
-                    yield batch_of(found, len(found["word"]))
+        index, tally, of, part = in_order(shared.value), _Tally(), classes.value, TaskContext.get().partitionId() // NEAR_TASKS
+        for batch in slices(batches, TEXTS):
+            t = _Texts(batch.column("text"), index)
+            c = of[t.u]
+            tally.add(t, c)
+            if rare:
+                at, names, two, left, right = t.rare()
+                beside = c + np.where(t.known, 0, CLASSES).astype(np.int16)
+                yield batch_of({"word": names, "own": pa.array(c[at]), "before": pa.array(beside[at - 1]), "after": pa.array(beside[at + 1])}, len(at))
+                yield batch_of({"word": left, "own": pa.array(c[two]), "other": right, "other_own": pa.array(c[two + 1])}, len(two))
         for block, at, n in tally.rows():
             yield batch_of({"block": pa.array([block]), "part": pa.array([part]), "at": pa.array([at.astype(np.uint16).tobytes()]), "n": pa.array([n.tobytes()])}, 1)
 
@@ -452,7 +457,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     words_, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     classes = exchange(unit_bigrams(docs, dict(list(rank.items())[:CORE])))
-    unit = np.concatenate([np.arange(min(CORE, len(top))), [ending(w) for w, _ in top[CORE:]], np.zeros(TOP - len(top))]).astype(np.int64)
+    unit = np.concatenate([np.arange(min(CORE, len(top))), endings(pa.array([w for w, _ in top[CORE:]], pa.binary())), np.zeros(TOP - len(top))]).astype(np.int64)
     of, some_rare = np.concatenate([classes[unit], classes]), words_ > len(top)
     rounds = ROUNDS if len(top) > CORE else 0
     joint, sums, met = tally(docs, shared, of, some_rare and not rounds)
@@ -493,30 +498,29 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "word", "own", "before", "after", "left", "left_own", "right", "right_own"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3, *(pa.list_(pa.binary()), pa.list_(pa.int32())) * 2]
     texts = ("word", "left", "right")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        index, row = _Index(m.top), TaskContext.get().partitionId() << 33
+        index, row = in_order(m.top), TaskContext.get().partitionId() << 33
         end_count = math.log10(m.n_docs + 1)
-        for part in slices(batches):
-            rows = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = words(text or b"")
-                number = index.numbers(own)
-                u = bounded(number)
-                c, met = m.of[u], is_known(u)
-                pair = met[:-1] & met[1:]
-                left, right = c[:-1][pair], c[1:][pair]
-                known = int((number < TOP).sum()) + (1 if m.n_docs else 0)
-                at, two = np.flatnonzero(~met), np.flatnonzero(~(met[:-1] | met[1:]))
-                beside = np.where(met, c, -1)
-                rare = ([own[i - 1] for i in at], c[at], beside[at - 1], beside[at + 1], [own[i - 1] for i in two], c[two], [own[i] for i in two], c[two + 1])
-                rows.append((row, doc_id, len(own) + 1, known, float(m.log_counts[number].sum()) + end_count, float(m.steps[left, right].sum() - m.weights[right].sum()), *rare))
-                row += 1
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([c.cast(pa.list_(pa.string())) if n in texts else c for n, c in zip(names, columns, strict=True)], names=names)
+        for part in slices(batches, TEXTS):
+            t = _Texts(part.column("text"), index)
+            c = m.of[t.u]
+            pair = np.flatnonzero(t.known[:-1] & t.known[1:] & t.inner)
+            edges, logs, top = np.zeros(len(t.u)), np.zeros(len(t.u)), np.zeros(len(t.u), np.int64)
+            edges[pair] = m.steps[c[pair], c[pair + 1]] - m.weights[c[pair + 1]]
+            logs[t.place] = m.log_counts[t.u[t.place]]
+            top[t.place] = t.u[t.place] < TOP
+            at, names_, two, left, right = t.rare()
+            beside = np.where(t.known, c, -1)
+            cut = [pa.array(np.append(np.searchsorted(x, t.first), len(x)), pa.int32()) for x in (at, two)]
+            flat = [(0, names_), (0, c[at]), (0, beside[at - 1]), (0, beside[at + 1])]
+            flat += [(1, left), (1, c[two]), (1, right), (1, c[two + 1])]
+            lists = [pa.ListArray.from_arrays(cut[k], x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32))) for k, x in flat]
+            plain = [np.arange(row, row + len(t.n)), part.column("doc_id"), t.n + 1, t.by_text(top) + (1 if m.n_docs else 0), t.by_text(logs) + end_count, t.by_text(edges)]
+            row += len(t.n)
+            yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in plain], *lists], names=names)
 
     more = "row long, known_more long, counts_more double, model_more double"
 
