@@ -128,9 +128,9 @@ def c01_joined(spark, sf):
     return features.parse_tags_joined(A.small_catalogue(spark, sf), stops, maps).select("id", F.array_join("parsed_tags", "|").alias("parsed_tags"))
 
 
-@query("c02_tokenize_titles", "SELECT doc_id, len(t) AS n, array_to_string(t, '|') AS surfaces FROM (SELECT doc_id, list_filter(regexp_split_to_array(substring(text, 1, 80), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents)")
+@query("c02_tokenize_titles", "SELECT doc_id, len(t) AS n, array_to_string(t, '|') AS surfaces FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\\[.*?\\]', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents)")
 def c02(spark, sf):
-    """Whole texts of documents as titles. The SQL holds their first 80 characters only, so longer texts differ from it."""
+    """Whole texts of documents as titles."""
     docs = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"))
     return features.tokenize_titles(docs).select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join(F.transform("tokens", lambda t: t["surface"]), "|").alias("surfaces"))
 
