@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,9 @@ SWEEPS = 12
 ROUNDS, BLOCK, NEAR_TASKS = 2, 256, 64
 CELLS = BLOCK * 2 * CLASSES
 #: Neighbours that a task holds before it counts them.
-WAIT = 8_000_000
+WAIT = 4_000_000
 #: Texts that are cut into words at a time.
-TEXTS = 2000
+TEXTS = 1000
 
 
 def endings(words: pa.Array) -> np.ndarray:
@@ -132,10 +131,10 @@ def top_words(vocabulary: DataFrame, most: int = TOP) -> list[tuple[bytes, int]]
 
 def unit_bigrams(docs: DataFrame, core: dict[bytes, int]) -> np.ndarray:
     """Counts of neighbouring units over all texts of docs (text), each text between two ends: UNITS * UNITS cells. core: unit of each core word."""
-    shared = docs.sparkSession.sparkContext.broadcast(core)
+    shared = docs.sparkSession.sparkContext.broadcast(in_order(core))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = in_order(shared.value), np.zeros(UNITS * UNITS, np.int64)
+        index, total = shared.value, np.zeros(UNITS * UNITS, np.int64)
         for batch in slices(batches, TEXTS):
             t = _Texts(batch.column("text"), index)
             u = np.where(t.u < TOP, t.u, t.u - TOP)
@@ -267,7 +266,7 @@ def neighbours(docs: DataFrame, shared, of: np.ndarray, rare: bool) -> DataFrame
     """One reading of all texts under classes `of` by word number: rows of counts by block (a _Tally for each task) and, if asked for, of rarer words.
 
     Of these each occurrence is a row (word, class of its ending, class before, class after; CLASSES more where the neighbour is itself rare), and so is each pair of rare neighbours
-    (word, other). shared: the broadcast ranks of the top words.
+    (word, other). shared: the top words by rank, broadcast.
     """
     names = [c.split()[0] for c in _MET.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
@@ -277,7 +276,7 @@ def neighbours(docs: DataFrame, shared, of: np.ndarray, rare: bool) -> DataFrame
         return pa.RecordBatch.from_arrays([columns[c].cast(k) if c in columns else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, tally, of, part = in_order(shared.value), _Tally(), classes.value, TaskContext.get().partitionId() // NEAR_TASKS
+        index, tally, of, part = shared.value, _Tally(), classes.value, TaskContext.get().partitionId() // NEAR_TASKS
         for batch in slices(batches, TEXTS):
             t = _Texts(batch.column("text"), index)
             c = of[t.u]
@@ -455,7 +454,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     top = top_words(vocabulary)
     rank = {w: k for k, (w, _) in enumerate(top)}
     words_, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+    shared = docs.sparkSession.sparkContext.broadcast(in_order(rank))
     classes = exchange(unit_bigrams(docs, dict(list(rank.items())[:CORE])))
     unit = np.concatenate([np.arange(min(CORE, len(top))), endings(pa.array([w for w, _ in top[CORE:]], pa.binary())), np.zeros(TOP - len(top))]).astype(np.int64)
     of, some_rare = np.concatenate([classes[unit], classes]), words_ > len(top)
@@ -496,13 +495,14 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     base_score is the add-one unigram log10 probability, score that of the class model. A null text counts as empty: one token, the end. Repeated rows are
     scored alike, null ids pass through, other columns are ignored, an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # an Arrow array of words takes a tenth of the memory of a dictionary in every worker
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, top=in_order(model.top)))
     names = ["row", "doc_id", "n_tokens", "known", "counts", "model", "word", "own", "before", "after", "left", "left_own", "right", "right_own"]
     texts = ("word", "left", "right")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        index, row = in_order(m.top), TaskContext.get().partitionId() << 33
+        index, row = m.top, TaskContext.get().partitionId() << 33
         end_count = math.log10(m.n_docs + 1)
         for part in slices(batches, TEXTS):
             t = _Texts(part.column("text"), index)
