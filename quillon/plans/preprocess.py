@@ -64,7 +64,9 @@ def ingest(raw: DataFrame, current: DataFrame | None, bookmarks: DataFrame | Non
 
 
 def recommend_page(prepared: Prepared, history: DataFrame | None = None, weights: scoring.Weights | None = None, blocked: list[str] | None = None, query: str = "", page_index: int = 0, size: int = 500) -> DataFrame:
-    """A page of the filtered, scored catalogue."""
-    scored = scoring.recommend(prepared.items, prepared.freqs, weights, history=history)
-    shown = filters.keyword_search(filters.min_score(filters.block_tags(scored, blocked or [])), query)
+    """A page of the filtered, scored catalogue (W2). Blocked items go before they are scored, and what is scored is written once: bounds and page both read it."""
+    scored = scoring.recommend(filters.block_tags(prepared.items, blocked or []), prepared.freqs, weights, history=history)
+    path = files.scratch(scored.sparkSession, "scored")
+    scored.write.parquet(path)
+    shown = filters.keyword_search(filters.min_score(scored.sparkSession.read.schema(scored.schema).parquet(path)), query)
     return rank.page(shown, rank.sort_order(), page_index, size)
