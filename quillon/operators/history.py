@@ -48,7 +48,8 @@ def click_log_entries(requests: DataFrame, items: DataFrame, keep: tuple[str, ..
         return F.coalesce(F.try_url_decode(F.regexp_extract("path", rf"[?&]{name}=([^&#]*)", 1)), F.lit(""))
 
     asked = parsed.select("opened_at", query("token").alias("token"), query("target").alias("target"), *keep)
-    known = items.select(item_token(items).alias("token"), "id", "title", "author", "link").dropDuplicates(["token"])
+    # of items that share a token the least by its cells stands for all
+    known = items.select(item_token(items).alias("token"), F.struct("id", "title", "author", "link").alias("item")).groupBy("token").agg(F.min("item").alias("item")).select("token", "item.*")
     both = asked.join(known.withColumn("known", F.lit(True)), "token", "left")
     redirect = F.when(T.is_web_link(F.col("target")), F.col("target")).when(T.is_web_link(F.col("link")), T.strip(F.col("link")))
     found = F.coalesce("known", F.lit(False))

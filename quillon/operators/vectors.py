@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.sources import files
 
 #: Fixed value: the text that stands for an item in text search.
 DOCUMENT = "标题《%s》，作者 %s，团队 %s，语言 %s，元素标签：%s。"
@@ -73,6 +75,66 @@ def semantic_topk(items: DataFrame, vectors: DataFrame, query: list[float], k: i
     return scored.where("semantic_score IS NOT NULL").orderBy(F.col("semantic_score").desc(), "id").limit(k)
 
 
+#: Vectors, and queries, that are multiplied at a time when the queries are a table.
+CHUNK, BLOCK = 512, 256
+
+
+def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(dim, keys, data): up to so many rows (key, embedding) of one dimension packed into one; null vectors are left out."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                by_dim: dict[int, tuple[list, list]] = {}
+                for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if v and None not in v:
+                        held = by_dim.setdefault(len(v), ([], []))
+                        held[0].append(k)
+                        held[1].append(v)
+                for dim, (keys, vectors) in by_dim.items():
+                    data = np.asarray(vectors, np.float64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([keys], pa.list_(pa.string())), pa.array([data], pa.binary())], names=["dim", "keys", "data"])
+
+    return df.select(F.col(key).cast("string").alias("key"), "embedding").mapInArrow(pack, "dim int, keys array<string>, data binary")
+
+
+def _unit(data: bytes, dim: int) -> np.ndarray:
+    x = np.frombuffer(data, np.float64).reshape(-1, dim)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def semantic_topk_queries(items: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5000) -> DataFrame:
+    """(query_id, rank, id, semantic_score): the k items nearest to each of queries (query_id, embedding) by cosine, times 100 (F4 for a table of queries).
+
+    Scores are rounded to six decimals before they are ranked, so that equal vectors tie; ties go by id. Vectors that are null, hold nulls or
+    non-finite numbers, or have another dimension than a query are not among its results. Vectors and queries are packed into chunks and blocks. A chunk goes to one
+    partition, the far smaller blocks to all, and each chunk gives only its own k best of each query, before the best of all chunks are ranked.
+    """
+    spread = items.sparkSession.sparkContext.defaultParallelism
+    pool = _packed(vectors.join(items.select("id"), "id", "left_semi"), "id", CHUNK).withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(spread)))
+    asked = _packed(queries, "query_id", BLOCK).withColumnsRenamed({"keys": "asked", "data": "wanted"})
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    pairs = pool.join(asked, ["dim", "salt"]).select("dim", "keys", "data", "asked", "wanted")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                dim, keys, data, asked, wanted = (c[0].as_py() for c in batch.slice(at, 1).columns)
+                scores = np.round(_unit(wanted, dim) @ _unit(data, dim).T * 100, 6)
+                scores[~np.isfinite(scores)] = -np.inf
+                if k < len(keys):  # all that tie with the k-th stay
+                    least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k, None]
+                else:
+                    least = np.full((len(asked), 1), -np.inf)
+                q, v = np.nonzero((scores >= least) & np.isfinite(scores))
+                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()).take(pa.array(q)), pa.array(keys, pa.string()).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "semantic_score"])
+
+    found = pairs.mapInArrow(best, "query_id string, id string, semantic_score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("semantic_score").desc(), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= max(1, k)).select("query_id", "rank", "id", "semantic_score")
+
+
 def item_vectors(images: DataFrame) -> DataFrame:
     """(item_id, embedding): unit mean of each item's unit image vectors; images without item are left out.
 
@@ -105,8 +167,6 @@ def cover_topk(item_vecs: DataFrame, query_id: str | None = None, query_vector:
 
 def ranked(best: DataFrame, order: list[Column]) -> DataFrame:
     """rank from 1 over the few rows of a top list."""
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -126,23 +186,40 @@ def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("here").isNull(), "deleted").when(same, "unchanged").otherwise("add_or_update").alias("status"))
 
 
-def refresh_index(old: DataFrame | None, manifest: DataFrame, encoder: Callable[[list], np.ndarray], model: str, old_model: str | None = None, rebuild: bool = False) -> DataFrame:
+def is_consistent(index: DataFrame) -> bool:
+    """Whether every row of an index has a path of its own and a vector, all of one dimension, without nulls in it."""
+    size = F.when(F.forall("embedding", lambda x: x.isNotNull()), F.size("embedding"))
+    by_path = index.groupBy("path").agg(F.count("*").alias("n"), F.count(size).alias("sound"), F.min(size).alias("low"), F.max(size).alias("high"))
+    bad = (F.col("n") > 1) | (F.col("sound") < F.col("n")) | F.col("path").isNull()
+    seen = by_path.agg(F.count(F.when(bad, 1)).alias("bad"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    return seen["bad"] == 0 and seen["low"] == seen["high"] and seen["low"] != 0
+
+
+def refresh_index(old: DataFrame | None, manifest: DataFrame, encoder: Callable[[list], np.ndarray], model: str, old_model: str | None = None, rebuild: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """The index of a manifest (path, source, name, item_id, size, mtime_ns, content): vectors of unchanged images are kept, others encoded.
 
-    Everything is encoded on request, without an index or after a change of model. Images without content are skipped; none at all is an error.
+    Everything is encoded on request, without an index, after a change of model, or when the index is inconsistent (is_consistent). Images without content
+    are skipped; none at all is an error. With order, columns of the manifest, rows come in that order;
+    they are written once before the sort, whose sampling would encode all images a second time.
     """
     if manifest.isEmpty():
         raise ValueError("no images")
     columns = ["path", "source", "name", "item_id", "size", "mtime_ns"]
-    if rebuild or old is None or old_model != model:
+    extra = [c for c in order if c not in columns]
+    if rebuild or old is None or old_model != model or not is_consistent(old):
         todo, kept = manifest, None
     else:
         status = index_diff(old, manifest)
         same = status.where("status = 'unchanged'").select("path")
-        kept = manifest.select(*columns).join(same, "path", "left_semi").join(old.select("path", "embedding"), "path").select(*columns, "embedding")
+        kept = manifest.select(*columns, *extra).join(same, "path", "left_semi").join(old.select("path", "embedding"), "path").select(*columns, *extra, "embedding")
         todo = manifest.join(status.where("status = 'add_or_update'").select("path"), "path", "left_semi")
-    fresh = embed(todo.where("content IS NOT NULL"), "content", encoder, batch=64).select(*columns, "embedding")
-    return fresh if kept is None else kept.unionByName(fresh)
+    fresh = embed(todo.where("content IS NOT NULL"), "content", encoder, batch=64).select(*columns, *extra, "embedding")
+    index = fresh if kept is None else kept.unionByName(fresh)
+    if order:
+        path = files.scratch(index.sparkSession, "index")
+        index.write.parquet(path)
+        index = index.sparkSession.read.schema(index.schema).parquet(path).orderBy(*order)
+    return index.select(*columns, "embedding")
 
 
 def index_stats(index: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ class Dictionaries:
     stop_words: set[str]
     word_map: dict[str, str]
 
+    def stamp(self) -> str:
+        """A digest of all entries."""
+        held = (sorted(self.stop_tags), sorted(self.tag_map.items()), sorted(self.stop_words), sorted(self.word_map.items()))
+        return hashlib.md5(repr(held).encode()).hexdigest()
+
 
 @dataclass
 class Prepared:
@@ -54,6 +61,31 @@ def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFr
     return Prepared(df, scoring.all_frequencies(df))
 
 
+def preprocess_stored(catalogue: DataFrame, dictionaries: Dictionaries, folder: str, folders: DataFrame | None = None, title_fallback: bool = False, content: bool = True) -> Prepared:
+    """preprocess(), stored as Parquet under the fingerprint of its inputs and read again while they stay the same (K2).
+
+    Without content the fingerprint has row count and greatest id only (K1), which misses changed cells. What a broken-off run has left is written anew: the
+    table done comes last. Old fingerprints stay in the folder until their owner deletes them.
+    """
+    spark = catalogue.sparkSession
+    parts = [dictionaries.stamp(), str(title_fallback)]
+    if folders is not None:
+        parts.append(folders.agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.xxhash64(*folders.columns).cast("decimal(38,0)")).cast("string")))).first()[0])
+    path = f"{folder.rstrip('/')}/{fingerprint(catalogue, tuple(parts), content).first()['fingerprint']}"
+
+    def stored() -> Prepared:
+        table = spark.read.parquet(f"{path}/frequencies")
+        return Prepared(spark.read.parquet(f"{path}/items"), scoring.Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in scoring.FACETS], table))
+
+    try:
+        spark.read.parquet(f"{path}/done")
+    except AnalysisException:
+        preprocess(catalogue, dictionaries, folders, title_fallback, keep=False).items.write.mode("overwrite").parquet(f"{path}/items")
+        scoring.all_frequencies(spark.read.parquet(f"{path}/items")).together().write.mode("overwrite").parquet(f"{path}/frequencies")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return stored()
+
+
 def ingest(raw: DataFrame, current: DataFrame | None, bookmarks: DataFrame | None = None) -> DataFrame:
     """Raw rows cleaned, one an id, and merged into the current table."""
     df = clean.attach_file_names(raw, bookmarks) if bookmarks is not None else raw

@@ -152,6 +152,18 @@ def f04(spark, sf):
     return vectors.semantic_topk(items, A.vectors(spark, sf), A.query_vector(spark, sf), 100).withColumn("semantic_score", F.round("semantic_score", 4))
 
 
+@query(
+    "f04_semantic_topk_queries",
+    f"WITH {CAT}, {_VECS}, s AS (SELECT a.id AS query_id, v.id, round(list_cosine_similarity(v.e, a.e) * 100, 6) AS score FROM v JOIN cat ON cat.id = v.id, v a WHERE cat.team <> 'team 3' AND a.vec_id % 20 = 0) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score AS semantic_score FROM s QUALIFY rank <= 100",
+)
+def f04_queries(spark, sf):
+    """The hundred items nearest to each vector whose number is divisible by 20, of all vectors."""
+    items, found = A.small_catalogue(spark, sf).where("team <> 'team 3'"), A.vectors(spark, sf)
+    best = vectors.semantic_topk_queries(items, found, found.where("pos % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), 100)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "semantic_score")
+
+
 _IMAGES = """img AS (SELECT vec_id, '/images/' || vec_id || '.jpg' AS path, (CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END) AS source, vec_id || '.jpg' AS name, CASE WHEN vec_id % 100 = 99 THEN ' ' ELSE 'IT' || (vec_id % 100) END AS item_id,
   vec_id * 3 AS size, vec_id * 1000 AS mtime_ns, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
 _MEANS = _IMAGES + """, places AS (SELECT item_id, i, avg(e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x)))) AS x FROM img, range(1, 65) r(i) WHERE trim(item_id) <> '' GROUP BY 1, 2),
@@ -181,12 +193,17 @@ def f08(spark, sf):
     return vectors.index_diff(A.images(spark, sf), A.new_images(spark, sf))
 
 
-@query("f09_refresh_index")
+@query(
+    "f09_refresh_index",
+    f"WITH {_IMAGES}, new AS (SELECT path, source, CASE WHEN vec_id % 7 = 0 THEN size + 1 ELSE size END AS size, vec_id, e FROM img WHERE vec_id % 11 <> 0) "
+    "SELECT path, source, size, CAST(len(e) AS INTEGER) AS dim, round(CASE WHEN vec_id % 7 = 0 THEN 1.0 ELSE list_sum(e) END, 4) AS total FROM new "
+    "UNION ALL SELECT '/new' || path, source, vec_id * 3, 64, 1.0 FROM new WHERE vec_id % 13 = 0",
+)
 def f09(spark, sf):
-    """Only changed and new images are encoded anew."""
+    """Only changed and new images are encoded anew: a name of one word has a single component of 1, a kept vector its old components."""
     new = A.new_images(spark, sf).drop("embedding").withColumn("content", F.col("name"))
-    out = vectors.refresh_index(A.images(spark, sf), new, vectors.hashing_encoder(64), "m", "m")
-    return out.select("path", "source", "size", F.size("embedding").alias("dim"))
+    out = vectors.refresh_index(A.images(spark, sf), new, vectors.hashing_encoder(64), "m", "m", order=("path",))
+    return out.select("path", "source", "size", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query("f10_index_stats", f"WITH {_IMAGES} SELECT source, count(*) AS images, CAST(max(len(e)) AS INTEGER) AS dimension FROM img GROUP BY 1 UNION ALL SELECT 'all', count(*), CAST(max(len(e)) AS INTEGER) FROM img")
@@ -230,6 +247,16 @@ def k02(spark, sf):
     return both.select("id", "local_path", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
 
 
+@query("k02_preprocess_stored", f"WITH {FREQ} SELECT f.id, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
+def k02_stored(spark, sf):
+    """Features stored under the fingerprint of the catalogue, and taken from there the second time."""
+    folder = files.scratch(spark, "prepared")
+    plans.preprocess_stored(A.small_catalogue(spark, sf), A.DICTIONARIES, folder)
+    p = plans.preprocess_stored(A.small_catalogue(spark, sf), A.DICTIONARIES, folder)
+    both = p.items.join(p.freqs.authors.withColumnsRenamed({"feature": "author", "freq": "author_freq"}), "author")
+    return both.select("id", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
+
+
 @query("w1_ingest", f"WITH {CAT} SELECT {COLUMNS} FROM cat WHERE p_partkey % 2 = 1 UNION ALL SELECT id, link, file_name, 'new title', tags, author, team, language, pages, upload_date FROM cat WHERE p_partkey % 2 = 0")
 def w1(spark, sf):
     """Half of the catalogue comes again as raw CSV with other titles and no ids."""

@@ -112,8 +112,14 @@ def write_catalogue(df: DataFrame, path: str, order: list[str] | None = None) ->
     rows.write.mode("overwrite").parquet(path)
 
 
-def upsert_catalogue(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of the batch, and current rows of other ids."""
+def upsert_catalogue(current: DataFrame, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Rows of the batch, and current rows of other ids.
+
+    Of batch rows that repeat an id the last in the order of these columns stays, by default the one of greatest cells; rows without id all stay.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in current.columns]
+    one = batch.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*current.columns), F.struct(*[F.col(c) for c in order or []], *cells)).alias("row")).select("row.*")
+    batch = one.unionByName(batch.where("id IS NULL").select(*current.columns))
     return current.join(batch.select("id"), "id", "left_anti").select(*current.columns).unionByName(batch.select(*current.columns))
 
 

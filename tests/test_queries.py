@@ -15,7 +15,7 @@ def rows(columns, found):
     return sorted(str([plain(r[k]) for k in order]) for r in found)
 
 
-@pytest.mark.parametrize("name", ["b05_move_language_tags", "d06_recommend", "f06_cover_topk", "h02_click_log_entries", "w1_ingest", "w2_recommend_page"])
+@pytest.mark.parametrize("name", ["a08_upsert_catalogue", "b05_move_language_tags", "d06_recommend", "f04_semantic_topk_queries", "f06_cover_topk", "f09_refresh_index", "h02_click_log_entries", "k02_preprocess_stored", "w1_ingest", "w2_recommend_page"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in "part orders customer nation events embeddings".split():
