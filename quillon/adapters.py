@@ -84,10 +84,10 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image index: a hundred items, two sources."""
+    """An image index: five images an item, two sources."""
     return table(spark, sf_dir, "embeddings").selectExpr(
         "concat('/images/', vec_id, '.jpg') AS path", "if(label % 2 = 0, 'even', 'odd') AS source", "concat(vec_id, '.jpg') AS name",
-        "if(vec_id % 100 = 99, ' ', concat('IT', vec_id % 100)) AS item_id", "vec_id * 3 AS size", "vec_id * 1000 AS mtime_ns", "embedding",
+        "if(vec_id % 100 = 99, ' ', concat('IT', vec_id div 5)) AS item_id", "vec_id * 3 AS size", "vec_id * 1000 AS mtime_ns", "embedding",
     )
 
 

@@ -136,13 +136,49 @@ def semantic_topk_queries(items: DataFrame, vectors: DataFrame, queries: DataFra
 
 
 def item_vectors(images: DataFrame) -> DataFrame:
-    """(item_id, embedding): unit mean of each item's unit image vectors; images without item are left out.
+    """(item_id, embedding): unit mean of each item's unit image vectors.
 
-    Sums go by item and place, so that an item with very many images is added up before the shuffle.
+    Images without item, or whose vector is null, empty or holds nulls, are left out; where dimensions differ, a place's mean is over the vectors that have it. Each Arrow
+    batch gives one sum of arrays an item, so that neither components nor the images of a large item are shuffled one by one; sums of an item come sorted into
+    one task and are added as they pass.
     """
-    unit = images.select(T.strip(T.filled(F.col("item_id"))).alias("item_id"), T.l2_normalise(F.col("embedding")).alias("v")).where("item_id <> ''")
-    means = unit.select("item_id", F.posexplode("v").alias("pos", "x")).groupBy("item_id", "pos").agg(F.avg("x").alias("x"))
-    joined = means.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("v"))
+    unit = images.select(T.strip(T.filled(F.col("item_id"))).alias("item_id"), F.col("embedding")).where("item_id <> '' AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL)")
+    unit = unit.select("item_id", T.l2_normalise(F.col("embedding")).alias("v"))
+    schema = pa.schema([("item_id", pa.string()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("v").value_lengths().to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                ids = part.column("item_id").dictionary_encode()
+                codes = ids.indices.to_numpy()
+                x = part.column("v").flatten().to_numpy().reshape(-1, dim)
+                order = np.argsort(codes, kind="stable")
+                found, starts, n = np.unique(codes[order], return_index=True, return_counts=True)
+                totals = np.add.reduceat(x[order], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(found)), pa.array(n, pa.int64()), pa.array(list(totals), pa.list_(pa.float64()))], schema=schema)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, total, count = None, np.zeros(0), np.zeros(0)
+        for batch in batches:
+            done: list[tuple[str, np.ndarray]] = []
+            for own, n, more in zip(batch.column("item_id").to_pylist(), batch.column("n").to_pylist(), batch.column("total"), strict=True):
+                if own != item:
+                    if item is not None:
+                        done.append((item, total / count))
+                    item, total, count = own, np.zeros(0), np.zeros(0)
+                x = more.values.to_numpy()
+                if len(x) > len(total):
+                    total, count = (np.pad(a, (0, len(x) - len(a))) for a in (total, count))
+                total[: len(x)] += x
+                count[: len(x)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], pa.string()), pa.array([m for _, m in done], pa.list_(pa.float64()))], names=["item_id", "v"])
+        if item is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([total / count], pa.list_(pa.float64()))], names=["item_id", "v"])
+
+    partial = unit.mapInArrow(sums, "item_id string, n long, total array<double>")
+    joined = partial.repartition("item_id").sortWithinPartitions("item_id").mapInArrow(means, "item_id string, v array<double>")
     return joined.select("item_id", T.l2_normalise(F.col("v")).alias("embedding"))
 
 

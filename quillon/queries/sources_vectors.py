@@ -89,11 +89,11 @@ def a09(spark, sf):
     return files.read_history(spark, path, 50).select("opened_at", "id", "title")
 
 
-@query("a10_vector_files", "SELECT (CASE WHEN vec_id % 3 = 0 THEN 'JM' ELSE 'NH' END) || vec_id AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 4) AS first FROM embeddings")
+@query("a10_vector_files", "SELECT (CASE WHEN vec_id % 3 = 0 THEN 'JM' ELSE 'NH' END) || vec_id AS id, CAST(i AS INTEGER) AS place, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) r(i)")
 def a10(spark, sf):
     path = files.scratch(spark, "vectors")
     files.write_vectors(A.vectors(spark, sf), path)
-    return files.read_vectors(spark, path).select("id", F.size("embedding").cast("long").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+    return files.read_vectors(spark, path).select("id", F.posexplode("embedding").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), F.col("x").cast("double").alias("x"))
 
 
 @query("a11_list_images", "SELECT DISTINCT 'region=' || label AS source, 1 AS n, len(CAST(label AS VARCHAR)) AS bytes FROM embeddings")
@@ -164,16 +164,16 @@ def f04_queries(spark, sf):
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "semantic_score")
 
 
-_IMAGES = """img AS (SELECT vec_id, '/images/' || vec_id || '.jpg' AS path, (CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END) AS source, vec_id || '.jpg' AS name, CASE WHEN vec_id % 100 = 99 THEN ' ' ELSE 'IT' || (vec_id % 100) END AS item_id,
+_IMAGES = """img AS (SELECT vec_id, '/images/' || vec_id || '.jpg' AS path, (CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END) AS source, vec_id || '.jpg' AS name, CASE WHEN vec_id % 100 = 99 THEN ' ' ELSE 'IT' || (vec_id // 5) END AS item_id,
   vec_id * 3 AS size, vec_id * 1000 AS mtime_ns, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
 _MEANS = _IMAGES + """, places AS (SELECT item_id, i, avg(e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x)))) AS x FROM img, range(1, 65) r(i) WHERE trim(item_id) <> '' GROUP BY 1, 2),
 norms AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM places GROUP BY 1), means AS (SELECT item_id, list(x / n ORDER BY i) AS m FROM places JOIN norms USING (item_id) GROUP BY 1)"""
 
 
-@query("f05_item_vectors", f"WITH {_MEANS} SELECT item_id, round(m[1], 4) AS first, round(m[64], 4) AS last, len(m) AS dim FROM means")
+@query("f05_item_vectors", f"WITH {_MEANS} SELECT item_id, CAST(i AS INTEGER) AS place, round(m[i], 4) + 0.0 AS x FROM means, range(1, 65) r(i)")
 def f05(spark, sf):
     v = vectors.item_vectors(A.images(spark, sf))
-    return v.select("item_id", F.round(F.col("embedding")[0], 4).alias("first"), F.round(F.col("embedding")[63], 4).alias("last"), F.size("embedding").cast("long").alias("dim"))
+    return v.select("item_id", F.posexplode("embedding").alias("place", "x")).select("item_id", (F.col("place") + 1).alias("place"), F.round("x", 4).alias("x"))
 
 
 @query("f06_cover_topk", f"WITH {_MEANS}, best AS (SELECT a.item_id AS id, list_dot_product(a.m, b.m) * 100 AS s FROM means a, means b WHERE b.item_id = 'IT7' AND a.item_id <> 'IT3' ORDER BY s DESC, id LIMIT 20) SELECT CAST(row_number() OVER (ORDER BY s DESC, id) AS INTEGER) AS rank, id, round(s, 4) AS cover_score FROM best")

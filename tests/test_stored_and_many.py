@@ -96,3 +96,19 @@ def test_features_are_reused_while_the_fingerprint_stays(spark, tmp_path):
     assert len(stored()) == 2
     empty = plans.preprocess_stored(df.limit(0), DICTIONARIES, folder)
     assert empty.items.count() == 0 and empty.freqs.tags.count() == 0
+
+
+def test_item_means_of_odd_vectors(spark):
+    draw = np.random.default_rng(8)
+    rows = [(f"i{draw.integers(0, 5)}" if n % 3 else "hot", draw.normal(size=4).tolist()) for n in range(300)]
+    odd = [("hot", None), ("hot", []), ("hot", [1.0, None]), (None, [1.0]), (" ", [1.0]), ("mixed", [3.0, 4.0]), ("mixed", [2.0])]
+    df = spark.createDataFrame([*rows, *odd], "item_id string, embedding array<double>")
+    want = {}
+    for item in {i for i, _ in rows}:
+        mean = np.mean([np.array(v) / np.linalg.norm(v) for i, v in rows if i == item], axis=0)
+        want[item] = mean / np.linalg.norm(mean)
+    want["mixed"] = np.array([0.8, 0.8]) / np.linalg.norm([0.8, 0.8])
+    for parts in (1, 7):
+        got = {r["item_id"]: r["embedding"] for r in vectors.item_vectors(df.repartition(parts)).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+    assert vectors.item_vectors(df.limit(0)).count() == 0
