@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, brown, caps, chat, fingerprints, langid, merkle, mixing, near, quality, secret_scan
+from quillon.llm import align, bpe, brown, caps, chat, fingerprints, langid, merkle, mixing, near, quality, secret_scan
 from quillon.llm.common import held_out, lower_ascii, table
 
 
@@ -88,3 +88,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.document_leaf().alias("leaf"), offered.alias("offered"))
     checked = merkle.verify(merkle.proofs(merkle.manifest(rows)), "offered")
     return checked.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    """All documents by a byte-level and a piece vocabulary, aligned."""
+    import public_tokenizers
+
+    made = align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(a), public_tokenizers.path(b), digest=True)
+    return made.withColumnRenamed("groups", "groups_sha256")
