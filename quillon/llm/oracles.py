@@ -97,3 +97,23 @@ SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(p.proof)
   coalesce(p.digest, r.digest) = r.digest AS verified
 FROM path p JOIN subroots s ON s.tree = p.tree, (SELECT digest FROM high WHERE n = 1) r WHERE p.top AND p.n = 1
 """
+
+#: Every window's words by their digest, the smallest document of each, and the words that such windows cover.
+OP11 = r"""
+WITH tokens AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM tokens WHERE len(w) >= 50)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY m) AS first FROM windows) WHERE first < doc_id
+), each AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tokens
+), judged AS (
+  SELECT e.doc_id, e.i, e.word, max(CASE WHEN r.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM each e LEFT JOIN repeated r ON r.doc_id = e.doc_id AND r.i = e.i
+), summed AS (
+  SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM judged GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM tokens t LEFT JOIN summed s ON s.doc_id = t.doc_id
+"""

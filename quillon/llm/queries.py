@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import align, bpe, brown, caps, chat, fingerprints, langid, merkle, mixing, near, quality, secret_scan
+from quillon.llm import align, bpe, brown, caps, chat, factors, fingerprints, langid, merkle, mixing, near, quality, secret_scan
 from quillon.llm.common import held_out, lower_ascii, table
 
 
@@ -81,6 +81,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words and more that documents of smaller doc_id have."""
+    left = factors.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as leaves with their proofs, verified against leaves of which a third have a lower-cased text."""
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
