@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.clean import title_fallback
+from quillon.sources.scratch import unused, with_handle
 
 #: Dictionaries up to this many entries become a map literal in the plan; larger ones are joined.
 LITERAL = 10_000
@@ -37,12 +38,14 @@ def parse_tags(df: DataFrame, stop_tags: set[str], semantic_map: dict[str, str])
 
 
 def parse_tags_joined(df: DataFrame, stop_tags: DataFrame, semantic_map: DataFrame) -> DataFrame:
-    """The same with dictionaries of any size as tables (term) and (term, mapped): pieces meet them in joins and go back by id in order."""
-    pieces = df.select("id", F.posexplode(T.split_raw(F.col("tags"))).alias("pos", "term"))
-    kept = pieces.join(stop_tags.select("term").distinct(), "term", "left_anti").join(semantic_map, "term", "left")
-    kept = kept.select("id", F.struct("pos", F.coalesce("mapped", "term").alias("tag")).alias("x"))
-    back = kept.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["tag"]).alias("parsed_tags"))
-    return df.join(back, "id", "left").withColumn("parsed_tags", F.coalesce("parsed_tags", F.array().cast("array<string>")))
+    """The same with dictionaries of any size as tables (term) and (term, mapped): pieces meet them in joins and go back, in order, to the row that they came from."""
+    row = unused(df, "_row")
+    held = with_handle(df.drop("parsed_tags"), row)
+    pieces = held.select(row, F.posexplode(T.split_raw(F.col("tags"))).alias("pos", "term"))
+    kept = pieces.join(stop_tags.select("term").distinct(), "term", "left_anti").join(semantic_map.select("term", "mapped"), "term", "left")
+    kept = kept.select(row, F.struct("pos", F.coalesce("mapped", "term").alias("tag")).alias("x"))
+    back = kept.groupBy(row).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["tag"]).alias("parsed_tags"))
+    return held.join(back, row, "left").withColumn("parsed_tags", F.coalesce("parsed_tags", F.array().cast("array<string>"))).drop(row)
 
 
 def tokenize_titles(df: DataFrame, tokenizer: Callable[[str], list[tuple[str, str]]] | None = None, strip_parens: bool = False) -> DataFrame:

@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.sources.scratch import stored, unused, with_handle
 
 
 def block_tags(df: DataFrame, blocked: list[str]) -> DataFrame:
-    """Rows without any blocked tag."""
-    return df.where(~F.arrays_overlap("parsed_tags", F.array(*[F.lit(x) for x in blocked]))) if blocked else df
+    """Rows without any blocked tag (E1); a null tag, or no list of tags, is not blocked."""
+    if not blocked:
+        return df
+    return df.where(~F.coalesce(F.arrays_overlap("parsed_tags", F.array(*[F.lit(x) for x in blocked])), F.lit(False)))
 
 
 def block_tags_joined(df: DataFrame, blocked: DataFrame) -> DataFrame:
-    """The same for a block list of any size (tag), as a table."""
-    hit = df.select("id", F.explode("parsed_tags").alias("tag")).join(blocked.select("tag"), "tag", "left_semi").select("id").distinct()
-    return df.join(hit, "id", "left_anti")
+    """The same for a block list of any size (tag), as a table; each row is judged by its own tags, whatever its id."""
+    row = unused(df, "_row")
+    held = with_handle(df, row)
+    hit = held.select(row, F.explode("parsed_tags").alias("tag")).join(blocked.select("tag"), "tag", "left_semi").select(row).distinct()
+    return held.join(hit, row, "left_anti").drop(row)
 
 
 def score_bounds(df: DataFrame) -> DataFrame:
@@ -29,10 +34,11 @@ def score_bounds(df: DataFrame) -> DataFrame:
 
 
 def min_score(df: DataFrame, threshold: int | None = None) -> DataFrame:
-    """Rows at or above the threshold, by default that of score_bounds."""
-    if threshold is not None:
-        return df.where(F.col("score") >= threshold)
-    return df.crossJoin(score_bounds(df).select("threshold")).where("score >= threshold").drop("threshold")  # one row
+    """Rows at or above the threshold, by default that of score_bounds (E3). Bounds and rows are then read from one stored table, so that nothing is scored twice."""
+    if threshold is None:
+        df = stored(df, "scored")
+        threshold = score_bounds(df).first()["threshold"]
+    return df.where(F.col("score") >= threshold)
 
 
 def query_terms(query: str) -> list[str]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillon.operators.history import history_counts
-from quillon.sources import files
+from quillon.sources.scratch import scratch
 
 
 def sort_order(by: str = "score", ascending: bool = False) -> list[Column]:
@@ -20,28 +23,69 @@ def sort_catalogue(df: DataFrame, by: str = "score", ascending: bool = False) ->
     return df.orderBy(*sort_order(by, ascending))
 
 
-def with_place(df: DataFrame, by: str = "score", ascending: bool = False) -> DataFrame:
-    """All rows with their place from 1 in the order of sort_catalogue.
+@dataclass
+class StoredOrder:
+    """Rows in an order, written once: range partitions (_part) with the place of each row in its own (_nth), and how many rows each holds."""
+
+    rows: DataFrame
+    parts: list[tuple[int, int]]
+
+    def count(self) -> int:
+        return sum(n for _, n in self.parts)
+
+    def slice(self, start: int, end: int) -> DataFrame:
+        """Rows at places start to end of the order, in order, read from the partitions that hold them."""
+        wanted, held, before = F.lit(False), [], 0
+        for part, n in self.parts:
+            low, high = max(start - before, 0), min(end - before, n)
+            if low < high:
+                held.append(part)
+                wanted = wanted | ((F.col("_part") == part) & (F.col("_nth") >= low) & (F.col("_nth") < high))
+            before += n
+        return self.rows.where(F.col("_part").isin(held) & wanted).orderBy("_part", "_nth").drop("_part", "_nth")
+
+    def page(self, page_index: int, size: int = 500) -> DataFrame:
+        """Rows page_index * size and on (G2): no partition before them is read."""
+        return self.slice(page_index * size, (page_index + 1) * size)
+
+    def placed(self) -> DataFrame:
+        """All rows with their place from 1; the number of rows before each partition is joined by partition."""
+        before, offsets = 0, []
+        for part, n in self.parts:
+            offsets.append((part, before))
+            before += n
+        known = self.rows.sparkSession.createDataFrame(offsets, "_part int, _before long")
+        return self.rows.join(known, "_part").withColumn("place", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
-    The sorted rows are written once with partition and row number; a place is the row number plus the rows of the partitions before. Only one count
-    a partition comes to the driver.
-    """
+
+def open_order(spark: SparkSession, path: str) -> StoredOrder:
+    """An order that store_order() has finished at a path."""
+    parts = sorted((r[0], r[1]) for r in spark.read.parquet(f"{path}/parts").collect())  # one row a partition
+    schema = spark.read.parquet(f"{path}/shape").schema.add("_part", IntegerType())
+    rows = spark.read.schema(schema).parquet(f"{path}/rows") if parts else spark.createDataFrame([], schema)
+    return StoredOrder(rows, parts)
+
+
+def store_order(df: DataFrame, order: list[Column], path: str | None = None) -> StoredOrder:
+    """Sort df once by range and keep it at a path, by default one that goes with the application. The table of parts comes last: an order without it is not finished."""
     spark = df.sparkSession
-    path = files.scratch(spark, "sorted")
-    sort_catalogue(df, by, ascending).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    part = F.shiftright("_at", 33)
-    before, offsets = 0, []
-    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).agg(F.count("*")).collect()):
-        offsets.append((p, before))
-        before += n
-    known = spark.createDataFrame(offsets, "_part long, _before long")
-    placed = rows.withColumn("_part", part).join(known, "_part")
-    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+    path = path or scratch(spark, "order")
+    at = F.monotonically_increasing_id()
+    held = df.orderBy(*order).withColumn("_nth", at.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_part", F.spark_partition_id())
+    held.write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows")
+    held.drop("_part").limit(0).write.mode("overwrite").parquet(f"{path}/shape")
+    shape = held.schema
+    spark.read.schema(shape).parquet(f"{path}/rows").groupBy("_part").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/parts")
+    return open_order(spark, path)
+
+
+def with_place(df: DataFrame, by: str = "score", ascending: bool = False) -> DataFrame:
+    """All rows with their place from 1 in the order of sort_catalogue, from an order stored once."""
+    return store_order(df, sort_order(by, ascending)).placed()
 
 
 def page(df: DataFrame, order: list[Column], page_index: int, size: int = 500) -> DataFrame:
-    """Rows page_index * size and on of the order (G2). Spark keeps only the rows up to the page's end in each partition."""
+    """Rows page_index * size and on of the order (G2), for a single look: Spark keeps the rows up to the page's end in each partition. Repeated and deep looks are cheaper in a StoredOrder."""
     return df.orderBy(*order).offset(page_index * size).limit(size)
 
 

@@ -1,7 +1,7 @@
 """The explainable recommendation score.
 
-Every part is a sum of weighted features by item. All facets go through one long table (id, facet, feature) and one aggregate by id; features meet their
-worth in one equi join, a small table of worths being broadcast by its size. Sums are rounded to six decimals before truncation, so that their order does not matter.
+Every part is a sum of weighted features of a row. What a feature is worth, by facet, is worked out once for the vocabulary; an item's score then needs its own row and the worths of its
+features, which go to all tasks while they are few (with_sum). Sums are rounded to six decimals before truncation, so that their order does not matter.
 """
 
 from __future__ import annotations
@@ -9,15 +9,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.features import base_scores, feature_counts
+from quillon.operators.features import base_scores
 from quillon.operators.history import history_counts
 from quillon.schema import SCORED
+from quillon.sources.scratch import stored, unused, with_handle
 
 TAG_WEIGHT, AUTHOR_WEIGHT, WORD_WEIGHT = 1.0, 5.0, 1.0
+#: Features, and bytes of their names, that go to all tasks at most.
+GATHERED, GATHERED_BYTES = 1_000_000, 32_000_000
 
 
 @dataclass
@@ -39,25 +45,6 @@ class Frequencies:
 FACETS = ("tag", "author", "title_word")
 
 
-def _entries(values: Column, facet: str, amount) -> Column:
-    return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature"), amount(x).alias("amount")))
-
-
-def item_features(items: DataFrame) -> DataFrame:
-    """(id, facet, feature, amount): every feature of every item in one pass; amount is its count over the root of the item's number of features, 1 for the author."""
-
-    def share(column: str):
-        norm = F.sqrt(F.greatest(F.size(column), F.lit(1)).cast("double"))
-        return lambda x: F.size(F.filter(column, lambda y: y == x)) / norm
-
-    own = T.strip(T.filled(F.col("author")))
-    author = F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))
-    every = F.concat(
-        _entries(F.array_distinct("parsed_tags"), "tag", share("parsed_tags")), _entries(author, "author", lambda x: F.lit(1.0)), _entries(F.array_distinct("title_words"), "title_word", share("title_words"))
-    )
-    return items.select("id", F.explode(every).alias("f")).select("id", "f.facet", "f.feature", "f.amount")
-
-
 def all_frequencies(items: DataFrame) -> Frequencies:
     """Frequencies of all facets, counted in one pass."""
 
@@ -91,54 +78,88 @@ class Multipliers:
     history: float = 1.0
 
 
-def _weighted(freq: DataFrame, weights: DataFrame | None, default: float) -> DataFrame:
-    """(feature, base, weight)."""
-    scored = base_scores(freq)
-    if weights is None:
-        return scored.select("feature", "freq", "base", F.lit(float(default)).alias("weight"))
-    return scored.join(weights.select("feature", "weight"), "feature", "left").select("feature", "freq", "base", F.coalesce("weight", F.lit(float(default))).alias("weight"))
+def _author() -> Column:
+    return T.strip(T.filled(F.col("author")))
 
 
-def _array_parts(items: DataFrame, array_col: str, values: DataFrame, value: Column, factor: float) -> DataFrame:
-    """(id, part) of each feature of an array column: count * value / norm * factor."""
-    return feature_counts(items, array_col).join(values, "feature").select("id", (F.col("cnt") * value / F.col("norm") * factor).alias("part"))
+def _gathered(tags: Column, author: Column, words: Column, held: Broadcast) -> Column:
+    """The sum of a row's worths in Arrow batches: distinct features of a batch are looked up, then gathered by their numbers in the rows' lists."""
 
+    def sums(tags: pa.Array, author: pa.Array, words: pa.Array) -> pa.Array:
+        known, n = held.value, len(author)
+        total = np.zeros(n)
+        for facet, lists in zip((FACETS[0], FACETS[2]), (tags, words), strict=True):
+            own = lists.flatten().dictionary_encode()
+            worth = np.array([*(known.get((facet, x), 0.0) for x in own.dictionary.to_pylist()), 0.0])
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            number = own.indices.fill_null(len(worth) - 1).to_numpy(zero_copy_only=False)
+            total += np.bincount(np.repeat(np.arange(n), size), worth[number], n) / np.sqrt(np.maximum(size, 1))
+        own = author.dictionary_encode()
+        worth = np.array([known.get((FACETS[1], x), 0.0) if x else 0.0 for x in own.dictionary.to_pylist()] or [0.0])
+        return pa.array(total + worth[own.indices.to_numpy(zero_copy_only=False)])
 
-def _author_parts(items: DataFrame, values: DataFrame, value: Column, factor: float) -> DataFrame:
-    own = items.select("id", T.strip(T.filled(F.col("author"))).alias("feature")).where("feature <> ''")
-    return own.join(values, "feature").select("id", (value * factor).alias("part"))
+    return F.arrow_udf(sums, "double")(tags, author, words)
 
 
-def _summed(items: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-    total = parts.groupBy("id").agg(F.sum("part").alias("part"))
-    return items.select("id").join(total, "id", "left").select("id", F.coalesce("part", F.lit(0.0)).alias(name))
+def _joined(items: DataFrame, worth: DataFrame, out: str) -> DataFrame:
+    """The same by a join of every row's features with their worths, summed by row."""
+    row = unused(items, "_row")
+    held = with_handle(items, row)
 
+    def entries(values: Column, facet: str) -> Column:
+        norm = F.sqrt(F.greatest(F.size(values), F.lit(1)).cast("double"))
+        return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature"), (1 / norm).alias("amount")))
 
-def tag_parts(items: DataFrame, freq: DataFrame, weights: DataFrame | None, g: float) -> DataFrame:
-    return _array_parts(items, "parsed_tags", _weighted(freq, weights, TAG_WEIGHT), F.col("base") * F.col("weight"), g * 0.5)
+    own = F.filter(F.array(_author()), lambda x: x != "")
+    lists = [F.coalesce(c, F.array().cast("array<string>")) for c in (F.col("parsed_tags"), own, F.col("title_words"))]
+    every = F.concat(*[entries(c, facet) for c, facet in zip(lists, FACETS, strict=True)])
+    features = held.select(row, F.explode(every).alias("f")).select(row, "f.facet", "f.feature", "f.amount")
+    features = features.groupBy(row, "facet", "feature").agg(F.sum("amount").alias("amount"))
+    total = features.join(worth, ["facet", "feature"]).groupBy(row).agg(F.sum(F.col("amount") * F.col("value")).alias("_total"))
+    return held.join(total, row, "left").withColumn(out, F.coalesce("_total", F.lit(0.0))).drop(row, "_total")
 
 
-def author_parts(items: DataFrame, freq: DataFrame, weights: DataFrame | None, g: float) -> DataFrame:
-    return _author_parts(items, _weighted(freq, weights, AUTHOR_WEIGHT), F.col("base") * F.col("weight"), g)
+def with_sum(items: DataFrame, worth: DataFrame, out: str, most: int = GATHERED) -> DataFrame:
+    """items with a column that sums the worths (facet, feature, value) of each row's features: of tags and title words over the root of their number, repeats counted, and of the author.
 
+    Each row has its own sum, whatever its id. The table of worths is stored and measured: up to `most` features of bounded text go to all tasks and rows are summed where they lie, without a
+    shuffle; beyond that rows and worths meet in a join. Both give the same sums up to the order of additions.
+    """
+    worth = stored(worth.select("facet", "feature", F.col("value").cast("double").alias("value")), "worths")
+    size = worth.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("feature")), F.lit(0))).first()
+    if size[0] > most or size[1] > GATHERED_BYTES:
+        return _joined(items, worth, out)
+    held: dict[tuple[str, str], float] = {}
+    for r in worth.collect():  # measured above
+        held[r[0], r[1]] = held.get((r[0], r[1]), 0.0) + r[2]
+    held = items.sparkSession.sparkContext.broadcast(held)
+    lists = [F.col(c).cast("array<string>") for c in ("parsed_tags", "title_words")]
+    return items.withColumn(out, _gathered(lists[0], _author(), lists[1], held))
 
-def title_parts(items: DataFrame, freq: DataFrame, weights: DataFrame | None, g: float) -> DataFrame:
-    return _array_parts(items, "title_words", _weighted(freq, weights, WORD_WEIGHT), F.col("base") * F.col("weight"), g)
 
+def _worth(facet: str, freq: DataFrame, weights: DataFrame | None, default: float, factor: float, amount: str = "base") -> DataFrame:
+    """(facet, feature, value): amount (base or freq) by weight by factor."""
+    scored = base_scores(freq)
+    weight = F.lit(float(default))
+    if weights is not None:
+        scored = scored.join(weights.select("feature", "weight"), "feature", "left")
+        weight = F.coalesce("weight", weight)
+    return scored.select(F.lit(facet).alias("facet"), "feature", (F.col(amount) * weight * float(factor)).alias("value"))
 
-def tag_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0) -> DataFrame:
-    """(id, tag_score)."""
-    return _summed(items, tag_parts(items, freq, weights, g), "tag_score")
 
+def tag_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0, most: int = GATHERED) -> DataFrame:
+    """(id, tag_score) of every row."""
+    return with_sum(items, _worth(FACETS[0], freq, weights, TAG_WEIGHT, g * 0.5), "tag_score", most).select("id", "tag_score")
 
-def author_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0) -> DataFrame:
-    """(id, author_score), 0 for a blank or unknown author."""
-    return _summed(items, author_parts(items, freq, weights, g), "author_score")
 
+def author_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0, most: int = GATHERED) -> DataFrame:
+    """(id, author_score) of every row, 0 for a blank or unknown author."""
+    return with_sum(items, _worth(FACETS[1], freq, weights, AUTHOR_WEIGHT, g), "author_score", most).select("id", "author_score")
 
-def title_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0) -> DataFrame:
-    """(id, title_score) (D3)."""
-    return _summed(items, title_parts(items, freq, weights, g), "title_score")
+
+def title_score(items: DataFrame, freq: DataFrame, weights: DataFrame | None = None, g: float = 1.0, most: int = GATHERED) -> DataFrame:
+    """(id, title_score) of every row (D3)."""
+    return with_sum(items, _worth(FACETS[2], freq, weights, WORD_WEIGHT, g), "title_score", most).select("id", "title_score")
 
 
 def history_bonus(history: DataFrame, freqs: Frequencies, scales: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -157,32 +178,23 @@ def history_bonus(history: DataFrame, freqs: Frequencies, scales: tuple[float, f
     return out
 
 
-def history_parts(items: DataFrame, bonus: DataFrame, g: float) -> DataFrame:
-    def of(facet: str) -> DataFrame:
-        return bonus.where(F.col("facet") == facet).select("feature", "bonus")
-
-    parts = _array_parts(items, "parsed_tags", of("tag"), F.col("bonus"), g).unionByName(_array_parts(items, "title_words", of("title_word"), F.col("bonus"), g))
-    return parts.unionByName(_author_parts(items, of("author"), F.col("bonus"), g))
-
-
-def history_score(items: DataFrame, bonus: DataFrame, g: float = 1.0) -> DataFrame:
-    """(id, history_score), 0 where the multiplier is 0."""
+def history_score(items: DataFrame, bonus: DataFrame, g: float = 1.0, most: int = GATHERED) -> DataFrame:
+    """(id, history_score) of every row, 0 where the multiplier is 0."""
     if g == 0:
         return items.select("id", F.lit(0.0).alias("history_score"))
-    return _summed(items, history_parts(items, bonus, g), "history_score")
+    return with_sum(items, bonus.select("facet", "feature", (F.col("bonus") * float(g)).alias("value")), "history_score", most).select("id", "history_score")
 
 
-def _finish(items: DataFrame, parts: DataFrame) -> DataFrame:
-    total = parts.groupBy("id").agg(F.round(F.sum("part"), 6).cast("int").alias("score"))
-    scored = items.join(total, "id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+def _finish(items: DataFrame, worth: DataFrame, most: int) -> DataFrame:
+    scored = with_sum(items.drop("score"), worth, "score", most).withColumn("score", F.round("score", 6).cast("int"))
     if "upload_date" not in scored.columns:
         scored = scored.withColumn("upload_date", F.lit(""))
     order = [c for c in SCORED if c in scored.columns]
     return scored.select(*order, *[c for c in scored.columns if c not in order])
 
 
-def recommend(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None, history: DataFrame | None = None, scales=(1.0, 1.0, 1.0)) -> DataFrame:
-    """items with an integer score, truncated toward zero (D6). History counts only if its multiplier is positive."""
+def worths(freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None, history: DataFrame | None = None, scales=(1.0, 1.0, 1.0)) -> DataFrame:
+    """(facet, feature, value): what every feature of the catalogue adds to an item's score, history included."""
     weights, g = weights or Weights(), g or Multipliers()
     values = base_scores(freqs.together())
     own = [w.select(F.lit(facet).alias("facet"), "feature", "weight") for facet, w in zip(FACETS, (weights.tags, weights.authors, weights.words), strict=True) if w is not None]
@@ -194,17 +206,21 @@ def recommend(items: DataFrame, freqs: Frequencies, weights: Weights | None = No
     if history is not None and g.history > 0:
         values = values.join(history_bonus(history, freqs, scales), ["facet", "feature"], "left")
         value = value + F.coalesce("bonus", F.lit(0.0)) * g.history
-    worth = values.select("facet", "feature", value.alias("value"))
-    return _finish(items, item_features(items).join(worth, ["facet", "feature"]).select("id", (F.col("amount") * F.col("value")).alias("part")))
+    return values.select("facet", "feature", value.alias("value"))
+
+
+def recommend(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None, history: DataFrame | None = None, scales=(1.0, 1.0, 1.0), most: int = GATHERED) -> DataFrame:
+    """items with an integer score, truncated toward zero (D6). History counts only if its multiplier is positive."""
+    return _finish(items, worths(freqs, weights, g, history, scales), most)
 
 
-def recommend_linear(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None) -> DataFrame:
+def recommend_linear(items: DataFrame, freqs: Frequencies, weights: Weights | None = None, g: Multipliers | None = None, most: int = GATHERED) -> DataFrame:
     """The older form: linear in author and word frequency, half for titles and not for tags."""
     weights, g = weights or Weights(), g or Multipliers()
-    tags = _array_parts(items, "parsed_tags", _weighted(freqs.tags, weights.tags, TAG_WEIGHT), F.col("base") * F.col("weight"), g.tag)
-    authors = _author_parts(items, _weighted(freqs.authors, weights.authors, AUTHOR_WEIGHT), F.col("freq") * F.col("weight"), g.author)
-    words = _array_parts(items, "title_words", _weighted(freqs.words, weights.words, WORD_WEIGHT), F.col("freq") * F.col("weight"), 0.5 * g.title)
-    return _finish(items, tags.unionByName(authors).unionByName(words))
+    tags = _worth(FACETS[0], freqs.tags, weights.tags, TAG_WEIGHT, g.tag)
+    authors = _worth(FACETS[1], freqs.authors, weights.authors, AUTHOR_WEIGHT, g.author, "freq")
+    words = _worth(FACETS[2], freqs.words, weights.words, WORD_WEIGHT, 0.5 * g.title, "freq")
+    return _finish(items, tags.unionByName(authors).unionByName(words), most)
 
 
 def effective_weights(preset: DataFrame, overrides: DataFrame, freq: DataFrame) -> DataFrame:

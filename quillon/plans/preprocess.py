@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.operators import clean, features, filters, matching, rank, scoring
 from quillon.schema import CATALOGUE
 from quillon.sources import files
+from quillon.sources.scratch import stored
 
 
 def fingerprint(df: DataFrame, parts: tuple[str, ...] = (), content: bool = False) -> DataFrame:
@@ -43,13 +44,14 @@ class Prepared:
 
     items: DataFrame
     freqs: scoring.Frequencies
+    stamp: str = ""  # the fingerprint of what it was made from, if it is stored
 
 
 def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False, keep: bool = True) -> Prepared:
     """Folders, parsed tags, title words and search text of each item, and frequencies (K2).
 
-    Row-wise but for the folder match and the counts. With keep the features stay in memory or on the executors' disks, since frequencies, scores and
-    pages all read them; lost parts are worked out again.
+    Row-wise but for the folder match and the counts. With keep the features are written once, since frequencies, scores and pages all read them; the table goes with
+    the application.
     """
     df = clean.title_fallback(catalogue) if title_fallback else catalogue
     df = matching.match_close(df, folders) if folders is not None else df.withColumn("local_path", F.lit(matching.NO_FOLDER))
@@ -57,7 +59,7 @@ def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFr
     df = features.title_words(features.tokenize_titles(df), dictionaries.stop_words, dictionaries.word_map).drop("tokens")
     df = clean.with_search_text(df)
     if keep:
-        df = df.persist()
+        df = stored(df, "features")
     return Prepared(df, scoring.all_frequencies(df))
 
 
@@ -73,9 +75,10 @@ def preprocess_stored(catalogue: DataFrame, dictionaries: Dictionaries, folder:
         parts.append(folders.agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.xxhash64(*folders.columns).cast("decimal(38,0)")).cast("string")))).first()[0])
     path = f"{folder.rstrip('/')}/{fingerprint(catalogue, tuple(parts), content).first()['fingerprint']}"
 
-    def stored() -> Prepared:
+    def kept() -> Prepared:
         table = spark.read.parquet(f"{path}/frequencies")
-        return Prepared(spark.read.parquet(f"{path}/items"), scoring.Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in scoring.FACETS], table))
+        freqs = scoring.Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in scoring.FACETS], table)
+        return Prepared(spark.read.parquet(f"{path}/items"), freqs, path.rpartition("/")[2])
 
     try:
         spark.read.parquet(f"{path}/done")
@@ -83,7 +86,7 @@ def preprocess_stored(catalogue: DataFrame, dictionaries: Dictionaries, folder:
         preprocess(catalogue, dictionaries, folders, title_fallback, keep=False).items.write.mode("overwrite").parquet(f"{path}/items")
         scoring.all_frequencies(spark.read.parquet(f"{path}/items")).together().write.mode("overwrite").parquet(f"{path}/frequencies")
         spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
-    return stored()
+    return kept()
 
 
 def ingest(raw: DataFrame, current: DataFrame | None, bookmarks: DataFrame | None = None) -> DataFrame:
@@ -95,10 +98,39 @@ def ingest(raw: DataFrame, current: DataFrame | None, bookmarks: DataFrame | Non
     return files.upsert_catalogue(clean.backfill_id_from_link(current).select(*CATALOGUE), batch)
 
 
-def recommend_page(prepared: Prepared, history: DataFrame | None = None, weights: scoring.Weights | None = None, blocked: list[str] | None = None, query: str = "", page_index: int = 0, size: int = 500) -> DataFrame:
-    """A page of the filtered, scored catalogue (W2). Blocked items go before they are scored, and what is scored is written once: bounds and page both read it."""
+@dataclass
+class View:
+    """A scored catalogue in order of score, stored once, and the threshold below which rows are not shown."""
+
+    order: rank.StoredOrder
+    threshold: int
+
+    def page(self, query: str = "", page_index: int = 0, size: int = 500) -> DataFrame:
+        """A page of what is shown (W2). Rows under the threshold stand at the order's end, so a page is read by its place; only a keyword query has to look at all rows."""
+        if not filters.query_terms(query):
+            return filters.min_score(self.order.page(page_index, size), self.threshold)
+        shown = filters.keyword_search(filters.min_score(self.order.rows, self.threshold), query)
+        return rank.page(shown, rank.sort_order(), page_index, size).drop("_part", "_nth")
+
+
+def view(prepared: Prepared, history: DataFrame | None = None, weights: scoring.Weights | None = None, blocked: list[str] | None = None, path: str | None = None) -> View:
+    """Score the catalogue and keep it in order: at a path, or until the application ends. Blocked items go before they are scored."""
     scored = scoring.recommend(filters.block_tags(prepared.items, blocked or []), prepared.freqs, weights, history=history)
-    path = files.scratch(scored.sparkSession, "scored")
-    scored.write.parquet(path)
-    shown = filters.keyword_search(filters.min_score(scored.sparkSession.read.schema(scored.schema).parquet(path)), query)
-    return rank.page(shown, rank.sort_order(), page_index, size)
+    order = rank.store_order(scored, rank.sort_order(), path)
+    return View(order, filters.score_bounds(order.rows).first()["threshold"])
+
+
+def view_stored(prepared: Prepared, folder: str, blocked: list[str] | None = None) -> View:
+    """view() of stored features, kept beside them and opened again for further pages while the features and the block list are the same."""
+    spark = prepared.items.sparkSession
+    path = f"{folder.rstrip('/')}/view-{hashlib.md5(repr((prepared.stamp, sorted(blocked or []))).encode()).hexdigest()}"
+    try:
+        order = rank.open_order(spark, path)
+    except AnalysisException:
+        return view(prepared, blocked=blocked, path=path)
+    return View(order, filters.score_bounds(order.rows).first()["threshold"])
+
+
+def recommend_page(prepared: Prepared, history: DataFrame | None = None, weights: scoring.Weights | None = None, blocked: list[str] | None = None, query: str = "", page_index: int = 0, size: int = 500) -> DataFrame:
+    """A single page of the filtered, scored catalogue (W2); for several, keep the view()."""
+    return view(prepared, history, weights, blocked).page(query, page_index, size)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import csv
 import html as html_entities
-import tempfile
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -16,22 +14,12 @@ from quillon.functions import text as T
 from quillon.operators.clean import dedupe_first
 from quillon.operators.history import last_n
 from quillon.schema import CATALOGUE, HISTORY
+from quillon.sources.scratch import scratch  # noqa: F401 - part of this module's interface
 
 #: Cells that mean missing.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); where none is set a local one in local mode (tests), an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
-
-
 def read_catalogue_csv(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame:
     """Every CSV of a folder, joined by column name; _file and _pos give the read order (A1).
 
