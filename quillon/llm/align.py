@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import slices, written
 
-#: A block ends with the document that takes it past one of these: documents, windows remembered, ids in them.
-DOCUMENTS, WINDOWS, IDS = 8_192, 100_000, 2_000_000
+#: A block ends with the document that takes it past one of these: documents, windows remembered, links in them.
+DOCUMENTS, WINDOWS, LINKS = 16_384, 250_000, 4_000_000
+#: Stands between the ids of either side in the key of a window; no id is as large.
+_BETWEEN = 0xFFFFFFFF
 #: Entries of a row of a block's lists.
 CHUNK = 16_384
 
@@ -42,11 +45,13 @@ class Tokens:
 
     def __init__(self, names: list[bytes]):
         self.names = names
-        self.width = np.array([len(n) for n in names], np.int64)
+        self.size = [len(n) for n in names]
+        self.width = np.array(self.size, np.int64)
+        self.digits = [str(i) for i in range(len(names))]
         self.spaced = np.array([n[:1] == b" " for n in names])
 
     def joined(self, ids: list[int]) -> bytes:
-        return b"".join([self.names[i] for i in ids])
+        return b"".join(map(self.names.__getitem__, ids))
 
 
 class ByteLevel(Tokens):
@@ -96,52 +101,54 @@ def vocabularies(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(a_path), Pieces(b_path)
 
 
-def window_alignment(a: list[int], b: list[int], wa: list[int], wb: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """(groups, links) of ids a and b over the same bytes, with the number of bytes of each (0 for none that can end alone)."""
-    groups, links, i, j, ends_a, ends_b = [], [], 0, 0, 0, 0
-    own_a: list[int] = []
-    own_b: list[int] = []
-    while i < len(a):
-        if not own_a:
-            own_a, own_b, ends_a, ends_b = [a[i]], [b[j]], ends_a + wa[i], ends_b + wb[j]
-        links.append((a[i], b[j]))
-        if ends_a == ends_b:
-            groups.append((own_a, own_b))
-            own_a, own_b, i, j = [], [], i + 1, j + 1
-        elif ends_a < ends_b:
-            i += 1
-            own_a.append(a[i])
-            ends_a += wa[i]
-        else:
-            j += 1
-            own_b.append(b[j])
-            ends_b += wb[j]
-    return groups, links
-
-
 class Block:
     """Windows and id pairs that some documents hold, each by a number of its own."""
 
     def __init__(self, va: Tokens, vb: Tokens, most: int = DOCUMENTS):
         self.va, self.vb, self.most = va, vb, most
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.text: list[str] = []
-        self.groups: list[int] = []
-        self.pairs: list[np.ndarray] = []
-        self.pair: dict[tuple[int, int], int] = {}
+        self.groups, self.links, self.start = array("i"), array("i"), array("q")  # of each window; start is its first link's place in pairs
+        self.pairs = array("i")
+        self.pair: dict[int, int] = {}
         self.holding = np.zeros(1024, np.int64)
-        self.documents = self.ids = 0
+        self.documents = 0
 
     def full(self) -> bool:
-        return self.documents >= self.most or len(self.number) >= WINDOWS or self.ids >= IDS
-
-    def _learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, np.uint32) for k in key)
-        groups, links = window_alignment(a.tolist(), b.tolist(), self.va.width[a].tolist(), self.vb.width[b].tolist())
-        self.text.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
+        return self.documents >= self.most or len(self.number) >= WINDOWS or len(self.pairs) >= LINKS
+
+    def _learn(self, key: bytes, a: list[int], b: list[int]) -> int:
+        """Align a window: walk over both rows of ids, each step ends the token that ends first; where both end, a group is done."""
+        wa, wb, na, nb, pair, pairs = self.va.size, self.vb.size, self.va.digits, self.vb.digits, self.pair, self.pairs
+        before, groups, i, j = len(pairs), [], 0, 0
+        x, y = a[0], b[0]
+        end_a, end_b, own_a, own_b = wa[x], wb[y], na[x], nb[y]
+        while True:
+            known = pair.get(x << 32 | y)
+            if known is None:
+                known = pair[x << 32 | y] = len(pair)
+            pairs.append(known)
+            gap = end_a - end_b
+            if gap <= 0:
+                i += 1
+            if gap >= 0:
+                j += 1
+            if not gap:
+                groups.append(f"{own_a}|{own_b}")
+                if i == len(a):
+                    break
+            if gap <= 0:
+                x = a[i]
+                end_a += wa[x]
+                own_a = f"{own_a},{na[x]}" if gap else na[x]
+            if gap >= 0:
+                y = b[j]
+                end_b += wb[y]
+                own_b = f"{own_b},{nb[y]}" if gap else nb[y]
+        self.text.append(";".join(groups))
         self.groups.append(len(groups))
-        self.pairs.append(np.array([self.pair.setdefault(p, len(self.pair)) for p in links], np.int32))
-        self.ids += len(a) + len(b)
+        self.links.append(len(pairs) - before)
+        self.start.append(before)
         found = self.number[key] = len(self.number)
         return found
 
@@ -152,22 +159,25 @@ class Block:
         if self.va.joined(a) != raw or self.vb.joined(b) != raw:
             return None
         sides, anchored = [], np.zeros(len(raw) + 1, np.uint8)
-        for ids, v in ((np.array(a, np.uint32), self.va), (np.array(b, np.uint32), self.vb)):
-            ends = np.cumsum(v.width[ids])
+        for own, v in ((a, self.va), (b, self.vb)):
+            ids = np.array(own, np.uint32)
             marked = np.flatnonzero(v.spaced[ids[1:]])
-            anchored[ends[marked]] += 1
-            sides.append((ids.tobytes(), ends, marked))
-        cuts = []
-        for ids, ends, marked in sides:
-            starts = (marked[anchored[ends[marked]] == 2] + 1) * 4
-            cuts.append([0, *starts.tolist(), len(ids)])
-        (ka, _, _), (kb, _, _) = sides
-        ca, cb = cuts
-        keys = [(ka[p:q], kb[r:s]) for p, q, r, s in zip(ca, ca[1:], cb, cb[1:], strict=False)]
-        get, found = self.number.get, []
-        for key in keys:
-            n = get(key)
-            found.append(self._learn(key) if n is None else n)
+            ends = np.cumsum(v.width[ids])[marked]
+            anchored[ends] += 1
+            sides.append((ids, ends, marked))
+        cut_a, cut_b = (np.concatenate([[0], marked[anchored[ends] == 2] + 1, [len(ids)]]) for ids, ends, marked in sides)
+        window = np.arange(len(cut_a))
+        row = np.full(len(a) + len(b) + len(cut_a) - 1, _BETWEEN, np.uint32)  # of each window the ids a, a mark, the ids b
+        row[np.arange(len(a)) + np.repeat((cut_b + window)[:-1], np.diff(cut_a))] = sides[0][0]
+        row[np.arange(len(b)) + np.repeat((cut_a + window)[1:], np.diff(cut_b))] = sides[1][0]
+        row, edges = row.tobytes(), (4 * (cut_a + cut_b + window)).tolist()
+        keys = [row[p:q] for p, q in zip(edges, edges[1:], strict=False)]
+        found = list(map(self.number.get, keys))
+        if None in found:
+            for k, n in enumerate(found):
+                if n is None:
+                    n = self.number.get(keys[k])
+                    found[k] = self._learn(keys[k], a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]) if n is None else n
         return len(a), len(b), found
 
     def add(self, text: str, times: int) -> tuple | None:
@@ -178,24 +188,27 @@ class Block:
             return None
         n_a, n_b, found = made
         own, counts = np.unique(np.array(found, np.int32), return_counts=True)
-        own_list, count_list = own.tolist(), counts.tolist()
-        n_groups = sum([self.groups[w] * c for w, c in zip(own_list, count_list, strict=True)])
-        n_links = sum([len(self.pairs[w]) * c for w, c in zip(own_list, count_list, strict=True)])
+        groups, links = (np.frombuffer(x, np.int32)[own].astype(np.int64) for x in (self.groups, self.links))
+        at = np.repeat(np.frombuffer(self.start, np.int64)[own] - np.cumsum(links) + links, links) + np.arange(links.sum())
+        held = np.unique(np.frombuffer(self.pairs, np.int32)[at])
         if len(self.holding) < len(self.pair):
             self.holding = np.concatenate([self.holding, np.zeros(max(len(self.pair), len(self.holding)), np.int64)])
-        self.holding[np.unique(np.concatenate([self.pairs[w] for w in own_list]))] += times
-        return n_a, n_b, n_groups, n_links, ";".join([self.text[w] for w in found]), own, counts.astype(np.int32)
+        self.holding[held] += times
+        return n_a, n_b, int((groups * counts).sum()), int((links * counts).sum()), ";".join([self.text[w] for w in found]), own, counts.astype(np.int32)
 
     def lists(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, number of the first, x, y, z) in chunks: pairs as ids a, ids b and documents; windows as their numbers of links and the links' pairs."""
         if not self.pair:
             return
-        ids = np.array(list(self.pair), np.int32)
+        ids = np.array(list(self.pair), np.int64)
         for at in range(0, len(ids), CHUNK):
-            yield "pairs", at, ids[at : at + CHUNK, 0], ids[at : at + CHUNK, 1], self.holding[at : min(at + CHUNK, len(ids))].astype(np.int32)
-        for at in range(0, len(self.pairs), CHUNK):
-            some = self.pairs[at : at + CHUNK]
-            yield "windows", at, np.array([len(p) for p in some], np.int32), np.concatenate(some), np.zeros(0, np.int32)
+            some = ids[at : at + CHUNK]
+            yield "pairs", at, (some >> 32).astype(np.int32), (some & 0xFFFFFFFF).astype(np.int32), self.holding[at : at + len(some)].astype(np.int32)
+        links, pairs, first = np.array(self.links, np.int32), np.array(self.pairs, np.int32), 0
+        for at in range(0, len(links), CHUNK):
+            some = links[at : at + CHUNK]
+            yield "windows", at, some, pairs[first : first + some.sum()], np.zeros(0, np.int32)
+            first += some.sum()
 
 
 _ROWS = "block long, kind string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, first int, x array<int>, y array<int>, z array<int>"
