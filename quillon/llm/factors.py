@@ -214,7 +214,8 @@ def first_documents(found: DataFrame) -> DataFrame:
     """(stretch, low, high, found): for all windows of all stretches (stretch, id, key, check, low, high, words) the smallest id of a stretch that has them."""
     answers, todo = None, found
     for _ in range(2 * PROBE + 2):
-        first = todo.groupBy("key", "check").agg(F.min(F.struct("id", "stretch", "words")).alias("f"))
+        # written, so that the join deals both sides by itself and Spark can split a group of very many stretches
+        first = written(todo.groupBy("key", "check").agg(F.min(F.struct("id", "stretch", "words")).alias("f")), "factors-blocks")
         met = todo.join(first, ["key", "check"]).select("*", F.col("f.id").alias("first_id"), F.col("f.stretch").alias("first_stretch"), F.col("f.words").alias("first_words")).drop("f")
         own = met.where("stretch = first_stretch").select("stretch", "id", "key", "check", "low", "high", F.lit(None).cast("binary").alias("words"), F.col("id").alias("found"))
         done = written(factor(met.where("stretch <> first_stretch")).unionByName(own), "factors-round")
