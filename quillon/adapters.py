@@ -97,3 +97,15 @@ def new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = old.withColumn("size", F.when(F.col("n") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
     added = old.where("n % 13 = 0").withColumn("path", F.concat(F.lit("/new"), "path"))
     return changed.unionByName(added).drop("n")
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, title) of every document: its first twelve words, each written as one character of a large script, as in titles of Chinese characters."""
+    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 12)
+    letter = F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.pmod(F.hash(w), F.lit(20_000)))), "UTF-16BE"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(letter, "").alias("title"))
+
+
+def title_folders(named: DataFrame) -> DataFrame:
+    """A folder for every title."""
+    return named.select(F.col("title").alias("folder_name"), F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("pos"))

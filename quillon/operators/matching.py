@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.schema import NO_FOLDER
+from quillon.sources.scratch import stored
+
+#: How much rarer each further occurrence of a character in a name is taken to be; any value gives the same matches.
+RARER = 0.35
 
 
 def unique_folders(folders: DataFrame) -> DataFrame:
@@ -21,42 +27,106 @@ def unique_folders(folders: DataFrame) -> DataFrame:
 def match_exact(items: DataFrame, folders: DataFrame) -> DataFrame:
     """items with local_path where the sanitised file name is a folder's name, else null (J1). folders: (folder_name, path, pos)."""
     named = items.withColumn("_name", T.sanitise_name(F.col("file_name")))
-    found = unique_folders(folders).select(F.col("folder_name").alias("_name"), F.col("path").alias("local_path"))
+    found = unique_folders(folders).where("folder_name <> ''").select(F.col("folder_name").alias("_name"), F.col("path").alias("local_path"))
     return named.join(found, "_name", "left").select(*items.columns, "local_path")
 
 
-def match_close(items: DataFrame, folders: DataFrame, cutoff: float = 0.6, salts: int = 8) -> DataFrame:
-    """items with local_path: the exact match, else the folder of greatest likeness at or above the cutoff, else the sentinel.
+def character_ranks(names: DataFrame) -> dict[str, int]:
+    """How many of names (name) have each character; at most as many entries as there are characters."""
+    return {r[0]: r[1] for r in names.select(F.explode(F.array_distinct(F.split("name", ""))).alias("c")).where("c <> ''").groupBy("c").count().collect()}
+
+
+def with_elements(names: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """names (name, ..) with the elements of its multiset of characters: each character with the number of its occurrence, as one number, rarest first."""
+    held = names.sparkSession.sparkContext.broadcast(ranks)
+
+    def elements(texts: pa.Array) -> pa.Array:
+        known, out = held.value, []
+        for text in texts.to_pylist():
+            seen, own = Counter(), []
+            for c in text:
+                seen[c] += 1
+                own.append((known.get(c, 0) * RARER ** (seen[c] - 1), ord(c) << 32 | seen[c]))
+            out.append(np.array([e for _, e in sorted(own)], np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return names.withColumn("elements", F.arrow_udf(elements, "array<long>")("name"))
 
-    Likeness is at most twice the shorter length over both lengths, so only names and folders of fitting lengths meet: an equi join on the
-    name's length, to which folders are listed under every length they fit. Distinct names only; hot lengths are spread over salts. The helper calls
-    difflib itself, after its own upper bounds.
+
+def _prefix(cutoff: float) -> Column:
+    """As many of a name's rarest elements as leave too few others for any match: one of them is shared by every folder that can reach the cutoff."""
+    n = F.size("elements")
+    needed = F.ceil(n * (cutoff / (2 - cutoff)) - 1e-9)
+    return F.slice("elements", 1, F.greatest((n - needed + 1).cast("int"), F.lit(1)))
+
+
+def candidates(names: DataFrame, folders: DataFrame, cutoff: float, salts: int = 8) -> DataFrame:
+    """(name, folder, common, n, m): the pairs of names (name, elements) and folders (folder, elements) that share one of their rarest elements, each once, as far as lengths and places of that element allow the cutoff.
+
+    Likeness is twice the matched characters over both lengths, and no more characters match than the multisets share (common). So a set-similarity join with prefix filter loses
+    nothing: elements in one order for all names, the rarest first; only the beginnings of the lists, which every pair above the cutoff has to share, are joined. A frequent element is spread over salts.
     """
-    exact = match_exact(items, folders)
-    named = exact.withColumn("_name", T.sanitise_name(F.col("file_name")))
-    rest = named.where("local_path IS NULL AND _name <> ''").select("_name").distinct()
-    rest = rest.select("_name", F.length("_name").alias("n"), F.pmod(F.xxhash64("_name"), salts).alias("salt"))
-    known = unique_folders(folders).where("folder_name <> ''").withColumn("m", F.length("folder_name"))
-    low = F.ceil(F.col("m") * cutoff / (2 - cutoff)).cast("int")
-    high = F.floor(F.col("m") * (2 - cutoff) / cutoff).cast("int")
-    listed = known.select("folder_name", "path", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("n"))
-    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    pairs = rest.join(listed, ["n", "salt"]).select("_name", "folder_name", "path")
-
-    def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, last = difflib.SequenceMatcher(), None
+    left = names.select("name", "elements", F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"), F.posexplode(_prefix(cutoff)).alias("i", "element"))
+    right = folders.select("folder", F.col("elements").alias("others"), F.posexplode(_prefix(cutoff)).alias("j", "element")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    n, m = F.size("elements"), F.size("others")
+    most = F.least(n, m, 1 + F.least(n - F.col("i"), m - F.col("j")) - 1)
+    fits = 2.0 * most / (n + m) >= cutoff - 1e-9
+    met = left.join(right, ["element", "salt"]).where(fits)
+    shared = F.array_intersect("elements", "others")
+    return met.where(shared[0] == F.col("element")).select("name", "folder", F.size(shared).alias("common"), n.alias("n"), m.alias("m"))
+
+
+def _subsequence(a: str, places: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a and a text of so many characters, whose places of each character are bits."""
+    whole = (1 << size) - 1
+    row = whole
+    for c in a:
+        here = row & places.get(c, 0)
+        row = ((row + here) | (row - here)) & whole
+    return size - row.bit_count()
+
+
+def likeness(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """(name, folder, ratio) of the pairs whose Ratcliff-Obershelp ratio, as difflib counts it, reaches the cutoff."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, last, places = difflib.SequenceMatcher(), None, {}
         for batch in batches:
             ratios = []
-            for name, folder in zip(batch.column("_name").to_pylist(), batch.column("folder_name").to_pylist(), strict=True):
+            for name, folder in zip(batch.column("name").to_pylist(), batch.column("folder").to_pylist(), strict=True):
                 if name != last:
                     matcher.set_seq2(name)
-                    last = name
+                    last, places = name, {}
+                    for k, c in enumerate(name):
+                        places[c] = places.get(c, 0) | 1 << k
+                # matched blocks follow each other in both texts, so they are a common subsequence
+                if 2.0 * _subsequence(folder, places, len(name)) / (len(name) + len(folder)) < cutoff:
+                    ratios.append(None)
+                    continue
                 matcher.set_seq1(folder)
-                fits = matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff
-                ratios.append(matcher.ratio() if fits else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratios, pa.float64())], names=["_name", "folder_name", "path", "ratio"])
+                ratio = matcher.ratio()
+                ratios.append(ratio if ratio >= cutoff else None)
+            found = pa.array(ratios, pa.float64())
+            out = pa.RecordBatch.from_arrays([batch.column("name"), batch.column("folder"), found], names=["name", "folder", "ratio"])
+            yield out.filter(found.is_valid())
+
+    return pairs.select("name", "folder").mapInArrow(run, "name string, folder string, ratio double")
 
-    scored = pairs.mapInArrow(likeness, "_name string, folder_name string, path string, ratio double").where(F.col("ratio") >= cutoff)
-    best = scored.groupBy("_name").agg(F.max_by("path", F.struct("ratio", "folder_name")).alias("_close"))
-    out = named.join(best, "_name", "left")
+
+def match_close(items: DataFrame, folders: DataFrame, cutoff: float = 0.6, salts: int = 8) -> DataFrame:
+    """items with local_path: the exact match, else the folder of greatest likeness at or above the cutoff (of equal ones the greatest name), else the sentinel.
+
+    Distinct names only. Pairs meet by rare shared characters (candidates); then the exact bound by shared characters, a bound by common subsequence, and last difflib itself.
+    """
+    exact = match_exact(items, folders)
+    named = exact.withColumn("_name", T.sanitise_name(F.col("file_name")))
+    rest = stored(named.where("local_path IS NULL AND _name <> ''").select(F.col("_name").alias("name")).distinct(), "names")
+    known = stored(unique_folders(folders).where("folder_name <> ''"), "folders")
+    ranks = character_ranks(rest.unionByName(known.select(F.col("folder_name").alias("name"))))
+    left = stored(with_elements(rest, ranks), "name-elements")
+    right = stored(with_elements(known.select(F.col("folder_name").alias("name")), ranks).withColumnRenamed("name", "folder"), "folder-elements")
+    able = candidates(left, right, cutoff, salts).where(2.0 * F.col("common") / (F.col("n") + F.col("m")) >= cutoff)
+    best = likeness(able, cutoff).groupBy("name").agg(F.max(F.struct("ratio", "folder"))["folder"].alias("folder_name"))
+    close = best.join(known, "folder_name").select(F.col("name").alias("_name"), F.col("path").alias("_close"))
+    out = named.join(close, "_name", "left")
     return out.withColumn("local_path", F.coalesce("local_path", "_close", F.lit(NO_FOLDER))).select(*items.columns, "local_path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon import adapters as A
+from quillon.functions import text as T
 from quillon.operators import matching, pages, vectors
 from quillon.plans import preprocess as plans
 from quillon.queries.base import CAT, FREQ, OPENS, query
@@ -218,21 +219,20 @@ def f11(spark, sf):
     return vectors.attach_similarity(items, found.withColumn("semantic_score", F.round("semantic_score", 4)), "semantic_score").select("id", "title", "semantic_score")
 
 
-def _folders(spark, sf):
-    names = A.table(spark, sf, "part").groupBy("p_name").agg(F.max("p_partkey").alias("pos"))
-    return names.select(F.col("p_name").alias("folder_name"), F.concat(F.lit("/f/"), "p_name").alias("path"), "pos")
-
-
-@query("j01_match_exact", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '/f/' || p_name END AS local_path FROM part")
+@query("j01_match_exact", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '/f/' || o_orderkey END AS local_path FROM orders")
 def j01(spark, sf):
-    items = A.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("?x"))).alias("file_name"))
-    return matching.match_exact(items, _folders(spark, sf)).select("p_partkey", "local_path")
+    """An order's name against the folders of every second order."""
+    orders = A.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("order "), "o_orderkey", F.lit(": "), "o_orderpriority").alias("file_name"))
+    folders = orders.where("o_orderkey % 2 = 0").select(T.sanitise_name(F.col("file_name")).alias("folder_name"), F.concat(F.lit("/f/"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("pos"))
+    return matching.match_exact(orders, folders).select("o_orderkey", "local_path")
 
 
 @query("j02_match_close")
 def j02(spark, sf):
-    items = A.table(spark, sf, "part").select("p_partkey", F.concat(F.substring("p_name", 2, 100), (F.col("p_partkey") % 10).cast("string")).alias("file_name"))
-    return matching.match_close(items, _folders(spark, sf)).select("p_partkey", "file_name", "local_path")
+    """Every document's title without its first character and with a digit more, against the titles of all."""
+    titles = A.titles(spark, sf)
+    items = titles.select("doc_id", F.concat(F.substring("title", 2, 100), (F.col("doc_id") % 10).cast("string")).alias("file_name"))
+    return matching.match_close(items, A.title_folders(titles)).select("doc_id", "file_name", "local_path")
 
 
 @query("k01_fingerprint", f"WITH {CAT} SELECT md5('stamp|' || count(*) || '|' || max(id)) AS fingerprint FROM cat")
@@ -240,21 +240,34 @@ def k01(spark, sf):
     return plans.fingerprint(A.small_catalogue(spark, sf), ("stamp",))
 
 
-@query("k02_preprocess", f"WITH {FREQ} SELECT f.id, f.local_path, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
+_LOCAL = "CASE WHEN p_partkey % 3 <> 0 THEN '/f/' || p_partkey ELSE f.local_path END AS local_path"
+
+
+def _with_folders(spark, sf):
+    """The small catalogue, two thirds of it with a folder of their own; the names of the rest are like none."""
+    df = A.small_catalogue(spark, sf).withColumn("n", F.regexp_extract("link", r"(\d+)/$", 1).cast("long"))
+    df = df.withColumn("file_name", F.when(F.col("n") % 3 == 0, F.concat(F.lit("无無無無無無"), "n")).otherwise(F.col("file_name")))
+    folders = df.where("n % 3 <> 0").select(F.col("file_name").alias("folder_name"), F.concat(F.lit("/f/"), "n").alias("path"), F.col("n").alias("pos"))
+    return df.drop("n"), folders
+
+
+@query("k02_preprocess", f"WITH {FREQ} SELECT f.id, {_LOCAL}, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
 def k02(spark, sf):
-    p = A.prepared(spark, sf)
+    df, folders = _with_folders(spark, sf)
+    p = plans.preprocess(df, A.DICTIONARIES, folders)
     both = p.items.join(p.freqs.authors.withColumnsRenamed({"feature": "author", "freq": "author_freq"}), "author")
     return both.select("id", "local_path", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
 
 
-@query("k02_preprocess_stored", f"WITH {FREQ} SELECT f.id, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
+@query("k02_preprocess_stored", f"WITH {FREQ} SELECT f.id, {_LOCAL}, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
 def k02_stored(spark, sf):
     """Features stored under the fingerprint of the catalogue, and taken from there the second time."""
     folder = files.scratch(spark, "prepared")
-    plans.preprocess_stored(A.small_catalogue(spark, sf), A.DICTIONARIES, folder)
-    p = plans.preprocess_stored(A.small_catalogue(spark, sf), A.DICTIONARIES, folder)
+    df, folders = _with_folders(spark, sf)
+    plans.preprocess_stored(df, A.DICTIONARIES, folder, folders)
+    p = plans.preprocess_stored(df, A.DICTIONARIES, folder, folders)
     both = p.items.join(p.freqs.authors.withColumnsRenamed({"feature": "author", "freq": "author_freq"}), "author")
-    return both.select("id", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
+    return both.select("id", "local_path", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
 
 
 @query("w1_ingest", f"WITH {CAT} SELECT {COLUMNS} FROM cat WHERE p_partkey % 2 = 1 UNION ALL SELECT id, link, file_name, 'new title', tags, author, team, language, pages, upload_date FROM cat WHERE p_partkey % 2 = 0")
