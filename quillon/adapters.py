@@ -101,7 +101,7 @@ def new_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, title) of every document: its first twelve words, each written as one character of a large script, as in titles of Chinese characters."""
-    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 12)
+    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+", 13), 1, 12)
     letter = F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.pmod(F.hash(w), F.lit(20_000)))), "UTF-16BE"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(letter, "").alias("title"))
 

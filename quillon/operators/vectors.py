@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.sources import files
+from quillon.sources.scratch import stored
 
 #: Fixed value: the text that stands for an item in text search.
 DOCUMENT = "标题《%s》，作者 %s，团队 %s，语言 %s，元素标签：%s。"
@@ -76,63 +77,127 @@ def semantic_topk(items: DataFrame, vectors: DataFrame, query: list[float], k: i
 
 
 #: Vectors, and queries, that are multiplied at a time when the queries are a table.
-CHUNK, BLOCK = 512, 256
+CHUNK, BLOCK = 2048, 256
+#: Steps of the ranks whose scores a chunk tells in the first pass, and bins of scores on either side of 0.
+STEP, BINS = 1.5, 5_000
 
 
-def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """(dim, keys, data): up to so many rows (key, embedding) of one dimension packed into one; null vectors are left out."""
+def _packed(df: DataFrame, key: str, rows: int, extra: str | None = None) -> DataFrame:
+    """(dim, keys, data, extras, centre, spread, longest): up to so many rows (key, embedding) of one dimension packed into one.
+
+    Vectors that are null, empty, or hold nulls or non-finite numbers are left out. Rows of a batch are cut into packs by the side of a few planes that they lie on, so that a pack's vectors point in like
+    directions: centre is their mean direction, spread the largest angle to it, longest the largest norm.
+    """
+    held = df.where("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL)").select(F.col(key).cast("string").alias("key"), "embedding", (F.col(extra) if extra else F.lit(None)).cast("long").alias("extra"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                by_dim: dict[int, tuple[list, list]] = {}
-                for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if v and None not in v:
-                        held = by_dim.setdefault(len(v), ([], []))
-                        held[0].append(k)
-                        held[1].append(v)
-                for dim, (keys, vectors) in by_dim.items():
-                    data = np.asarray(vectors, np.float64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([keys], pa.list_(pa.string())), pa.array([data], pa.binary())], names=["dim", "keys", "data"])
+            dims = batch.column("embedding").value_lengths().to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                x = part.column("embedding").flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+                planes = np.random.default_rng(int(dim)).normal(size=(int(dim), 6))
+                order = np.lexsort((x @ planes > 0).T)
+                order = order[np.isfinite(x[order]).all(1)]
+                for at in range(0, len(order), rows):
+                    own = order[at : at + rows]
+                    unit, norms = _unit(x[own])
+                    centre, _ = _unit(unit.mean(0, keepdims=True))
+                    spread = float(np.arccos(np.clip(unit @ centre[0], -1, 1)).max())
+                    columns = [pa.array([int(dim)], pa.int32()), *[pa.array([part.column(c).take(pa.array(own)).to_pylist()], pa.list_(t)) for c, t in (("key", pa.string()), ("extra", pa.int64()))]]
+                    more = [pa.array([x[own].tobytes()]), pa.array([centre.tobytes()]), pa.array([spread]), pa.array([float(norms.max())])]
+                    yield pa.RecordBatch.from_arrays([*columns, *more], names=["dim", "keys", "extras", "data", "centre", "spread", "longest"])
+
+    return held.mapInArrow(pack, "dim int, keys array<string>, extras array<long>, data binary, centre binary, spread double, longest double")
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norms = np.linalg.norm(x, axis=1)
+    return x / np.maximum(norms, 1e-12)[:, None], norms
+
+
+def _products(row: dict, cosine: bool, scale: float, some: np.ndarray | None = None) -> np.ndarray:
+    """Scores of a block's queries (or some of them) with a chunk's vectors, rounded to six decimals."""
+    pool, asked = (np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]) for c in ("data", "wanted"))
+    asked = asked if some is None else asked[some]
+    if cosine:
+        pool, asked = _unit(pool)[0], _unit(asked)[0]
+    return np.round(asked @ pool.T * scale, 6)
 
-    return df.select(F.col(key).cast("string").alias("key"), "embedding").mapInArrow(pack, "dim int, keys array<string>, data binary")
 
+def _bin_of(scores: np.ndarray, row: dict, cosine: bool, scale: float, most: float, some: np.ndarray | None = None) -> np.ndarray:
+    """The bins of scores (query by vector): BINS to the largest product that the query can have with any vector."""
+    asked = np.frombuffer(row["wanted"], np.float64).reshape(-1, row["dim"])
+    norms = np.ones(len(asked)) if cosine else np.maximum(np.linalg.norm(asked, axis=1) * most, 1e-12)
+    return np.floor(scores / scale / (norms if some is None else norms[some])[:, None] * BINS).astype(np.int64)
 
-def _unit(data: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(data, np.float64).reshape(-1, dim)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+def nearest(pool: DataFrame, queries: DataFrame, k: int, cosine: bool = True, scale: float = 1.0) -> DataFrame:
+    """(query_id, rank, id, score): for each of queries (query_id, embedding) the k rows of pool (id, embedding) of greatest product or cosine, times scale, ties by id.
 
-def semantic_topk_queries(items: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5000) -> DataFrame:
-    """(query_id, rank, id, semantic_score): the k items nearest to each of queries (query_id, embedding) by cosine, times 100 (F4 for a table of queries).
-
-    Scores are rounded to six decimals before they are ranked, so that equal vectors tie; ties go by id. Vectors that are null, hold nulls or
-    non-finite numbers, or have another dimension than a query are not among its results. Vectors and queries are packed into chunks and blocks. A chunk goes to one
-    partition, the far smaller blocks to all, and each chunk gives only its own k best of each query, before the best of all chunks are ranked.
+    Exact, in two passes over chunks of vectors against blocks of queries. In the first, a chunk tells of each query only its scores at a few ranks (1, 2, 3, 4, 6, 9, ..), each standing for the vectors between
+    ranks; summed up by bins of scores they give a bound that at least k vectors reach. The second pass skips the queries that nothing in a chunk can reach, by the chunk's centre
+    and spread, and gives only scores in or above the bound's bin: little over k rows a query, whatever k is. Chunks go to one partition each, the far smaller blocks to all.
     """
-    spread = items.sparkSession.sparkContext.defaultParallelism
-    pool = _packed(vectors.join(items.select("id"), "id", "left_semi"), "id", CHUNK).withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(spread)))
-    asked = _packed(queries, "query_id", BLOCK).withColumnsRenamed({"keys": "asked", "data": "wanted"})
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    pairs = pool.join(asked, ["dim", "salt"]).select("dim", "keys", "data", "asked", "wanted")
+    spread = pool.sparkSession.sparkContext.defaultParallelism
+    chunks = stored(_packed(pool, "id", CHUNK).drop("extras").withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(spread))), "chunks")
+    most = chunks.agg(F.max("longest")).first()[0] or 0.0
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(asked: DataFrame) -> DataFrame:
+        blocks = _packed(asked, "query_id", BLOCK, "floor").select("dim", F.col("keys").alias("asked"), F.col("extras").alias("floors"), F.col("data").alias("wanted"))
+        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("salt", F.col("salt").cast("long"))
+        return chunks.join(blocks, ["dim", "salt"]).drop("salt")
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(batch.num_rows):
-                dim, keys, data, asked, wanted = (c[0].as_py() for c in batch.slice(at, 1).columns)
-                scores = np.round(_unit(wanted, dim) @ _unit(data, dim).T * 100, 6)
-                scores[~np.isfinite(scores)] = -np.inf
-                if k < len(keys):  # all that tie with the k-th stay
-                    least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k, None]
-                else:
-                    least = np.full((len(asked), 1), -np.inf)
-                q, v = np.nonzero((scores >= least) & np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()).take(pa.array(q)), pa.array(keys, pa.string()).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "semantic_score"])
+                yield {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+
+    def ranks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            scores = _products(row, cosine, scale)
+            n = min(k, scores.shape[1])
+            ranks = np.unique(np.append(np.floor(STEP ** np.arange(64)).clip(1, n), n)).astype(np.int64)
+            places = scores.shape[1] - ranks
+            told = np.partition(scores, np.unique(places), axis=1)[:, places]
+            number = _bin_of(told, row, cosine, scale, most)
+            asked = pa.array(row["asked"], pa.string()).take(pa.array(np.repeat(np.arange(len(told)), len(ranks))))
+            yield pa.RecordBatch.from_arrays([asked, pa.array(number.ravel()), pa.array(np.tile(np.diff(ranks, prepend=0), len(told)))], names=["query_id", "bin", "n"])
 
-    found = pairs.mapInArrow(best, "query_id string, id string, semantic_score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("semantic_score").desc(), "id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= max(1, k)).select("query_id", "rank", "id", "semantic_score")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            floors = np.array([np.iinfo(np.int64).min if f is None else f for f in row["floors"]])
+            asked = np.frombuffer(row["wanted"], np.float64).reshape(-1, row["dim"])
+            unit, norms = _unit(asked)
+            angle = np.arccos(np.clip(unit @ np.frombuffer(row["centre"], np.float64), -1, 1)) - row["spread"] - 1e-6
+            reach = np.cos(np.clip(angle, 0, np.pi))
+            if not cosine:  # the longest vector in the nearest direction; none has more than 0 beyond a right angle
+                reach = np.maximum(reach, 0) * row["longest"] / max(most, 1e-12)
+            some = np.flatnonzero(np.ceil(reach * BINS) + 1 >= floors)
+            if not len(some):
+                continue
+            scores = _products(row, cosine, scale, some)
+            q, v = np.nonzero(_bin_of(scores, row, cosine, scale, most, some) >= floors[some][:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(row["asked"], pa.string()).take(pa.array(some[q])), pa.array(row["keys"], pa.string()).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+
+    k = max(1, k)
+    plain = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
+    told = met(plain.withColumn("floor", F.lit(None))).mapInArrow(ranks_of, "query_id string, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+    reached = told.withColumn("total", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("bin").desc()))).where(F.col("total") >= k)
+    floors = stored(reached.groupBy("query_id").agg(F.max("bin").alias("floor")), "floors")
+    found = met(plain.join(floors, "query_id", "left")).mapInArrow(best, "query_id string, id string, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def semantic_topk_queries(items: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5000) -> DataFrame:
+    """(query_id, rank, id, semantic_score): the k items nearest to each of queries (query_id, embedding) by cosine, times 100 (F4 for a table of queries).
+
+    Scores are rounded to six decimals before they are ranked, so that equal vectors tie; ties go by id. Vectors that are null, empty, hold nulls or
+    non-finite numbers, or have another dimension than a query are not among its results.
+    """
+    found = nearest(vectors.join(items.select("id"), "id", "left_semi"), queries, k, True, 100.0)
+    return found.withColumnRenamed("score", "semantic_score")
 
 
 def item_vectors(images: DataFrame) -> DataFrame:
@@ -201,6 +266,15 @@ def cover_topk(item_vecs: DataFrame, query_id: str | None = None, query_vector:
     return ranked(best, [F.col("cover_score").desc(), F.col("id")]).select("rank", "id", "cover_score")
 
 
+def cover_topk_queries(item_vecs: DataFrame, query_ids: DataFrame, candidates: DataFrame | None = None, k: int = 5000) -> DataFrame:
+    """(query_id, rank, id, cover_score): cover_topk for every id of a table (query_id), stripped and upper-cased; one that is not indexed has no rows (F6 for a table of queries)."""
+    asked = query_ids.select(F.upper(T.strip(F.col("query_id"))).alias("item_id")).distinct().join(item_vecs, "item_id").select(F.col("item_id").alias("query_id"), "embedding")
+    pool = item_vecs
+    if candidates is not None:
+        pool = pool.join(candidates.select(F.upper(T.strip(F.col("id"))).alias("item_id")).distinct(), "item_id", "left_semi")
+    return nearest(pool.select(F.col("item_id").alias("id"), "embedding"), asked, k, False, 100.0).withColumnRenamed("score", "cover_score")
+
+
 def ranked(best: DataFrame, order: list[Column]) -> DataFrame:
     """rank from 1 over the few rows of a top list."""
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
@@ -213,6 +287,13 @@ def image_topk(index: DataFrame, query_vector: list[float], k: int = 10, source:
     return ranked(best, [F.col("score").desc(), F.col("path")]).select("rank", "path", "source", "name", "item_id", "score")
 
 
+def image_topk_queries(index: DataFrame, queries: DataFrame, k: int = 10, source: str = "all") -> DataFrame:
+    """(query_id, rank, path, source, name, item_id, score): image_topk for every vector of a table (query_id, embedding) (F7 for a table of queries)."""
+    pool = index if source == "all" else index.where(F.col("source") == source)
+    found = nearest(pool.select(F.col("path").alias("id"), "embedding"), queries, k, False).withColumnRenamed("id", "path")
+    return found.join(pool.select("path", "source", "name", "item_id"), "path").select("query_id", "rank", "path", "source", "name", "item_id", "score")
+
+
 def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, status): unchanged, add_or_update or deleted, by size, mtime and source; embeddings stay out of the join (F8)."""
     a = old.select("path", *[F.col(c).alias(f"old_{c}") for c in ("source", "size", "mtime_ns")])

@@ -11,6 +11,7 @@ from quillon.plans import preprocess as plans
 from quillon.queries.base import CAT, FREQ, OPENS, query
 from quillon.schema import CATALOGUE
 from quillon.sources import files, scratch
+from quillon.sources.scratch import stored
 
 COLUMNS = ", ".join(CATALOGUE)
 
@@ -165,6 +166,20 @@ def f04_queries(spark, sf):
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "semantic_score")
 
 
+_TOP5000 = (
+    f"WITH {_VECS}, s AS (SELECT a.id AS query_id, v.id, round(list_cosine_similarity(v.e, a.e) * 100, 6) AS score FROM v, v a WHERE a.vec_id % 20 = 0) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score AS semantic_score FROM s QUALIFY rank <= 5000"
+)
+
+
+@query("f04_semantic_topk_5000", _TOP5000)
+def f04_5000(spark, sf):
+    """The 5000 vectors nearest to each whose number is divisible by 20, of all vectors."""
+    found = A.vectors(spark, sf)
+    best = vectors.semantic_topk_queries(found.select("id"), found, found.where("pos % 20 = 0").select(F.col("id").alias("query_id"), "embedding"))
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "semantic_score")
+
+
 _IMAGES = """img AS (SELECT vec_id, '/images/' || vec_id || '.jpg' AS path, (CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END) AS source, vec_id || '.jpg' AS name, CASE WHEN vec_id % 100 = 99 THEN ' ' ELSE 'IT' || (vec_id // 5) END AS item_id,
   vec_id * 3 AS size, vec_id * 1000 AS mtime_ns, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
 _MEANS = _IMAGES + """, places AS (SELECT item_id, i, avg(e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x)))) AS x FROM img, range(1, 65) r(i) WHERE trim(item_id) <> '' GROUP BY 1, 2),
@@ -189,6 +204,31 @@ def f07(spark, sf):
     return vectors.image_topk(A.images(spark, sf), A.query_vector(spark, sf), 10, "odd").withColumn("score", F.round("score", 4))
 
 
+@query(
+    "f06_cover_topk_queries",
+    f"WITH {_MEANS}, s AS (SELECT b.item_id AS query_id, a.item_id AS id, round(list_dot_product(a.m, b.m) * 100, 6) AS score FROM means a, means b WHERE CAST(substr(b.item_id, 3) AS BIGINT) % 20 = 0) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, round(score, 4) AS cover_score FROM s QUALIFY rank <= 20",
+)
+def f06_queries(spark, sf):
+    """The twenty items nearest to each whose number is divisible by 20, of all items."""
+    v = stored(vectors.item_vectors(A.images(spark, sf)), "item-vectors")
+    best = vectors.cover_topk_queries(v, v.where("cast(substring(item_id, 3, 20) AS long) % 20 = 0").select(F.concat(F.lit(" "), F.lower("item_id")).alias("query_id")), k=20)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("cover_score", 4).alias("cover_score"))
+
+
+@query(
+    "f07_image_topk_queries",
+    f"WITH {_IMAGES}, s AS (SELECT q.name AS query_id, i.path, i.source, i.name, i.item_id, round(list_dot_product(i.e, q.e), 6) AS s FROM img i, img q WHERE q.vec_id % 20 = 0 AND i.source = 'odd') "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path) AS rank, path, source, name, item_id, round(s, 4) AS score FROM s QUALIFY rank <= 10",
+)
+def f07_queries(spark, sf):
+    """The ten images nearest to each whose number is divisible by 20, of all of a source."""
+    index = A.images(spark, sf)
+    asked = A.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.concat("vec_id", F.lit(".jpg")).alias("query_id"), "embedding")
+    best = vectors.image_topk_queries(index, asked, 10, "odd")
+    return best.withColumns({"rank": F.col("rank").cast("long"), "score": F.round("score", 4)})
+
+
 @query("f08_index_diff", f"WITH {_IMAGES} SELECT path, CASE WHEN vec_id % 11 = 0 THEN 'deleted' WHEN vec_id % 7 = 0 THEN 'add_or_update' ELSE 'unchanged' END AS status FROM img UNION ALL SELECT '/new' || path, 'add_or_update' FROM img WHERE vec_id % 13 = 0 AND vec_id % 11 <> 0")
 def f08(spark, sf):
     return vectors.index_diff(A.images(spark, sf), A.new_images(spark, sf))
