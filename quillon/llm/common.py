@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII white-space characters.
@@ -90,6 +90,22 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def placed(rows: DataFrame, group: str, order: list[str], parts: int, name: str) -> DataFrame:
+    """rows with their place in their group by these columns (pos), the group's size (n) and the partition of neighbours that holds them (part).
+
+    Rows are dealt by ranges, wherever a group ends, and counted by range, so that no group is gathered. Rows that are equal in group and order may change places: a salt splits even those.
+    """
+    keys = [group, *order, "_salt"]
+    dealt = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    held = written(dealt.drop("_salt").withColumn("_at", F.monotonically_increasing_id()), name)
+    held = held.withColumn("part", F.shiftright("_at", 33))
+    counts = held.groupBy("part", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    own = Window.partitionBy(group)
+    before = (F.sum("_n").over(own.orderBy("part")) - F.col("_n")).alias("_before")
+    counts = counts.select("part", group, "_first", before, F.sum("_n").over(own).alias("n"))
+    return held.join(counts, ["part", group]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import placed, written
 
 #: Children of a node; levels that one task makes of a block of nodes; leaves of a partition, about.
 FAN, LEVELS, LEAVES = 8, 4, 32_768
@@ -40,22 +40,6 @@ def document_leaf(text: Column | None = None) -> Column:
     return leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.col("text") if text is None else text)
 
 
-def _placed(rows: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
-    """rows (tree, ..) with their place in the tree by these columns (pos), the tree's size (n) and the partition of neighbours that holds them (part).
-
-    Rows are dealt by ranges, wherever a tree ends, and counted by range; rows that are equal in all columns of the order may change places, so a salt splits even those.
-    """
-    keys = ["tree", *order, "_salt"]
-    dealt = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    held = written(dealt.drop("_salt").withColumn("_at", F.monotonically_increasing_id()), name)
-    held = held.withColumn("part", F.shiftright("_at", 33))
-    counts = held.groupBy("part", "tree").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    own = Window.partitionBy("tree")
-    before = (F.sum("_n").over(own.orderBy("part")) - F.col("_n")).alias("_before")
-    counts = counts.select("part", "tree", "_first", before, F.sum("_n").over(own).alias("n"))
-    return held.join(counts, ["part", "tree"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_first", "_before")
-
-
 _NODES = "tree string, level int, idx long, n long, digest string"
 
 
@@ -108,11 +92,11 @@ def manifest(rows: DataFrame) -> Manifest:
     """
     named = F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang"))
     held = written(rows.withColumn("tree", named).drop("lang"), "merkle-leaves")
-    leaves = _placed(held, ["doc_id", "leaf"], held.count() // LEAVES + 1, "merkle-placed")
+    leaves = placed(held, "tree", ["doc_id", "leaf"], held.count() // LEAVES + 1, "merkle-placed")
     leaves = written(leaves, "merkle-places")
     low = _nodes(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")), "merkle-nodes")
     subroots = low.where("n = 1").select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
-    trees = _placed(subroots, ["of"], subroots.count() // LEAVES + 1, "merkle-subroots")
+    trees = placed(subroots, "tree", ["of"], subroots.count() // LEAVES + 1, "merkle-subroots")
     high = _nodes(trees.select("tree", "pos", "n", "digest"), "merkle-tops")
     places = trees.select(F.col("of").alias("tree"), F.col("pos").alias("tree_pos"), F.col("n").alias("trees"))
     return Manifest(leaves.join(places, "tree"), low.withColumn("top", F.lit(False)).unionByName(high.withColumn("top", F.lit(True))))

@@ -4,7 +4,8 @@ Each document d gets a rate w(d), its expected number of copies. Among all rates
 constraint of its source, sum of w(d) * size(d) = target, the rates nearest to 1 in relative entropy are w(d) = min(limit, exp(lambda * size(d))).
 The dual is convex with one lambda for each source; distributed Newton iterations solve it on the histogram (source, size, documents),
 which is all the dual depends on. Rates are then rounded into whole copies by carrying the rounding error from large documents to
-small ones, within hash buckets of a bounded number of documents, so that a hot source is spread over many tasks.
+small ones, within buckets of a bounded number of documents. A source's documents are numbered in order of size and dealt to its buckets in turn, so that a hot source, and any number of
+rows of one doc_id and size, are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, release, written
+from quillon.llm.common import WORD, placed, release, written
 
-#: Documents in a rounding bucket, about.
-BUCKET = 4096
+#: Documents in a rounding bucket at most, and in a partition of those that are numbered, about.
+BUCKET, PLACED = 4096, 65_536
 
 
 def token_size(text: Column) -> Column:
@@ -48,11 +49,11 @@ def token_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     return per.select("sid", "source", "n_docs", "source_size", target.alias("target"))
 
 
-def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-3, rounds: int = 60) -> DataFrame:
+def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolerance: float = 1e-3, rounds: int = 100) -> DataFrame:
     """(sid, lambda): the dual solution of each source; null where every document takes the limit.
 
-    sizes has (sid, size). A Newton step that leaves the bracket of a source is replaced by its midpoint, so that every source
-    converges; the loop ends when the largest relative miss of a target is below the tolerance.
+    sizes has (sid, size). A Newton step that leaves the bracket of a source is replaced by its midpoint, and from the twelfth round on every third step is a midpoint, so that every
+    source converges; the loop ends when the largest relative miss of a target is below the tolerance. It is an error if that does not come about.
     """
     hist = written(sizes.where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "mix-hist")
     lim = F.lit(float(limit))
@@ -62,7 +63,7 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
     edge = F.log(lim) / F.col("least")
     low = F.least(F.log(ratio), F.lit(0.0)) / F.col("least")
     state = written(state.select("sid", "target", "total", low.alias("low"), edge.alias("high"), F.least(edge, F.greatest(low, F.log(ratio) / (F.col("total") / F.lit(1.0)))).alias("lambda")), "mix-state")
-    for _ in range(rounds):
+    for turn in range(rounds):
         x = F.col("size")
         tilt = F.exp(F.least(F.col("lambda") * x, F.log(lim)))
         mass = F.col("n") * x
@@ -84,7 +85,7 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         left, wanted = lim * F.col("total") - F.col("value"), lim * F.col("total") - F.col("target")
         step = F.col("lambda") - F.log(F.col("value") / F.col("target")) * F.col("value") / slope
         step = F.greatest(step, F.col("lambda") + F.log(left / F.when(wanted > 0, wanted)) * left / slope)
-        inside = (step > F.col("low")) & (step < F.col("high"))
+        inside = (step > F.col("low")) & (step < F.col("high")) & F.lit(turn < 12 or turn % 3 > 0)
         off = F.abs(miss) / F.col("target")
         after = F.when(off <= tolerance, F.col("lambda")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
         before, state = state, written(found.select("sid", "target", "total", "low", "high", after.alias("lambda"), off.alias("off")), "mix-state")
@@ -92,6 +93,8 @@ def solve_rates(sizes: DataFrame, targets: DataFrame, limit: float = 3.0, tolera
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"rates did not settle: a target is missed by {worst:.2%}")
     release(hist)
     return state.select("sid", "lambda")
 
@@ -114,13 +117,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
 
     Null or empty texts have size 0, rate 1 and one copy. Null sources form one source, last in order. Repeated rows each get
     their own copies. An empty table gives an empty result. Other columns are ignored. Equal input gives equal output:
-    buckets and order depend on doc_id and size only. row: a column (long) of docs that is handed through.
+    buckets and order depend on doc_id and size only, and rows equal in both may be taken for each other. row: a column (long) of docs that is handed through.
     """
     own = [row] if row else []
     sizes = written(docs.select("doc_id", *own, "source", token_size(F.col("text")).alias("size")), "mix-sizes")
     targets = written(token_targets(sizes, weights, limit), "mix-targets")
-    placed = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", *own, "size", "sid", "n_docs", "source_size", "target")
-    rates = solve_rates(placed.select("sid", "size"), targets.select("sid", "target"), limit)
+    known = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", *own, "size", "sid", "source_size", "target")
+    order = known.withColumn("_size", -F.col("size"))
+    numbered = placed(order, "sid", ["_size", "doc_id"], sizes.count() // PLACED + 1, "mix-places").withColumn("bucket", F.col("pos") % F.ceil(F.col("n") / BUCKET).cast("long"))
+    rates = solve_rates(numbered.select("sid", "size"), targets.select("sid", "target"), limit)
     lim = F.lit(float(limit))
     rate = (
         F.when(F.col("size") == 0, 1.0)
@@ -128,8 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: fl
         .when(F.col("lambda").isNull(), lim)
         .otherwise(F.exp(F.least(F.col("lambda") * F.col("size"), F.log(lim))))
     )
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BUCKET).cast("long"))
-    rated = placed.join(rates, "sid", "left").select("doc_id", *own, "size", "source_size", "target", rate.alias("rate"), "sid", bucket.alias("bucket"))
+    rated = numbered.join(rates, "sid", "left").select("doc_id", *own, "size", "source_size", "target", rate.alias("rate"), "sid", "bucket")
     schema = "doc_id long, size long, source_size long, target double, rate double, copies long" + "".join(f", {x} long" for x in own)
 
     def rounded(rows: pa.Table) -> pa.Table:

@@ -105,3 +105,54 @@ def test_large_ids_beside_null_ones_stay_whole(spark):
     rows = [(9007199254740993 + 2 * k, "a b c", "s") for k in range(5)] + [(None, "a b c d", "s"), (None, None, None)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+
+
+def test_rows_of_one_id_and_size_are_spread(spark, monkeypatch):
+    """Thousands of rows without doc_id, all of one size, share many buckets; reruns agree whatever the partitions."""
+    from pyspark.sql import functions as F
+
+    seen = []
+    real = mixing.placed
+    monkeypatch.setattr(mixing, "placed", lambda *a: seen.append(real(*a)) or seen[-1])
+    monkeypatch.setattr(mixing, "PLACED", 1000)
+    monkeypatch.setattr(mixing, "BUCKET", 500)
+    rows = [(None, "s0", "one two three")] * 6000 + [(k, "s1", "w " * (k % 40)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs)
+    buckets = seen[0].withColumn("bucket", F.col("pos") % F.ceil(F.col("n") / 500).cast("long")).groupBy("sid", "bucket").count()
+    assert buckets.agg(F.max("count")).first()[0] <= 500 and seen[0].select("part").distinct().count() > 4
+
+    def counted(df):
+        return sorted(tuple(map(str, r)) for r in df.groupBy("doc_id", "size", "target", "copies").count().collect())
+
+    first = counted(got)
+    assert first == counted(mixing.mix(docs.repartition(7)))
+    by = {r["source_size"]: (r["taken"], r["target"]) for r in got.groupBy("source_size", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()}
+    assert all(abs(taken - target) <= 0.005 * target for taken, target in by.values())
+
+
+def test_rates_meet_their_targets_or_fail(spark):
+    """Brute force: bisection of the dual in plain Python; and a loop that is too short is an error, not a result."""
+    import math
+    import random
+
+    import pytest
+
+    rng = random.Random(3)
+    sizes = {s: [max(1, int(rng.lognormvariate(4, 1.5))) for _ in range(400)] for s in (1, 2, 3)}
+    targets = {1: 0.2 * sum(sizes[1]), 2: 1.7 * sum(sizes[2]), 3: 2.97 * sum(sizes[3])}
+    hist = spark.createDataFrame([(s, n) for s, own in sizes.items() for n in own], "sid int, size long")
+    wanted = spark.createDataFrame(list(targets.items()), "sid int, target double")
+    got = {r["sid"]: r["lambda"] for r in mixing.solve_rates(hist, wanted, tolerance=1e-6).collect()}
+
+    def value(s, rate):
+        return sum(min(3.0, math.exp(min(rate * x, 50))) * x for x in sizes[s])
+
+    for s, target in targets.items():
+        low, high = -1.0, 3.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if value(s, mid) < target else (low, mid)
+        assert abs(value(s, got[s]) / target - 1) <= 1e-6 and abs(value(s, low) / value(s, got[s]) - 1) <= 2e-6
+    with pytest.raises(RuntimeError):
+        mixing.solve_rates(hist, wanted, tolerance=1e-9, rounds=2)
