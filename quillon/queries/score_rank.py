@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon import adapters as A
 from quillon.functions import text as T
-from quillon.operators import context, filters, history, rank, scoring
+from quillon.operators import context, filters, history, rank, scoring, search
 from quillon.queries.base import CAT, FREQ, HIST, OPENS, PARTS, SCORED, query
 from quillon.sources.files import scratch
 from quillon.streaming.history import read_state, stream_history
@@ -98,6 +98,12 @@ def e04(spark, sf):
     return filters.keyword_search(A.prepared(spark, sf).items, " Gear，BRAND#1, ,").select("id")
 
 
+@query("e04_keyword_search_blocks", f"WITH {SCORED} SELECT id FROM scored WHERE contains(search_text, 'gear') AND contains(search_text, 'brand#1')")
+def e04_blocks(spark, sf):
+    """The same from stored blocks, of which those without the terms' trigrams are not read."""
+    return search.store_search(A.prepared(spark, sf).items, rows=200).search(" Gear，BRAND#1, ,").select("id")
+
+
 @query("e05_keyword_search_columns", f"WITH {CAT} SELECT id FROM cat WHERE (contains(lower(title), 'gear') OR contains(lower(tags), 'gear')) AND (contains(lower(author), 'brand#1') OR contains(lower(title), 'brand#1'))")
 def e05(spark, sf):
     return filters.keyword_search_columns(A.small_catalogue(spark, sf), "Gear,BRAND#1", ("title", "tags", "author", "team")).select("id")

@@ -84,6 +84,16 @@ def a08(spark, sf):
     return files.upsert_catalogue(df, batch).select("id", "title")
 
 
+@query("a08_upsert_buckets", f"WITH {CAT} SELECT id, CASE WHEN p_partkey % 3 = 1 THEN 'new' ELSE title END AS title FROM cat UNION ALL SELECT 'added ' || id, 'new' FROM cat WHERE p_partkey % 3 = 1")
+def a08_buckets(spark, sf):
+    """The same in a table of hash buckets, merged twice."""
+    path, df = files.scratch(spark, "buckets"), A.small_catalogue(spark, sf)
+    part = df.where("regexp_extract(link, '([0-9]+)/$', 1) % 3 = 1").withColumn("title", F.lit("new"))
+    files.upsert_buckets(df, path, number=8)
+    files.upsert_buckets(part.unionByName(part.withColumn("id", F.concat(F.lit("added "), "id"))), path)
+    return files.read_buckets(spark, path).select("id", "title")
+
+
 @query("a09_history_files", f"WITH {OPENS} SELECT opened_at, id, 't' AS title FROM opens ORDER BY opened_at DESC LIMIT 50")
 def a09(spark, sf):
     path = files.scratch(spark, "history")

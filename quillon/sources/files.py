@@ -14,6 +14,7 @@ from quillon.functions import text as T
 from quillon.operators.clean import dedupe_first
 from quillon.operators.history import last_n
 from quillon.schema import CATALOGUE, HISTORY
+from quillon.sources import buckets
 from quillon.sources.scratch import scratch  # noqa: F401 - part of this module's interface
 
 #: Cells that mean missing.
@@ -111,6 +112,21 @@ def upsert_catalogue(current: DataFrame, batch: DataFrame, order: list[str] | No
     return current.join(batch.select("id"), "id", "left_anti").select(*current.columns).unionByName(batch.select(*current.columns))
 
 
+def upsert_buckets(batch: DataFrame, path: str, order: list[str] | None = None, number: int = 64) -> int:
+    """upsert_catalogue() of a table kept in hash buckets of id at a path: only the buckets that the batch has ids of are read and written, the others' files stay as they are."""
+
+    def combine(current: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return upsert_catalogue(rows.select(*CATALOGUE).limit(0) if current is None else current, rows, order).select(*CATALOGUE)
+
+    return buckets.merge(batch, path, "id", combine, number)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The whole table that upsert_buckets() keeps at a path."""
+    found = buckets.read(spark, path)
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in CATALOGUE)) if found is None else found
+
+
 def read_history(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
     """The newest n entries of a JSON list; none if it is missing or malformed."""
     try:
