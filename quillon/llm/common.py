@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of whole texts that a Python helper takes out of an Arrow batch at a time, at most.
 BATCH = 500
+_OWNED: set[str] = set()
+_CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,21 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables, in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The folder of this application's intermediate tables, in the shared one; the driver deletes it when it ends."""
+    found = f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    if found not in _OWNED:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _OWNED.add(found)
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows. clean_up() deletes it."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows; a lost executor loses nothing of it. clean_up() deletes it.
+
+    Spark is asked to drop the shuffle files of the write once it is done, since nothing else reads them.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid4().hex}"
+    before = spark.conf.get(_CLEANING, "false")
+    spark.conf.set(_CLEANING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANING, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -113,10 +125,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest of its neighbourhood, then each node's smaller neighbours. Only minima by node are gathered, so that a node with very many
     links costs a partial aggregate and a join, never a list.
     """
-    spark = edges.sparkSession
-    e = checkpoint(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-links")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -124,7 +133,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "component-links")
+        release(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

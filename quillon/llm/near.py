@@ -20,15 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, slices, words, written
+from quillon.llm.common import connected_components, release, slices, words, written
 
 TABLES, ROWS = 14, 3
 #: Distinct words whose hashes a task remembers at most.
 MEMORY = 200_000
 #: Minhash bits that may differ: the similarity asked for leaves 24 or fewer of 84 but for one pair in a million.
 BITS_OFF = 24
-#: Leaders that a class is held against in each round after the first, at most; rounds go on as long as they find links, and a last one tests all that is left.
+#: Leaders that a class is held against in each round after the first, at most; rounds go on while they find links, and a last one tests all that is left.
 LEADS = 4
+#: Rounds against leaders at most; the last round tests whatever they have left apart.
+TURNS = 12
 #: Hash buckets of the counts that bound an intersection, a power of two; four counts of 16 bits are packed into a word.
 PROFILE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +148,10 @@ def _profiles(reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         parts = [F.shiftleft(F.least(F.col("c")[k + m], F.lit(65535)).cast("long"), 16 * m) for m in range(4)]
         return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
-    return profile.select("rep", F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y).alias("shared"), *[packed(4 * k).alias(f"p{k}") for k in range(PROFILE // 4)])
+    profile = profile.select("rep", F.aggregate("c", F.lit(0).cast("long"), lambda x, y: x + y).alias("shared"), *[packed(4 * k).alias(f"p{k}") for k in range(PROFILE // 4)])
+    made = written(profile, "near-profiles")
+    release(counted)
+    return made
 
 
 def _most_common() -> Column:
@@ -247,17 +252,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # second round: pairs of a table that are still apart
     apart = places.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "i", "j", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two", "bands"), "rep"), "near-apart")
-    apart = apart.join(written(_profiles(apart.select("rep").distinct(), texts, width), "near-profiles"), "rep")
+    whole = written(apart.join(mixed, "key", "left_semi").join(classes.select("rep", "size", "one", "two", "bands"), "rep"), "near-apart")
+    release(places)
+    profiles = _profiles(whole.select("rep").distinct(), texts, width)
+    apart = whole.join(profiles, "rep")
     # one with too many shingles of its own is near none of the others
     apart = apart.where((F.col("shared") * 100 >= F.col("size") * percent) | (F.col("size") > 65535)).drop("component")
     apart = written(apart, "near-apart")
-    tested = first
-    while True:
+    release(whole)
+    release(profiles)
+    tested, spent = first, [first, links, texts, apart, classes]
+    for _ in range(TURNS):
         # further rounds against leaders, as long as they link anything: a large group comes together without its pairs being listed
         led = written(_led_pairs(_with_component(apart, components), percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         more = written(_confirm(led, texts, width, percent), "near-links")
         tested = tested.unionByName(led)
+        spent += [led, more]
         if more.isEmpty():
             break
         links = links.unionByName(more)
@@ -271,12 +281,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     once = (F.array_position(F.slice(alike, 1, TABLES), True) == F.col("i") + 1) & (F.array_position(F.slice(alike, TABLES + 1, TABLES), True) == F.col("j") - TABLES + 1)
     last = a.join(b, ["key", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & order & _could(percent) & once).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
     last = written(last.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    spent.append(last)
     if not last.isEmpty():
         more = written(_confirm(last, texts, width, percent), "near-links")
+        spent.append(more)
         if not more.isEmpty():
             components = connected_components(links.unionByName(more))
 
     named = written(classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "near-components")
+    for table in spent:  # what is returned reads sets and named only
+        release(table)
     by_row = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return by_row.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
