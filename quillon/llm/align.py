@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import slices, written
 
 #: A block ends with the document that takes it past one of these: documents, windows remembered, links in them.
-DOCUMENTS, WINDOWS, LINKS = 16_384, 250_000, 4_000_000
+DOCUMENTS, WINDOWS, LINKS = 16_384, 400_000, 6_000_000
 #: Stands between the ids of either side in the key of a window; no id is as large.
 _BETWEEN = 0xFFFFFFFF
 #: Entries of a row of a block's lists.
