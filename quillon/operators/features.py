@@ -134,3 +134,31 @@ def catalogue_metrics(filtered: DataFrame, authors: DataFrame, tags: DataFrame,
     for c in counts[1:]:
         out = out.crossJoin(c)  # one row each
     return out
+
+
+#: Registers of a sketch, as a power of two: counts are off by 1.04 / sqrt(2 ** 14), 0.8 %, as a standard error.
+SKETCH = 14
+
+
+def facet_sketches(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, facet, n_rows, sketch): mergeable sketches of the distinct tags, authors and title words of items, all in one pass, by any keys such as a bucket."""
+
+    def named(values: Column, facet: str) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature")))
+
+    author = F.filter(F.array(T.strip(T.filled(F.col("author")))), lambda x: x != "")
+    row = F.array(F.struct(F.lit("row").alias("facet"), F.lit("").alias("feature")))
+    every = F.concat(named(F.col("parsed_tags"), "tag"), named(author, "author"), named(F.col("title_words"), "title_word"), row)
+    found = items.select(*keys, F.explode(every).alias("f")).select(*keys, "f.facet", "f.feature")
+    return found.groupBy(*keys, "facet").agg(F.count("*").alias("n_rows"), F.hll_sketch_agg("feature", SKETCH).alias("sketch"))
+
+
+def approximate_metrics(sketches: DataFrame) -> DataFrame:
+    """One row: rows, and about how many authors, tags and title words, from facet_sketches() of any parts, merged."""
+
+    def about(facet: str) -> Column:
+        of = F.col("facet") == facet
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(F.when(of, F.col("sketch")))), F.lit(0)).cast("long")
+
+    rows = F.coalesce(F.sum(F.when(F.col("facet") == "row", F.col("n_rows"))), F.lit(0)).cast("long")
+    return sketches.agg(rows.alias("n_items"), about("author").alias("n_authors"), about("tag").alias("n_tags"), about("title_word").alias("n_title_words"))

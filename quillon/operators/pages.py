@@ -158,7 +158,15 @@ ALBUM_LIST = Listing(("div", {"class": "list-col"}), ("a", {"href": "/album/*"})
 
 
 def extract_listing(pages: DataFrame, listing: Listing) -> DataFrame:
-    """(page_id, position, id, detail_url, thumb_url) of list pages; items without a matching address are skipped, their position is counted (L2)."""
+    """(page_id, page_no, position, id, detail_url, thumb_url) of list pages; items without a matching address are skipped, their position is counted (L2).
+
+    page_no is the pages' own column of that name, else the number after page= in their url, else null.
+    """
+    number = F.lit(None)
+    if "page_no" in pages.columns:
+        number = F.col("page_no")
+    elif "url" in pages.columns:
+        number = F.nullif(F.regexp_extract("url", r"[?&]page=(\d{1,9})", 1), F.lit(""))
 
     def items(html: str | None) -> list[dict]:
         out = []
@@ -176,7 +184,7 @@ def extract_listing(pages: DataFrame, listing: Listing) -> DataFrame:
             yield pd.Series([items(h) for h in htmls], dtype=object)
 
     rows = F.pandas_udf(run, "array<struct<position:int,id:string,detail_url:string,thumb_url:string>>")("html")
-    return pages.select("page_id", F.explode(rows).alias("i")).select("page_id", "i.position", "i.id", "i.detail_url", "i.thumb_url")
+    return pages.select("page_id", number.cast("int").alias("page_no"), F.explode(rows).alias("i")).select("page_id", "page_no", "i.position", "i.id", "i.detail_url", "i.thumb_url")
 
 
 def pending_items(listing: DataFrame, have_ids: DataFrame, have_thumbs: DataFrame) -> DataFrame:

@@ -45,15 +45,20 @@ class Frequencies:
 FACETS = ("tag", "author", "title_word")
 
 
-def all_frequencies(items: DataFrame) -> Frequencies:
-    """Frequencies of all facets, counted in one pass."""
+def frequencies_by(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, facet, feature, freq) of all facets, counted in one pass."""
 
     def named(values: Column, facet: str) -> Column:
-        return F.transform(values, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature")))
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("feature")))
 
     own = T.strip(T.filled(F.col("author")))
     every = F.concat(named(F.col("parsed_tags"), "tag"), named(F.filter(F.array(own), lambda x: x != ""), "author"), named(F.col("title_words"), "title_word"))
-    table = items.select(F.explode(every).alias("f")).groupBy("f.facet", "f.feature").agg(F.count("*").alias("freq"))
+    return items.select(*keys, F.explode(every).alias("f")).groupBy(*keys, "f.facet", "f.feature").agg(F.count("*").alias("freq"))
+
+
+def all_frequencies(items: DataFrame) -> Frequencies:
+    """Frequencies of all facets."""
+    table = frequencies_by(items)
     return Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in FACETS], table)
 
 

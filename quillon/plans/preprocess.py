@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import clean, features, filters, matching, rank, scoring
 from quillon.schema import CATALOGUE
-from quillon.sources import files
+from quillon.sources import buckets, files
 from quillon.sources.scratch import stored
 
 
@@ -47,22 +47,73 @@ class Prepared:
     stamp: str = ""  # the fingerprint of what it was made from, if it is stored
 
 
-def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False, keep: bool = True) -> Prepared:
-    """Folders, parsed tags, title words and search text of each item, and frequencies (K2).
-
-    Row-wise but for the folder match and the counts. With keep the features are written once, since frequencies, scores and pages all read them; the table goes with
-    the application.
-    """
+def features_of(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False) -> DataFrame:
+    """Folders, parsed tags, title words and search text of each item; every row by itself but for the folder match."""
     df = clean.title_fallback(catalogue) if title_fallback else catalogue
     df = matching.match_close(df, folders) if folders is not None else df.withColumn("local_path", F.lit(matching.NO_FOLDER))
     df = features.parse_tags(df, dictionaries.stop_tags, dictionaries.tag_map)
     df = features.title_words(features.tokenize_titles(df), dictionaries.stop_words, dictionaries.word_map).drop("tokens")
-    df = clean.with_search_text(df)
+    return clean.with_search_text(df)
+
+
+def preprocess(catalogue: DataFrame, dictionaries: Dictionaries, folders: DataFrame | None = None, title_fallback: bool = False, keep: bool = True) -> Prepared:
+    """Folders, parsed tags, title words and search text of each item, and frequencies (K2).
+
+    With keep the features are written once, since frequencies, scores and pages all read them; the table goes with the application.
+    """
+    df = features_of(catalogue, dictionaries, folders, title_fallback)
     if keep:
         df = stored(df, "features")
     return Prepared(df, scoring.all_frequencies(df))
 
 
+def _digest(df: DataFrame) -> str:
+    return df.agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")))).first()[0]
+
+
+def fingerprints(catalogue: DataFrame, parts: tuple[str, ...], number: int) -> dict[int, str]:
+    """A digest of stamps and all cells for each hash bucket of id that has rows (K1 by parts)."""
+    held = catalogue.groupBy(buckets.bucket_of("id", number).alias("bucket"))
+    content = F.concat_ws("|", *[F.lit(p) for p in parts], F.count("*").cast("string"), F.sum(F.xxhash64(*catalogue.columns).cast("decimal(38,0)")).cast("string"))
+    return {r[0]: r[1] for r in held.agg(F.md5(content)).collect()}  # one row a bucket
+
+
+def preprocess_parts(catalogue: DataFrame, dictionaries: Dictionaries, folder: str, folders: DataFrame | None = None, title_fallback: bool = False, number: int = 64) -> Prepared:
+    """preprocess(), kept at a folder in hash buckets of id: only buckets whose rows have changed since the last call are worked out anew (K1, K2).
+
+    Frequencies are kept up likewise: what the changed buckets counted before is taken away from the totals, what they count now is added. Items, counts by bucket and totals are written under
+    one number and the fingerprints last, so a run that broke off is made good by the next one, which starts from the last finished number. The number of buckets is that of the first call.
+    """
+    spark = catalogue.sparkSession
+    base = folder.rstrip("/")
+    stamps = (dictionaries.stamp(), str(title_fallback), _digest(folders) if folders is not None else "")
+    items, counts, totals, prints = (f"{base}/{name}" for name in ("items", "counts", "totals", "fingerprints"))
+    done = buckets.versions(spark, prints)
+    last, turn = (done[-1] if done else None), (done[-1] + 1 if done else 0)
+    number = buckets.number_of_buckets(spark, items) or number if done else number
+    known = {} if last is None else {r["bucket"]: r["print"] for r in buckets.read(spark, prints).collect()}
+    now = fingerprints(catalogue, stamps, number)
+    changed = {k for k in now.keys() | known.keys() if now.get(k) != known.get(k)}
+    if changed or last is None:
+        own = catalogue.where(buckets.bucket_of("id", number).isin(sorted(changed)))
+        buckets.merge(features_of(own, dictionaries, folders, title_fallback), items, "id", lambda before, new: new, number, turn, changed)
+        fresh = buckets.read(spark, items, buckets=changed).withColumn("bucket", buckets.bucket_of("id", number))
+        fresh = scoring.frequencies_by(fresh, "bucket")
+        buckets.merge(fresh, counts, "bucket", lambda before, new: new, number, turn, changed, F.col("bucket"))
+        delta = buckets.read(spark, counts, turn + 1, changed)
+        every = delta.select("facet", "feature", "freq")
+        if last is not None:
+            old = buckets.read(spark, counts, turn, changed)
+            every = every.unionByName(old.select("facet", "feature", (-F.col("freq")).alias("freq"))).unionByName(buckets.read(spark, totals, turn))
+        total = every.groupBy("facet", "feature").agg(F.sum("freq").alias("freq")).where("freq > 0")
+        buckets.merge(total, totals, None, lambda before, new: new, 1, turn, {0})
+        table = spark.createDataFrame(sorted(now.items()), "bucket int, print string")
+        buckets.merge(table, prints, None, lambda before, new: new, 1, turn, {0})
+    table = buckets.read(spark, totals)
+    freqs = scoring.Frequencies(*[table.where(F.col("facet") == f).select("feature", "freq") for f in scoring.FACETS], table)
+    return Prepared(buckets.read(spark, items), freqs, hashlib.md5(repr((stamps, sorted(now.items()))).encode()).hexdigest())
+
+
 def preprocess_stored(catalogue: DataFrame, dictionaries: Dictionaries, folder: str, folders: DataFrame | None = None, title_fallback: bool = False, content: bool = True) -> Prepared:
     """preprocess(), stored as Parquet under the fingerprint of its inputs and read again while they stay the same (K2).
 
@@ -72,7 +123,7 @@ def preprocess_stored(catalogue: DataFrame, dictionaries: Dictionaries, folder:
     spark = catalogue.sparkSession
     parts = [dictionaries.stamp(), str(title_fallback)]
     if folders is not None:
-        parts.append(folders.agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.xxhash64(*folders.columns).cast("decimal(38,0)")).cast("string")))).first()[0])
+        parts.append(_digest(folders))
     path = f"{folder.rstrip('/')}/{fingerprint(catalogue, tuple(parts), content).first()['fingerprint']}"
 
     def kept() -> Prepared:

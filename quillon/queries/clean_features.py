@@ -8,6 +8,7 @@ from quillon import adapters as A
 from quillon.functions import text as T
 from quillon.operators import clean, features
 from quillon.queries.base import CAT, FEAT, FREQ, query
+from quillon.sources.buckets import bucket_of
 
 COLUMNS = "id, link, file_name, title, tags, author, team, language, pages, upload_date"
 
@@ -190,3 +191,10 @@ def c11(spark, sf):
 def c12(spark, sf):
     p = A.prepared(spark, sf)
     return features.catalogue_metrics(p.items.where("team = 'team 3'"), p.freqs.authors, p.freqs.tags, p.freqs.words)
+
+
+@query("c12_approximate_metrics")
+def c12_approximate(spark, sf):
+    """The counts of the whole catalogue from sketches of hash buckets, merged."""
+    items = A.prepared(spark, sf).items
+    return features.approximate_metrics(features.facet_sketches(items.withColumn("bucket", bucket_of("id", 16)), "bucket"))

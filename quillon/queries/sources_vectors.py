@@ -320,6 +320,17 @@ def k02_stored(spark, sf):
     return both.select("id", "local_path", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
 
 
+@query("k02_preprocess_parts", f"WITH {FREQ} SELECT f.id, f.search_text, len(f.parsed_tags) AS n_tags, len(f.title_words) AS n_words, a.freq AS author_freq FROM feat f JOIN authf a ON a.feature = f.author")
+def k02_parts(spark, sf):
+    """Features in hash buckets: first of a catalogue of which some rows are other or missing, then of the whole one, for which only their buckets are worked out."""
+    folder, df = files.scratch(spark, "parts"), A.small_catalogue(spark, sf)
+    before = df.where("id NOT LIKE '%7'").withColumn("author", F.when(F.col("id").endswith("13"), "other").otherwise(F.col("author")))
+    plans.preprocess_parts(before, A.DICTIONARIES, folder, number=16)
+    p = plans.preprocess_parts(df, A.DICTIONARIES, folder)
+    both = p.items.join(p.freqs.authors.withColumnsRenamed({"feature": "author", "freq": "author_freq"}), "author")
+    return both.select("id", "search_text", F.size("parsed_tags").cast("long").alias("n_tags"), F.size("title_words").cast("long").alias("n_words"), "author_freq")
+
+
 @query("w1_ingest", f"WITH {CAT} SELECT {COLUMNS} FROM cat WHERE p_partkey % 2 = 1 UNION ALL SELECT id, link, file_name, 'new title', tags, author, team, language, pages, upload_date FROM cat WHERE p_partkey % 2 = 0")
 def w1(spark, sf):
     """Half of the catalogue comes again as raw CSV with other titles and no ids."""
@@ -367,11 +378,14 @@ def l01(spark, sf):
     return pages.extract_fields(A.table(spark, sf, "pages"), _PAGE_RULES)
 
 
-@query("l02_extract_listing")
+@query(
+    "l02_extract_listing",
+    "SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '[?&]page=(\\d{1,9})', 1), '') AS INTEGER) AS page_no, CAST(1 AS INTEGER) AS position, 'JM' || page_id AS id, '/album/' || page_id || '/x' AS detail_url, '/t/' || page_id || '.jpg' AS thumb_url FROM pages",
+)
 def l02(spark, sf):
     """Stored pages, each with a list of the other layout put in front."""
     listed = F.format_string('<div class="list-col"><a href="/album/%d/x"><img data-original="/t/%d.jpg"></a></div><div class="list-col"><a href="/other">no</a></div>', "page_id", "page_id")
-    return pages.extract_listing(A.table(spark, sf, "pages").select("page_id", F.concat(listed, F.coalesce("html", F.lit(""))).alias("html")), pages.ALBUM_LIST)
+    return pages.extract_listing(A.table(spark, sf, "pages").select("page_id", "url", F.concat(listed, F.coalesce("html", F.lit(""))).alias("html")), pages.ALBUM_LIST)
 
 
 @query("l03_pending_items", "SELECT 'JM' || page_id AS id, page_id % 2 <> 0 AS need_record, page_id % 3 <> 0 AND page_id % 5 <> 0 AS need_thumb FROM pages WHERE NOT (page_id % 2 = 0 AND page_id % 3 = 0)")

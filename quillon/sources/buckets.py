@@ -43,24 +43,31 @@ def read(spark: SparkSession, path: str, before: int | None = None, buckets: set
     return spark.read.schema(schema).parquet(*own) if own else spark.createDataFrame([], schema)
 
 
+def number_of_buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets a table has, None if there is none."""
+    done = versions(spark, path)
+    return _manifest(spark, path, done[-1])[2] if done else None
+
+
 def bucket_of(key: str | None, buckets: int) -> Column:
     """The bucket of a row by a column; without one there is a single bucket."""
     return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(buckets)).cast("int") if key else F.lit(0)
 
 
-def merge(batch: DataFrame, path: str, key: str | None, combine: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64, number: int | None = None) -> int:
+def merge(batch: DataFrame, path: str, key: str | None, combine: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64, number: int | None = None, touched: set[int] | None = None, place: Column | None = None) -> int:
     """Write combine(rows of the touched buckets or None, batch) as the new content of the buckets that batch has keys of; gives the merge's number.
 
     The rows of a key must come from rows of that key. With a number of the caller's a merge can be run again: it starts from the merges before it. The number of buckets is that of the first merge.
+    With touched the caller names the buckets to rewrite, also such as batch has no rows of; with place a column that gives a row's bucket, instead of the key's hash.
     """
     spark = batch.sparkSession
     done = [n for n in versions(spark, path) if number is None or n < number]
     number = (done[-1] + 1 if done else 0) if number is None else number
     folders, _, buckets = _manifest(spark, path, done[-1]) if done else ({}, None, buckets)
-    touched = {r[0] for r in batch.select(bucket_of(key, buckets).alias("b")).distinct().collect()}  # at most all buckets
+    touched = touched if touched is not None else {r[0] for r in batch.select((bucket_of(key, buckets) if place is None else place.cast("int")).alias("b")).distinct().collect()}  # at most all buckets
     current = read(spark, path, number, touched) if done else None
     merged = combine(current, batch)
-    held = merged.withColumn("_bucket", bucket_of(key, buckets))
+    held = merged.withColumn("_bucket", bucket_of(key, buckets) if place is None else place.cast("int"))
     data = f"{path}/data/{number:012d}"
     held.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(data)
     own = {int(n.rpartition("=")[2]): f"{data}/{n}" for n in _names(spark, data) if n.startswith("_bucket=")}

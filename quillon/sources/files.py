@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import csv
 import html as html_entities
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +24,42 @@ from quillon.sources.scratch import scratch  # noqa: F401 - part of this module'
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+def csv_headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of the CSV files of a folder, in order of name. Only the beginning of each is read, by the driver through Spark's file systems; a file that cannot be opened, or is empty, is named in a warning and left out."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for top in store.globStatus(where) or []:
+        inner = store.listStatus(top.getPath()) if top.isDirectory() else [top]
+        found += [s.getPath() for s in inner if s.isFile() and s.getPath().getName().endswith(".csv")]
+
+    def head(file) -> tuple[str, str]:
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(file), "UTF-8"))
+            try:
+                line = reader.readLine()
+            finally:
+                reader.close()
+        except Py4JJavaError as e:
+            line = None
+            warnings.warn(f"skipped {file.toString()}: {e.java_exception}", stacklevel=2)
+        if line == "":
+            warnings.warn(f"skipped {file.toString()}: no header", stacklevel=2)
+        return file.toString(), (line or "").lstrip("\ufeff")
+
+    with ThreadPoolExecutor(16) as pool:
+        return [(f, line) for f, line in sorted(pool.map(head, found)) if line]
+
+
 def read_catalogue_csv(spark: SparkSession, path: str, na_tokens: tuple[str, ...] = NA_TOKENS) -> DataFrame:
     """Every CSV of a folder, joined by column name; _file and _pos give the read order (A1).
 
-    Files are grouped by their header line and each group is read at once. Missing columns and cells are empty; unreadable files are skipped.
+    Files are grouped by their header line, of which only the beginning of a file is read, and each group is read at once. Missing columns and cells are empty; unreadable files are skipped.
     """
-    lines = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
-    heads = lines.groupBy("file").agg(F.min_by("value", "n").alias("head")).collect()  # one row a file
     groups: dict[tuple[str, ...], list[str]] = {}
-    for r in heads:
-        names = tuple(next(csv.reader([r["head"].lstrip("﻿")])))
-        groups.setdefault(names, []).append(r["file"])
+    for file, head in csv_headers(spark, path):
+        groups.setdefault(tuple(next(csv.reader([head]))), []).append(file)
     out = None
     for names, files in sorted(groups.items()):
         reader = spark.read.options(header=True, multiLine=True, escape='"', ignoreCorruptFiles=True).schema(", ".join(f"`{n}` string" for n in names))
