@@ -15,7 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of whole texts that a Python helper takes out of an Arrow batch at a time, at most.
 BATCH = 500
 _OWNED: set[str] = set()
-_CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings that hold while a table is written.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,16 +52,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows; a lost executor loses nothing of it. clean_up() deletes it.
 
-    Spark is asked to drop the shuffle files of the write once it is done, since nothing else reads them.
+    While it is written, Arrow batches are small, since rows may hold whole texts, and Spark is asked to drop the write's shuffle files at its end, since nothing else reads them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid4().hex}"
-    before = spark.conf.get(_CLEANING, "false")
-    spark.conf.set(_CLEANING, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANING, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +88,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def lower_ascii(text: Column) -> Column:

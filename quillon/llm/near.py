@@ -24,7 +24,7 @@ from quillon.llm.common import connected_components, release, slices, words, wri
 
 TABLES, ROWS = 14, 3
 #: Distinct words whose hashes a task remembers at most.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Minhash bits that may differ: the similarity asked for leaves 24 or fewer of 84 but for one pair in a million.
 BITS_OFF = 24
 #: Leaders that a class is held against in each round after the first, at most; rounds go on while they find links, and a last one tests all that is left.
