@@ -23,43 +23,54 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, model)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for every row (_row), written once so that the keys stand."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a key of its own for every row, written once so that the keys stand."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, by five-word shingles at 0.8: the one of smallest doc_id, null last; each row decides for itself, whatever its doc_id."""
-    rows = keyed(docs)
-    groups = near.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_row")
-    best = rows.select("_row", order.alias("o")).join(groups.hint("shuffle_hash"), "_row").groupBy("component_id").agg(F.min("o").alias("o"))
-    found = written(best.select(F.col("o._row").alias("_row")), "pipeline-kept")
-    return rows.join(found.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    row = unused(docs, "_row")
+    rows = keyed(docs, row)
+    groups = near.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("content"), F.col(row).alias("row"))
+    best = rows.select(row, order.alias("o")).join(groups.hint("shuffle_hash"), row).groupBy("component_id").agg(F.min("o").alias("o"))
+    found = written(best.select(F.col("o.row").alias(row)), "pipeline-kept")
+    return rows.join(found.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret found; n_chars follows the text."""
     found, _ = secret_scan.scan_versions(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
-    blobs = written(found.where(F.size("findings") > 0).select("blob_id", "findings").dropDuplicates(["blob_id"]), "pipeline-secrets")
+    blob, spans, clean_text = (unused(docs, name) for name in ("_blob", "_spans", "_clean"))
+    blobs = found.where(F.size("findings") > 0).select(F.col("blob_id").alias(blob), F.col("findings").alias(spans)).dropDuplicates([blob])
+    blobs = written(blobs, "pipeline-secrets")
 
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, findings in batches:
             yield pd.Series([t if f is None or not len(f) else secret_scan.redact(t, f) for t, f in zip(texts, findings, strict=True)], dtype=object)
 
-    held = docs.withColumn("blob_id", secret_scan.blob_id(F.coalesce("text", F.lit("")))).join(blobs, "blob_id", "left")
-    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.pandas_udf(clean, "string")("text", "findings"))
-    held = held.withColumn("clean", text)
-    chars = F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("clean"))
-    return held.withColumn("n_chars", chars.cast("long")).withColumn("text", F.col("clean")).select(*docs.columns)
+    held = docs.withColumn(blob, secret_scan.blob_id(F.coalesce("text", F.lit("")))).join(blobs, blob, "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.pandas_udf(clean, "string")("text", spans))
+    held = held.withColumn(clean_text, text)
+    chars = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(clean_text))
+    return held.withColumn("n_chars", chars.cast("long")).withColumn("text", F.col(clean_text)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix takes it, whatever its doc_id; the order of rounding is that of the rows' content, so that reruns agree."""
-    rows = keyed(docs)
-    copies = mixing.mix(rows.select(F.xxhash64(*docs.columns).alias("doc_id"), "source", "text", "_row"), row="_row")
-    taken = written(copies.where("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies")), "pipeline-copies")
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    row, times, copy = (unused(docs, name) for name in ("_row", "_copies", "_copy"))
+    rows = keyed(docs, row)
+    copies = mixing.mix(rows.select(F.xxhash64(*docs.columns).alias("doc_id"), "source", "text", row), row=row)
+    taken = written(copies.where("copies > 0").select(row, F.col("copies").cast("int").alias(times)), "pipeline-copies")
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
