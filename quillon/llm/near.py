@@ -172,10 +172,10 @@ def _sides(apart: DataFrame, side: str) -> DataFrame:
 
 
 def _with_component(apart: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of tables that hold several components, each with its own and the one that has most rows of the table (main)."""
+    """The rows of tables that hold several components, each with its own, the one that has most rows of the table (main) and the table's number of rows (met)."""
     held = apart.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    counts = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
-    return held.join(counts.where("components > 1").select("key", F.col("most.component").alias("main")), "key")
+    counts = held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components"), F.sum("n").alias("met"))
+    return held.join(counts.where("components > 1").select("key", F.col("most.component").alias("main"), "met"), "key")
 
 
 def _could(percent: int) -> Column:
@@ -191,14 +191,12 @@ def _led_pairs(apart: DataFrame, percent: int) -> DataFrame:
 
     The leader of a component in a table is its class that meets most others over all tables; each class meets the leaders of the first and the last component of a table.
     """
-    met = apart.groupBy("key").agg(F.count("*").alias("n"))
-    often = apart.join(met, "key").groupBy("rep").agg(F.sum("n").alias("often"))
-    held = apart.join(often, "rep")
+    held = apart.join(apart.groupBy("rep").agg(F.sum("met").alias("often")), "rep")
     best = held.groupBy("key", "component").agg(F.max(F.struct("often", *_HELD)).alias("best"), F.max("often").alias("often"))
     order = F.struct("often", "component")
     ends = best.groupBy("key").agg(F.max(F.struct(order.alias("o"), "best")).alias("top"), F.min(F.struct(order.alias("o"), "best")).alias("end"))
     leads = ends.select("key", F.explode(F.array("top.best", "end.best")).alias("lead")).select("key", *[F.col("lead")[c].alias(f"{c}_b") for c in _HELD])
-    both = _sides(held, "a").join(leads, "key").where((F.col("component_a") != F.col("component_b")) & _could(percent))
+    both = _sides(apart, "a").join(leads, "key").where((F.col("component_a") != F.col("component_b")) & _could(percent))
     count = both.groupBy(F.col("rep_a"), F.col("rep_b")).agg(F.count("*").alias("n"))
     few = count.groupBy("rep_a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", F.col("rep_b").alias("lead"))), False), 1, LEADS).alias("leads"))
     pairs = few.select("rep_a", F.explode("leads.lead").alias("lead"))
@@ -258,13 +256,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     apart = whole.join(profiles, "rep")
     # one with too many shingles of its own is near none of the others
     apart = apart.where((F.col("shared") * 100 >= F.col("size") * percent) | (F.col("size") > 65535)).drop("component")
-    apart = written(apart, "near-apart")
+    left = written(_with_component(apart, components), "near-apart")
     release(whole)
     release(profiles)
-    tested, spent = first, [first, links, texts, apart, classes]
+    tested, spent = first, [first, links, texts, classes]
     for _ in range(TURNS):
         # further rounds against leaders, as long as they link anything: a large group comes together without its pairs being listed
-        led = written(_led_pairs(_with_component(apart, components), percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        led = written(_led_pairs(left, percent).join(tested, ["a", "b"], "left_anti"), "near-pairs")
         more = written(_confirm(led, texts, width, percent), "near-links")
         tested = tested.unionByName(led)
         spent += [led, more]
@@ -272,16 +270,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             break
         links = links.unionByName(more)
         components = connected_components(links)
+        # components only grow together, so a table that is within one goes for good
+        old, left = left, written(_with_component(left.drop("component", "main", "met"), components), "near-apart")
+        release(old)
     # last round: the pairs of a table that are still apart; a pair shows up once, in the table of the first keys of either collection that it shares
     # the main component of a table meets the others only, never itself
-    left = _with_component(apart, components)
     a, b = _sides(left, "a"), _sides(left.where("component <> main"), "b")
     order = (F.col("component_a") == F.col("main_a")) | (F.col("component_a") < F.col("component_b"))
     alike = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
     once = (F.array_position(F.slice(alike, 1, TABLES), True) == F.col("i") + 1) & (F.array_position(F.slice(alike, TABLES + 1, TABLES), True) == F.col("j") - TABLES + 1)
     last = a.join(b, ["key", "i", "j"]).where((F.col("component_a") != F.col("component_b")) & order & _could(percent) & once).select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
     last = written(last.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    spent.append(last)
+    spent += [left, last]
     if not last.isEmpty():
         more = written(_confirm(last, texts, width, percent), "near-links")
         spent.append(more)
