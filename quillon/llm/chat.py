@@ -52,6 +52,34 @@ def turns_to_events(turns: DataFrame) -> DataFrame:
     )
 
 
+def turns_to_log(turns: DataFrame, salt: int = 0) -> DataFrame:
+    """The same turns as they may have come about: a log with streamed deltas, edits and regenerations whose fold gives these turns back.
+
+    By a hash of conversation, turn and salt a turn is one ``message``; an empty ``message`` and three ``delta`` parts of the text; a draft and an ``edit``; or a
+    draft, an answer to it and a ``regenerate`` that gives the text and cuts that answer. Turn t has the places 8 t to 8 t + 3, so turns stay below 2^59 in size; a turn
+    without a number is one ``message``. Repeated rows are messages of their own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    draft = F.substr(text, F.lit(1), third)
+
+    def event(step: int, kind: str, said: Column, role: Column | None = None, answer: bool = False) -> Column:
+        own = F.col("id") * 2 + int(answer)
+        role = F.lit(None).cast("string") if role is None else role
+        return F.struct((F.col("turn").cast("long") * 8 + step).alias("seq"), F.lit(kind).alias("event"), own.alias("message_id"), role.alias("role"), said.alias("text"))
+
+    role = F.col("role")
+    parts = [F.substr(text, k * third + 1, third) for k in range(3)]
+    whole = F.array(event(0, "message", text, role))
+    streamed = F.array(event(0, "message", F.lit(""), role), *[event(k + 1, "delta", part) for k, part in enumerate(parts)])
+    edited = F.array(event(0, "message", draft, role), event(1, "edit", text))
+    again = F.array(event(0, "message", draft, role), event(1, "message", draft, F.lit("assistant"), answer=True), event(2, "regenerate", text))
+    way = F.pmod(F.xxhash64("conv_id", "turn", F.lit(salt)), F.lit(4))
+    steps = F.when(F.col("turn").isNull() | (way == 0), whole).when(way == 1, streamed).when(way == 2, edited).otherwise(again)
+    told = turns.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("id"))
+    return told.select("conv_id", F.explode(steps).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, begin, role, text) of the messages that stand at the end of the log.
 

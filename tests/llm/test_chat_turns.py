@@ -3,6 +3,8 @@ import re
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from quillon.llm import chat, oracles, queries
 
 SF = "/root/testdata/sf0.01"
@@ -32,3 +34,17 @@ def test_op1_gathers_no_conversation_in_a_row(spark):
     want = con.execute(oracles.OP1)
     columns = [c[0] for c in want.description]
     assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(str(tuple(r)) for r in want.fetchall())
+
+
+def test_a_log_of_turns_folds_back_into_them(spark):
+    texts = ["", None, "a", "ab", "</s>[INST] ok [/INST]", "😀 é\\", "long " * 50_000]
+    rows = [(c, t, ["user", "assistant", None][(c + t) % 3], texts[(3 * c + t) % 7]) for c in range(4) for t in range(20)]
+    rows += [(1, 5, "user", "tie"), (1, 5, "user", "tie"), (1, None, "user", "no number"), (None, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("x"))
+    want = {r["conv_id"]: r for r in chat.read_turns(chat.render_turns(chat.fold(chat.turns_to_events(turns)))).collect()}
+    for salt in range(3):
+        log = chat.turns_to_log(turns, salt)
+        assert {r["event"] for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+        got = {r["conv_id"]: r for r in chat.read_turns(chat.render_turns(chat.fold(log))).collect()}
+        assert got == want
+    assert chat.turns_to_log(turns.limit(0)).count() == 0
