@@ -1,8 +1,10 @@
+import hashlib
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
-from quillon.llm import secret_scan
+from quillon.llm import queries, secret_scan
 
 KEYWORD = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = re.compile(rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -51,3 +53,15 @@ def test_empty_table_and_redaction(no_documents):
     found, ledger = secret_scan.scan_versions(versions(no_documents))
     assert found.count() == 0 and ledger.count() == 0
     assert secret_scan.redact("a token=abcdef b", [{"start": 2, "end": 14}, {"start": 8, "end": 14}]) == "a [secret] b"
+
+
+def test_the_query_scans_in_its_second_run_only_what_the_first_did_not(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries.op2_secret_scans(spark, folder).collect()}
+    assert set(rows) == set(texts)
+    early = {t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 2 == 0}
+    for k, text in texts.items():
+        assert rows[k]["base_sha256"] == hashlib.sha256(brute(text).encode()).hexdigest()
+        assert rows[k]["n_scanned"] == (0 if text in early else len(secret_scan.RULES))
+    assert {r["n_scanned"] for r in rows.values()} == {0, len(secret_scan.RULES)}
