@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import words, written
+from quillon.llm.common import slices, words, written
 
 BUCKETS = 10_000
 #: Distinct words whose hashes a task remembers at most.
@@ -48,7 +48,7 @@ def fit(docs: DataFrame, size: int = BUCKETS) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = _Hashes(), np.zeros((2, size), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             target = batch.column("target").to_pylist()
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 n = np.bincount(buckets(text or b"", hashes, size).astype(np.int64), minlength=size)
@@ -72,7 +72,7 @@ def weigh(docs: DataFrame, log_ratio: np.ndarray, seed: int = 17) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ratio = _Hashes(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n, weight, key = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = buckets(text or b"", hashes, len(ratio))
