@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillon.llm import align, bpe, brown, caps, chat, factors, fingerprints, langid, merkle, mixing, near, quality, secret_scan
 from quillon.llm.common import held_out, lower_ascii, table
 
+#: Tasks that the paths of one blob are dealt to when a ledger's rows are joined to them.
+SALTS = 8
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the two turns of conversation -7 as logs of messages, deltas, edits and regenerations, folded and read back turn by turn from the rendered text."""
@@ -27,7 +30,9 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     _, ledger = secret_scan.scan_versions(docs.where(held_out(F.col("path"), 2, 0)))
     found, _ = secret_scan.scan_versions(docs, ledger)
-    found = found.join(ledger.select("blob_id", F.size("scanned").alias("before")), "blob_id", "left")
+    # one blob may have a third of all paths: they are dealt to SALTS tasks, and the short ledger rows to each of them
+    before = ledger.select("blob_id", F.size("scanned").alias("before"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(before, ["blob_id", "salt"], "left")
     base = F.filter("findings", lambda f: f["kind"].isin(*secret_scan.BASE))
     count = [F.size(F.expr(f"filter(findings, f -> f.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
     return found.select(
