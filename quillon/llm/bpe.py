@@ -3,7 +3,8 @@
 The encoding of a prefix ends in one token only, and a row of tokens is the encoding of its text exactly if each two neighbours stay
 apart when merged by themselves. So a word is encoded by the last token of each of its prefixes: the one token that ends the prefix and
 goes with the last token of what precedes it. Distinct words of a batch, in sorted order, are the depth-first order of their trie;
-a stack holds the last token of each prefix on the path, and a word computes only the prefixes that it does not share with the word before it. No text is
+a stack holds the last token of each prefix on the path, and a word computes only the prefixes that it does not share with the word before it. Which tokens end
+a prefix at all is read off an Aho-Corasick automaton of the vocabulary, whose node stands on the stack beside the token. No text is
 shuffled: every task encodes the distinct words of its own rows once, through a word memory of bounded size.
 """
 
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -45,7 +48,7 @@ class Vocabulary:
             data = json.load(f)
         ids: dict[str, int] = data["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
-        self.names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.names: dict[int, str] = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         size = max(self.names) + 1
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
@@ -56,22 +59,24 @@ class Vocabulary:
             if self.rank[whole] < 0:
                 self.left[whole], self.right[whole], self.rank[whole] = ids[a], ids[b], rank
             self.merge.setdefault((ids[a], ids[b]), rank)
-        self.middle: dict[str, int] = {}
-        self.final: dict[str, int] = {}
-        self.reached: dict[int, bool] = {}
+        middle: dict[str, int] = {}
+        final: dict[str, int] = {}
+        reached: dict[int, bool] = {}
         for name, i in sorted(ids.items(), key=lambda x: self.rank[x[1]]):
             a, b = self.left[i], self.right[i]
-            self.reached[i] = a < 0 or (self.reached[a] and self.reached[b] and self._apart(a, b, self.rank[i]))
-            if self.reached[i]:
+            reached[i] = a < 0 or (reached[a] and reached[b] and self._apart(a, b, self.rank[i]))
+            if reached[i]:
                 if name.endswith(_END) and len(name) > len(_END):
-                    self.final[name[: -len(_END)]] = i
+                    final[name[: -len(_END)]] = i
                 else:
-                    self.middle[name] = i
-        self.longest = max(map(len, [*self.middle, *self.final]))
+                    middle[name] = i
+        self.digits = [str(i) for i in range(size)]
+        self.size = [self.width(i) if i in self.names else 0 for i in range(size)]
+        self._automaton(middle, final)
         self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _apart(self, a: int, b: int, own: int = -1) -> bool:
         """Whether no merge crosses the border between tokens a and b.
@@ -102,12 +107,53 @@ class Vocabulary:
             found = self.pairs[key] = self._apart(a, b)
         return found
 
-    def _last(self, table: dict[str, int], word: str, end: int, state: list[int]) -> int:
-        """The last token of word[:end]; state[i] is that of word[:i]."""
-        for start in range(max(0, end - self.longest), end):
-            token = table.get(word[start:end])
-            if token is not None and (start == 0 or self.apart(state[start], token)):
-                return token
+    def _automaton(self, middle: dict[str, int], final: dict[str, int]) -> None:
+        """Nodes are the beginnings of tokens. next leads from a node by a letter, shorter to the longest proper ending of a node that is one itself; inner and last are the tokens that end a node, longest first."""
+        self.next: dict[int, int] = {}
+        self.shorter, self.inner, self.last = array("i", [0]), [()], [()]
+        level = [(0, name) for name in middle.keys() | final.keys()]
+        at = 0
+        while level:
+            deeper = []
+            for node, name in level:
+                key = node << 9 | ord(name[at])
+                found = self.next.get(key)
+                if found is None:
+                    found = self.next[key] = len(self.inner)
+                    short = self._step(self.shorter[node], name[at]) if node else 0
+                    self.shorter.append(short)
+                    self.inner.append(self.inner[short])
+                    self.last.append(self.last[short])
+                if at + 1 < len(name):
+                    deeper.append((found, name))
+                    continue
+                if name in middle:
+                    self.inner[found] = (middle[name], *self.inner[found])
+                if name in final:
+                    self.last[found] = (final[name], *self.last[found])
+            level, at = deeper, at + 1
+
+    def _step(self, node: int, letter: str) -> int:
+        """The node of the longest ending of node and letter that has one."""
+        code = ord(letter)
+        while (found := self.next.get(node << 9 | code)) is None and node:
+            node = self.shorter[node]
+        return found or 0
+
+    def _last(self, table: list[tuple[int, ...]], word: str, end: int, state: list[tuple[int, int]]) -> tuple[int, int]:
+        """The last token of word[:end], out of those that table has for its node, and that node; state[i] has those of word[:i]."""
+        code, node = ord(word[end - 1]), state[end - 1][1]
+        while (found := self.next.get(node << 9 | code)) is None and node:
+            node = self.shorter[node]
+        node, pairs, size = found or 0, self.pairs, self.size
+        for token in table[node]:
+            start = end - size[token]
+            if start == 0:
+                return token, node
+            before = state[start][0]
+            known = pairs.get(before << 20 | token)
+            if known or (known is None and self.apart(before, token)):
+                return token, node
         raise ValueError(f"no token ends {word[:end]!r}")
 
     def width(self, token: int) -> int:
@@ -116,28 +162,28 @@ class Vocabulary:
 
     def traverse(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words in the stand-in alphabet, given in sorted order."""
-        state, before = [-1], ""
+        state, before, size = [(-1, 0)], "", self.size
         for word in words:
             common, most = 0, min(len(before), len(word), len(state) - 1)
             while common < most and before[common] == word[common]:
                 common += 1
             del state[common + 1:]
             for end in range(len(state), len(word)):
-                state.append(self._last(self.middle, word, end, state))
-            token, end, ids = self._last(self.final, word, len(word), state), len(word), []
+                state.append(self._last(self.inner, word, end, state))
+            token, end, ids = self._last(self.last, word, len(word), state)[0], len(word), []
             while True:
                 ids.append(token)
-                end -= self.width(token)
+                end -= size[token]
                 if end <= 0:
                     break
-                token = state[end]
+                token = state[end][0]
             yield word, ids[::-1]
             before = word
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, str]]:
-        """(ids joined by blanks, decoded) of words as met in texts."""
-        stand_in = {w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters): w for w in words}
-        return {stand_in[mapped]: (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids])) for mapped, ids in self.traverse(sorted(stand_in))}
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of words as met in texts."""
+        stand_in = {w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters): w for w in words}
+        return {stand_in[mapped]: tuple(ids) for mapped, ids in self.traverse(sorted(stand_in))}
 
     def split(self, text: str) -> list[str]:
         """Words of a text and special tokens, which stand for themselves."""
@@ -151,9 +197,9 @@ class Vocabulary:
                 out += _SPLIT.findall(part)
         return out
 
-    def remembered(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """What each of words becomes. Those met lately are kept in two generations: words of the older one that are met again move to the younger one."""
-        found = {w: self.young.get(w) or self.old.get(w) or ((str(self.special[w]), w) if w in self.special else None) for w in words}
+    def remembered(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each of words. Those met lately are kept in two generations: words of the older one that are met again move to the younger one."""
+        found = {w: self.young.get(w) or self.old.get(w) or ((self.special[w],) if w in self.special else None) for w in words}
         found |= self.learn([w for w, known in found.items() if known is None])
         if len(self.young) > MEMORY:
             self.young, self.old = {}, self.young
@@ -163,10 +209,11 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by blanks, decoded text) of each text."""
         split = [self.split(t) for t in texts]
-        found = self.remembered({w for ws in split for w in ws})
-        ids, names = ({w: known[k] for w, known in found.items()}.__getitem__ for k in (0, 1))
+        found = self.remembered({w for ws in split for w in ws}).__getitem__
+        digits, names = self.digits.__getitem__, self.names.__getitem__
         for ws in split:
-            yield " ".join(map(ids, ws)), " ".join(map(names, ws))
+            ids = list(chain.from_iterable(map(found, ws)))
+            yield " ".join(map(digits, ids)), " ".join(map(names, ids))
 
 
 @lru_cache(maxsize=2)

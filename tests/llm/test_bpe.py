@@ -43,3 +43,19 @@ def test_a_shared_prefix_is_computed_once():
 
 def test_empty_table(no_documents):
     assert bpe.encode_decode(no_documents, PATH).count() == 0
+
+
+def test_only_tokens_that_end_a_prefix_are_looked_at(library):
+    voc, looked = bpe.Vocabulary(PATH), 0
+
+    class Counted(list):
+        def __getitem__(self, node):
+            nonlocal looked
+            looked += len(list.__getitem__(self, node))
+            return list.__getitem__(self, node)
+
+    voc.inner, voc.last = Counted(voc.inner), Counted(voc.last)
+    words = sorted({"".join(random.Random(k).choice("bcdfglmnprstvaeiou") for _ in range(20)) for k in range(200)})
+    for word, ids in voc.traverse(words):
+        assert list(ids) == library.encode(word, add_special_tokens=False).ids
+    assert looked < 5 * sum(map(len, words))
