@@ -1,8 +1,10 @@
 """Alignment of two tokenizers over the same text, by whitespace-token anchors.
 
-A text is tokenised as a whole by both. Where a byte offset ends a token of either and the next token of either bears the space mark, the offset is a verified anchor;
-anchors cut the document into windows of token ids, nearly all of a word each. What a window aligns to depends on its ids alone, so it is worked out once for
-each pair of id tuples and remembered: groups (cut wherever tokens of both end) and links (tokens whose bytes overlap). Documents are kept as counts of windows.
+A blank between a character that is no blank and one that is no white space begins a token of either tokenizer, whatever stands around it, if the piece model merges pairs, takes text as it is and has
+no piece that goes on over such a blank (`Pieces.apart` reads this off the model). These blanks are the anchors: they cut a text into windows, nearly all of a word each, whose tokens in the text are those that
+they have alone. So a window is tokenised, verified and aligned once in a block and remembered by its text: groups (cut wherever tokens of both end) and links (tokens whose bytes overlap).
+With any other piece model a text is tokenised as a whole by both; where a byte offset ends a token of either and the next token of either bears the space mark, it is an anchor, and windows are
+remembered by their ids. Documents are kept as counts of windows.
 
 How many documents hold a linked id pair is counted in two steps. A task cuts its documents into blocks of bounded size, each with a list of its own windows and
 distinct pairs; only a block's distinct pairs are shuffled, with the number of its documents that hold them. The sums go back to each block once, which adds
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +32,10 @@ from quillon.llm.common import slices, written
 DOCUMENTS, WINDOWS, LINKS = 16_384, 400_000, 6_000_000
 #: Stands between the ids of either side in the key of a window; no id is as large.
 _BETWEEN = 0xFFFFFFFF
+#: Fixed value: the anchors of a text.
+_ANCHOR = re.compile(r"(?<=[^ ]) (?=\S)")
+#: Windows that are tokenised at once, at most.
+_TOGETHER = 4096
 #: Entries of a row of a block's lists.
 CHUNK = 16_384
 
@@ -41,13 +48,12 @@ def _byte_of_letter() -> dict[str, int]:
 
 
 class Tokens:
-    """What is known of a vocabulary's tokens: bytes, their number, whether they begin with a blank."""
+    """What is known of a vocabulary's tokens: bytes, their number, whether they begin with a blank; ids in decimal with a comma, then all again with the mark that ends a row of them."""
 
-    def __init__(self, names: list[bytes]):
+    def __init__(self, names: list[bytes], mark: str):
         self.names = names
-        self.size = [len(n) for n in names]
-        self.width = np.array(self.size, np.int64)
-        self.digits = [str(i) for i in range(len(names))]
+        self.width = np.array([len(n) for n in names], np.int64)
+        self.digits = [f"{i}{m}" for m in (",", mark) for i in range(len(names))]
         self.spaced = np.array([n[:1] == b" " for n in names])
 
     def joined(self, ids: list[int]) -> bytes:
@@ -74,7 +80,7 @@ class ByteLevel(Tokens):
         names = [b""] * (max(ids.values()) + 1)
         for name, i in ids.items():
             names[i] = name
-        super().__init__(names)
+        super().__init__(names, "|")
         self.encoder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
@@ -82,14 +88,20 @@ class ByteLevel(Tokens):
 
 
 class Pieces(Tokens):
-    """A sentencepiece model, which adds the blank before a text by itself."""
+    """A sentencepiece model, which adds the blank before a text by itself. apart: whether its tokens never depend on what stands beyond an anchor."""
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.model
-        super().__init__([bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.get_piece_size())])
+        names = [bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.get_piece_size())]
+        super().__init__(names, ";")
+        held = sentencepiece_model_pb2.ModelProto.FromString(m.serialized_model_proto())
+        how, form = held.trainer_spec, held.normalizer_spec
+        plain = form.add_dummy_prefix and form.escape_whitespaces and not (form.remove_extra_whitespaces or form.precompiled_charsmap or how.treat_whitespace_as_suffix)
+        self.apart = how.model_type == how.BPE and plain and not any(re.search("[^▁]▁", x.piece) for x in held.pieces)
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text)
@@ -106,54 +118,82 @@ class Block:
 
     def __init__(self, va: Tokens, vb: Tokens, most: int = DOCUMENTS):
         self.va, self.vb, self.most = va, vb, most
-        self.number: dict[bytes, int] = {}
+        self.digits = va.digits + vb.digits
+        self.letters = np.array(list(map(len, self.digits)))
+        self.number: dict[bytes | str, int] = {}  # -1: its tokens do not give its bytes back
         self.text: list[str] = []
+        self.n_a, self.n_b = array("i"), array("i")
         self.groups, self.links, self.start = array("i"), array("i"), array("q")  # of each window; start is its first link's place in pairs
         self.pairs = array("i")
         self.pair: dict[int, int] = {}
-        self.holding = np.zeros(1024, np.int64)
+        self.holding, self.place = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.documents = 0
 
     def full(self) -> bool:
         return self.documents >= self.most or len(self.number) >= WINDOWS or len(self.pairs) >= LINKS
 
-    def _learn(self, key: bytes, a: list[int], b: list[int]) -> int:
-        """Align a window: walk over both rows of ids, each step ends the token that ends first; where both end, a group is done."""
-        wa, wb, na, nb, pair, pairs = self.va.size, self.vb.size, self.va.digits, self.vb.digits, self.pair, self.pairs
-        before, groups, i, j = len(pairs), [], 0, 0
-        x, y = a[0], b[0]
-        end_a, end_b, own_a, own_b = wa[x], wb[y], na[x], nb[y]
-        while True:
-            known = pair.get(x << 32 | y)
-            if known is None:
-                known = pair[x << 32 | y] = len(pair)
-            pairs.append(known)
-            gap = end_a - end_b
-            if gap <= 0:
-                i += 1
-            if gap >= 0:
-                j += 1
-            if not gap:
-                groups.append(f"{own_a}|{own_b}")
-                if i == len(a):
-                    break
-            if gap <= 0:
-                x = a[i]
-                end_a += wa[x]
-                own_a = f"{own_a},{na[x]}" if gap else na[x]
-            if gap >= 0:
-                y = b[j]
-                end_b += wb[y]
-                own_b = f"{own_b},{nb[y]}" if gap else nb[y]
-        self.text.append(";".join(groups))
-        self.groups.append(len(groups))
-        self.links.append(len(pairs) - before)
-        self.start.append(before)
-        found = self.number[key] = len(self.number)
+    def _learn(self, keys: list, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> None:
+        """Align new windows, whose ids follow one another in a and b, so many of each: where a token of either ends, one link does; where tokens of both end, a group does."""
+        ends_a, ends_b = np.cumsum(self.va.width[a]), np.cumsum(self.vb.width[b])
+        ending = np.zeros(ends_a[-1] + 1, np.uint8)
+        ending[ends_a] += 1
+        ending[ends_b] += 1
+        ends, done = np.flatnonzero(ending), np.flatnonzero(ending == 2)
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        of_a, of_b = np.searchsorted(done, ends_a), np.searchsorted(done, ends_b)  # the groups of the tokens
+        row = np.empty(len(a) + len(b), np.int64)  # of each group the ids a, then the ids b
+        row[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = a + len(self.va.names) * (done[of_a] == ends_a)
+        row[np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")] = b + len(self.vb.names) * (done[of_b] == ends_b) + len(self.va.digits)
+        text, edges = "".join(map(self.digits.__getitem__, row.tolist())), np.cumsum(self.letters[row])[np.cumsum(n_a + n_b) - 1].tolist()
+        self.text += [text[p : q - 1] for p, q in zip([0, *edges], edges, strict=False)]
+
+        linked, pair = ((a[at_a] << 32) | b[at_b]).tolist(), self.pair
+        places = list(map(pair.get, linked))
+        if None in places:
+            places = [pair.setdefault(k, len(pair)) for k in linked]
+        last = ends_a[np.cumsum(n_a) - 1]
+        links, groups = (np.diff(np.searchsorted(x, last, "right"), prepend=0) for x in (ends, done))
+        for own, more in ((self.start, len(self.pairs) + np.cumsum(links) - links), (self.pairs, places), (self.n_a, n_a), (self.n_b, n_b), (self.groups, groups), (self.links, links)):
+            own.frombytes(np.asarray(more, own.typecode).tobytes())
+        self.number.update(zip(keys, range(len(self.text) - len(keys), len(self.text)), strict=True))
+
+    def windows(self, text: str) -> list[int] | None:
+        """Window numbers of a text; None, or one of -1 among them, if either tokenizer does not give its bytes back."""
+        if not self.vb.apart:
+            return self._windows_of_ids(text)
+        keys = text.split(" ")
+        found = list(map(self.number.get, keys))
+        if None in found:
+            new = [k for k, n in zip(keys, found, strict=True) if n is None]
+            if any(not k or k[0].isspace() for k in new):  # other white space beside a blank, or several blanks
+                keys = _ANCHOR.split(text)
+                if text[0].isspace():
+                    keys[0] = " " + keys[0]  # no such key comes from a split at all blanks, which would cut wrongly here
+                new = [k for k in keys if k not in self.number]
+            new = list(dict.fromkeys(new))
+            for at in range(0, len(new), _TOGETHER):
+                self._meet(new[at : at + _TOGETHER])
+            found = list(map(self.number.get, keys))
         return found
 
-    def windows(self, text: str) -> tuple[int, int, list[int]] | None:
-        """(tokens of a, tokens of b, window numbers) of a text; None if either does not give its bytes back."""
+    def _meet(self, keys: list[str]) -> None:
+        """Number windows of these texts, met for the first time in the block; only the first may begin with white space. They are tokenised as one text."""
+        texts = [k[1:] if k[0] == " " else k for k in keys]
+        text = " ".join(texts)
+        raw, sizes = b" " + text.encode(), [len(t) for t in texts] if text.isascii() else [len(t.encode()) for t in texts]
+        a, b = self.va.encode(text), self.vb.encode(text)
+        if self.va.joined(a) == raw == self.vb.joined(b):
+            a, b, last = np.array(a, np.int64), np.array(b, np.int64), np.cumsum(sizes) + np.arange(1, len(sizes) + 1)
+            n_a, n_b = (np.diff(np.searchsorted(np.cumsum(v.width[x]), last, "right"), prepend=0) for v, x in ((self.va, a), (self.vb, b)))
+            self._learn(keys, a, n_a, b, n_b)
+        elif len(keys) == 1:
+            self.number[keys[0]] = -1
+        else:
+            for k in keys:
+                self._meet([k])
+
+    def _windows_of_ids(self, text: str) -> list[int] | None:
+        """windows() by a piece model whose tokens may depend on what stands beyond an anchor."""
         raw = b" " + text.encode()
         a, b = self.va.encode(text), self.vb.encode(text)
         if self.va.joined(a) != raw or self.vb.joined(b) != raw:
@@ -172,29 +212,30 @@ class Block:
         row[np.arange(len(b)) + np.repeat((cut_a + window)[1:], np.diff(cut_b))] = sides[1][0]
         row, edges = row.tobytes(), (4 * (cut_a + cut_b + window)).tolist()
         keys = [row[p:q] for p, q in zip(edges, edges[1:], strict=False)]
-        found = list(map(self.number.get, keys))
-        if None in found:
-            for k, n in enumerate(found):
-                if n is None:
-                    n = self.number.get(keys[k])
-                    found[k] = self._learn(keys[k], a[cut_a[k] : cut_a[k + 1]], b[cut_b[k] : cut_b[k + 1]]) if n is None else n
-        return len(a), len(b), found
+        for k, key in enumerate(keys):
+            if key not in self.number:
+                (p, q), (x, y) = cut_a[k : k + 2], cut_b[k : k + 2]
+                self._learn([key], sides[0][0][p:q].astype(np.int64), np.array([q - p]), sides[1][0][x:y].astype(np.int64), np.array([y - x]))
+        return list(map(self.number.get, keys))
 
     def add(self, text: str, times: int) -> tuple | None:
         """What align() needs of a document that occurs so many times: (n_a, n_b, n_groups, n_links, groups, window numbers, their counts)."""
         self.documents += times
-        made = self.windows(text) if text else None
-        if made is None:
+        found = self.windows(text) if text else None
+        if found is None:
             return None
-        n_a, n_b, found = made
         own, counts = np.unique(np.array(found, np.int32), return_counts=True)
-        groups, links = (np.frombuffer(x, np.int32)[own].astype(np.int64) for x in (self.groups, self.links))
+        if own[0] < 0:
+            return None
+        n_a, n_b, groups, links = (np.frombuffer(x, np.int32)[own].astype(np.int64) for x in (self.n_a, self.n_b, self.groups, self.links))
         at = np.repeat(np.frombuffer(self.start, np.int64)[own] - np.cumsum(links) + links, links) + np.arange(links.sum())
-        held = np.unique(np.frombuffer(self.pairs, np.int32)[at])
+        held = np.frombuffer(self.pairs, np.int32)[at]
         if len(self.holding) < len(self.pair):
-            self.holding = np.concatenate([self.holding, np.zeros(max(len(self.pair), len(self.holding)), np.int64)])
-        self.holding[held] += times
-        return n_a, n_b, int((groups * counts).sum()), int((links * counts).sum()), ";".join([self.text[w] for w in found]), own, counts.astype(np.int32)
+            self.holding, self.place = (np.concatenate([x, np.zeros(max(len(self.pair), len(x)), np.int64)]) for x in (self.holding, self.place))
+        places = np.arange(len(held))
+        self.place[held] = places
+        self.holding[held[self.place[held] == places]] += times  # each pair once, at the one place of it that was kept
+        return *(int((x * counts).sum()) for x in (n_a, n_b, groups, links)), ";".join([self.text[w] for w in found]), own, counts.astype(np.int32)
 
     def lists(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(kind, number of the first, x, y, z) in chunks: pairs as ids a, ids b and documents; windows as their numbers of links and the links' pairs."""
