@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import slices
 
 #: Words whose encodings a worker remembers, at most twice as many; pairs of tokens. Long words are not remembered, so this bounds memory too.
-MEMORY, LONG = 30_000, 64
+MEMORY, LONG = 100_000, 64
 #: Fixed value: the white space that the vocabulary's patterns know.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: how the vocabulary splits text into words.
@@ -75,8 +75,8 @@ class Vocabulary:
         self._automaton(middle, final)
         self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def _apart(self, a: int, b: int, own: int = -1) -> bool:
         """Whether no merge crosses the border between tokens a and b.
@@ -102,7 +102,7 @@ class Vocabulary:
         key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 4 * MEMORY:
+            if len(self.pairs) > MEMORY:
                 self.pairs.clear()
             found = self.pairs[key] = self._apart(a, b)
         return found
@@ -180,10 +180,13 @@ class Vocabulary:
             yield word, ids[::-1]
             before = word
 
-    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of words as met in texts."""
+    def _joined(self, ids: Iterable[int]) -> tuple[str, str]:
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, str]]:
+        """(ids, names of the tokens), joined by blanks, of words as met in texts."""
         stand_in = {w if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters): w for w in words}
-        return {stand_in[mapped]: tuple(ids) for mapped, ids in self.traverse(sorted(stand_in))}
+        return {stand_in[mapped]: self._joined(ids) for mapped, ids in self.traverse(sorted(stand_in))}
 
     def split(self, text: str) -> list[str]:
         """Words of a text and special tokens, which stand for themselves."""
@@ -197,9 +200,9 @@ class Vocabulary:
                 out += _SPLIT.findall(part)
         return out
 
-    def remembered(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each of words. Those met lately are kept in two generations: words of the older one that are met again move to the younger one."""
-        found = {w: self.young.get(w) or self.old.get(w) or ((self.special[w],) if w in self.special else None) for w in words}
+    def remembered(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """What learn gives, for each of words and special tokens. Those met lately are kept in two generations: words of the older one that are met again move to the younger one."""
+        found = {w: self.young.get(w) or self.old.get(w) or (self._joined([self.special[w]]) if w in self.special else None) for w in words}
         found |= self.learn([w for w, known in found.items() if known is None])
         if len(self.young) > MEMORY:
             self.young, self.old = {}, self.young
@@ -209,11 +212,10 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by blanks, decoded text) of each text."""
         split = [self.split(t) for t in texts]
-        found = self.remembered({w for ws in split for w in ws}).__getitem__
-        digits, names = self.digits.__getitem__, self.names.__getitem__
+        found = self.remembered(set(chain.from_iterable(split))).__getitem__
         for ws in split:
-            ids = list(chain.from_iterable(map(found, ws)))
-            yield " ".join(map(digits, ids)), " ".join(map(names, ids))
+            made = list(map(found, ws))
+            yield " ".join([ids for ids, _ in made]), " ".join([names for _, names in made])
 
 
 @lru_cache(maxsize=2)
