@@ -17,6 +17,10 @@ BATCH = 500
 _OWNED: set[str] = set()
 #: Session settings that hold while a table is written.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Bytes up to which a table is broadcast by Spark's guess of its size. The guess goes by compressed files and by columns of default widths, and takes no account of an explode: a table
+#: guessed at Spark's 10 MB can have hundreds of MB, all of which go through the driver.
+GUESSED = 256 << 10
+_STATIC, _MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,15 +53,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def _broadcasts(spark: SparkSession) -> dict[str, str]:
+    """Settings by which a table is broadcast up to the session's threshold where its size was measured, and up to GUESSED, if that is less, where it is guessed."""
+    most = spark.conf.get(_STATIC)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(most) if not most.startswith("-") else -1
+    return {_STATIC: str(min(size, GUESSED)), _MEASURED: spark.conf.get(_MEASURED, None) or most}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A Parquet table in the shared folder, reread: columnar, compressed, with a size the planner knows; a lost executor loses nothing of it. clean_up() deletes it.
 
-    While it is written, Arrow batches are small, since rows may hold whole texts, and Spark is asked to drop the write's shuffle files at its end, since nothing else reads them.
+    While it is written, Arrow batches are small, since rows may hold whole texts, Spark is asked to drop the write's shuffle files at its end, since nothing else reads them, and
+    only tables of measured size, or guessed to be very small, are broadcast.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
+    held = _WRITING | _broadcasts(spark)
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)

@@ -291,6 +291,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = written(classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "near-components")
     for table in spent:  # what is returned reads sets and named only
         release(table)
-    by_row = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    by_row = sets.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")  # as many rows as there are classes: not to go through the driver
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return by_row.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
