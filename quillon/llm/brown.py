@@ -427,7 +427,7 @@ def rare_classes(met: DataFrame, joint: np.ndarray) -> tuple[DataFrame, np.ndarr
         whole += np.frombuffer(bytes(r["joint"]), np.int64).reshape(CLASSES, CLASSES)
     left, right = rare.select("word", F.col("class").alias("l")), rare.select(F.col("word").alias("other"), F.col("class").alias("r"))
     pairs = met.where("other IS NOT NULL").select("word", "other").join(left, "word").join(right, "other")
-    for l, r, n in pairs.groupBy("l", "r").agg(F.count("*")).collect():  # CLASSES * CLASSES rows at most
+    for l, r, n in written(pairs.groupBy("l", "r").agg(F.count("*")), "brown-pairs").collect():  # CLASSES * CLASSES rows at most
         whole[l, r] += n
     return rare, whole
 
@@ -539,16 +539,17 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
             none = np.zeros(len(left))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(none.astype(np.int64)), pa.array(none), pa.array(m.steps[left, right] - m.weights[right])], names=["row", "known_more", "counts_more", "model_more"])
 
+    # rarer words and the sums of exploded lists grow with the corpus, whatever size Spark guesses: merged, not sent through the driver
     arrays = ", ".join(f"{n} array<{'string' if n in texts else 'int'}>" for n in names[6:])
     walked = written(docs.select("doc_id", "text").mapInArrow(walk, f"row long, doc_id long, n_tokens long, known long, counts double, model double, {arrays}"), "brown-rows")
-    single = walked.select("row", F.explode(F.arrays_zip("word", "own", "before", "after")).alias("x")).select("row", "x.*").join(rare, "word", "left")
+    single = walked.select("row", F.explode(F.arrays_zip("word", "own", "before", "after")).alias("x")).select("row", "x.*").join(rare.hint("merge"), "word", "left")
     single = single.select("row", F.coalesce("class", "own").alias("class"), "before", "after", "n").mapInArrow(add, more)
     pairs = walked.select("row", F.explode(F.arrays_zip("left", "left_own", "right", "right_own")).alias("x")).select("row", "x.*")
     for side in ("left", "right"):
-        pairs = pairs.join(rare.select(F.col("word").alias(side), F.col("class").alias(side[0])), side, "left").withColumn(side[0], F.coalesce(side[0], f"{side}_own"))
+        pairs = pairs.join(rare.select(F.col("word").alias(side), F.col("class").alias(side[0])).hint("merge"), side, "left").withColumn(side[0], F.coalesce(side[0], f"{side}_own"))
     pairs = pairs.select("row", "l", "r").mapInArrow(step, more)
     extra = single.unionByName(pairs).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known_more", "counts_more", "model_more")])
-    both = walked.drop(*names[6:]).join(extra, "row", "left")
+    both = walked.drop(*names[6:]).join(extra.hint("merge"), "row", "left")
     counts = F.col("counts") + F.coalesce("counts_more", F.lit(0.0))
     base = counts - F.col("n_tokens") * math.log10(model.tokens + model.types + 1)
     score = counts + F.col("model") + F.coalesce("model_more", F.lit(0.0))

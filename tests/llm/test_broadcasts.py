@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.readwriter import DataFrameWriter
 
-from quillon.llm import common, near
+from quillon.llm import brown, common, near
 
 
 def plan(df: DataFrame) -> str:
@@ -53,3 +53,4 @@ def test_settings_are_put_back_and_a_smaller_threshold_holds(spark, plans):
 
 def test_results_that_are_read_later_do_not_broadcast(documents):
     assert "Broadcast" not in plan(near.near_duplicates(documents, width=3))
+    assert "Broadcast" not in plan(brown.score(documents, *brown.fit(documents)))
