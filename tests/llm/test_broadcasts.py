@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.readwriter import DataFrameWriter
 
+import corpus_pipeline
 from quillon.llm import brown, common, near
 
 
@@ -54,3 +55,11 @@ def test_settings_are_put_back_and_a_smaller_threshold_holds(spark, plans):
 def test_results_that_are_read_later_do_not_broadcast(documents):
     assert "Broadcast" not in plan(near.near_duplicates(documents, width=3))
     assert "Broadcast" not in plan(brown.score(documents, *brown.fit(documents)))
+
+
+def test_all_tables_of_the_pipelines_near_copies_are_written_so(spark, documents, monkeypatch):
+    held, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (held.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")), write(self, path, *a, **b))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, documents.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert "Broadcast" not in plan(kept) and len(held) > 10
+    assert all(int(x.rstrip("b")) <= common.GUESSED for x in held)
