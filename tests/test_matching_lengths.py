@@ -5,8 +5,11 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.adapters import DICTIONARIES, small_catalogue
 from quillon.operators import matching
+from quillon.plans import preprocess as plans
 from quillon.schema import NO_FOLDER
+from quillon.sources import files
 
 
 @pytest.fixture
@@ -65,3 +68,19 @@ def test_hot_elements_are_dealt_out_and_nothing_is_lost(spark):
     one, many = ({(r["name"], r["folder"]) for r in matching.candidates(held, other, 0.6, salts).collect()} for salts in (1, 8))
     texts = [r[0] for r in names.collect()]
     assert one == many >= {(a, b) for a in texts for b in texts if difflib.SequenceMatcher(None, b, a).ratio() >= 0.6}
+
+
+def test_stored_features_match_no_name_by_its_digits(spark, met, monkeypatch):
+    """As in the stored query: a third of the names are like no folder, and none of their elements meets one; a second call matches nothing anew."""
+    asked, call = [], matching.candidates
+    monkeypatch.setattr(matching, "candidates", lambda names, *a, **b: (asked.append((names, a[1])), call(names, *a, **b))[1])
+    df = small_catalogue(spark, "/root/testdata/sf0.001").withColumn("n", F.regexp_extract("link", r"(\d+)/$", 1).cast("long"))
+    df = df.withColumn("file_name", F.when(F.col("n") % 3 == 0, F.concat(F.lit("無無無無無無"), F.col("n") + 1000)).otherwise(F.col("file_name")))
+    folders = df.where("n % 3 <> 0").select(F.col("file_name").alias("folder_name"), F.concat(F.lit("/f/"), "n").alias("path"), F.col("n").alias("pos"))
+    folder = files.scratch(spark, "prepared")
+    first = plans.preprocess_stored(df.drop("n"), DICTIONARIES, folder, folders).items
+    assert met and sum(n for _, n in met) == 0 and first.where(F.col("local_path") == NO_FOLDER).count() == df.where("n % 3 = 0").count()
+    assert [c for _, c in asked] == [0.9, 0.75, 0.6] and all(matching._placed(names, c).count() == 0 for names, c in asked)
+    calls = len(met)
+    again = plans.preprocess_stored(df.drop("n"), DICTIONARIES, folder, folders).items
+    assert len(met) == calls and again.count() == first.count()
