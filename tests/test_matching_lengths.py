@@ -84,3 +84,13 @@ def test_stored_features_match_no_name_by_its_digits(spark, met, monkeypatch):
     calls = len(met)
     again = plans.preprocess_stored(df.drop("n"), DICTIONARIES, folder, folders).items
     assert len(met) == calls and again.count() == first.count()
+
+
+def test_the_titles_query_asks_for_high_likeness_first(spark, met):
+    """Few titles go on to the query's own cutoff."""
+    from quillon import registry
+
+    got = registry.QUERIES["j02_match_close"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    (first, _), *rest = met
+    assert first == 0.9 and all(n < 4 * 200 for _, n in rest)
